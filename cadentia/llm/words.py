@@ -41,6 +41,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(texts: list[str | None], separators: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts in order, A-Z lower-cased, and where each text's words begin (one entry more than texts)."""
+    hashes, begins = prefix_hashes(texts, separators, ())
+    return hashes[0], begins
+
+
+def prefix_hashes(texts: list[str | None], separators: np.ndarray, lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Like ``word_hashes``, with a row of hashes of whole words and one of their first bytes for each length. Different rows never share hashes by design."""
     parts = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
     ends_of_texts = np.cumsum([len(p) + 1 for p in parts]) if parts else np.empty(0, np.int64)
     data = np.frombuffer((b" ".join(parts) + b" ").lower(), np.uint8)
@@ -52,5 +58,7 @@ def word_hashes(texts: list[str | None], separators: np.ndarray = BLANK) -> tupl
     up, down = _power_tables(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE_VALUES[data] * up[: len(data)], out=sums[1:])
-    hashes = mixed((sums[ends] - sums[starts]) * down[starts])
-    return hashes, np.concatenate(([0], np.searchsorted(starts, ends_of_texts)))
+    shift = down[starts]
+    rows = [mixed((sums[ends] - sums[starts]) * shift)]
+    rows += [mixed((sums[np.minimum(starts + n, ends)] - sums[starts]) * shift + np.uint64(n)) for n in lengths]
+    return np.stack(rows), np.concatenate(([0], np.searchsorted(starts, ends_of_texts)))
