@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadentia.llm import bpe, language, licenses, mixing, sharding, toxicity, urls
+from cadentia.llm import bpe, language, licenses, mixing, neardup_vectors, sharding, topk, toxicity, urls
 from cadentia.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,17 +35,25 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_inner_products(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup_vectors.near_duplicate_vectors(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(spark, table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_license_scan, op2_bpe, op3_sharding, op4_mixing, op5_url_filter, op7_toxicity, op9_language)}
+    return {f.__name__: f for f in (op1_license_scan, op2_bpe, op3_sharding, op4_mixing, op5_url_filter, op6_topk, op7_toxicity, op8_embedding_neardup, op9_language)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.oracle(), "op4_mixing": mixing.ORACLE}
+    return {"op1_license_scan": licenses.oracle(), "op4_mixing": mixing.ORACLE, "op6_topk": topk.ORACLE, "op8_embedding_neardup": neardup_vectors.ORACLE}
