@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadentia.llm.common import small_or_plain, written
+from cadentia.llm.common import written
 from cadentia.llm.components import Union, connected_components
-from cadentia.llm.vectors import packed, unpacked, usable
+from cadentia.llm.vectors import unpacked, usable
 
 THRESHOLD = 0.9
 #: Vectors in a block (about), cells at most, rows that the centres are chosen from at most, blocks in a stripe.
@@ -56,23 +56,34 @@ def _net(points: np.ndarray, radius: float) -> np.ndarray:
     return centre
 
 
+def nested_nets(points: np.ndarray) -> np.ndarray:
+    """For each level, from the finest, the point that is the centre of each centre of the level below; -1 elsewhere."""
+    out = np.full((len(RADII), len(points)), -1, np.int32)
+    at = np.arange(len(points))
+    for level, radius in enumerate(reversed(RADII)):
+        out[level, at] = at[_net(points[at], radius)]
+        at = np.unique(out[level, at])
+    return out
+
+
 class CoverTree:
     """Nested levels over unit vectors, from the coarsest; the last level is the points themselves."""
 
-    def __init__(self, ids: np.ndarray, points: np.ndarray, weight: np.ndarray):
+    def __init__(self, ids: np.ndarray, points: np.ndarray, weight: np.ndarray, nets: np.ndarray):
+        """nets: from ``nested_nets``."""
         self.ids, self.points, self.weight = ids, points, weight
         # From fine to coarse: the centres of a level are chosen among those of the level below.
         at = np.arange(len(points))
         levels = [(at, np.zeros(len(points)), [])]
         self.under = [[np.array([i]) for i in range(len(points))]]
-        for radius in reversed(RADII):
-            centre = _net(points[at], radius)
+        for net in nets:
+            centre = net[at]
             tops = np.unique(centre)
             order = np.argsort(centre, kind="stable")
             children = np.split(order, np.searchsorted(centre[order], tops)[1:])
             below = self.under[0]
             self.under.insert(0, [np.concatenate([below[c] for c in group]) if len(group) > 1 else below[group[0]] for group in children])
-            at = at[tops]
+            at = tops
             reach = np.array([np.linalg.norm(points[m] - points[c], axis=1).max() if len(m) > 1 else 0.0 for m, c in zip(self.under[0], at, strict=True)])
             levels.insert(0, (at, reach, children))
         self.levels = levels
@@ -95,16 +106,15 @@ class Links:
             if n:
                 self.counts[i] = self.counts.get(i, 0) + int(n)
 
-    def whole(self, x: CoverTree, y: CoverTree, left: np.ndarray, right: np.ndarray, same: bool) -> None:
-        """All points of one node are linked with all of another."""
-        a, b = x.ids[left], y.ids[right]
-        self.add(a, y.weight[right].sum() - (x.weight[left] if same else 0))
-        if not same:
-            self.add(b, np.full(len(right), x.weight[left].sum()))
-        for i in a.tolist():
-            self.union.join(i, int(b[0]))
-        for j in b.tolist():
-            self.union.join(j, int(a[0]))
+    def whole(self, x: CoverTree, y: CoverTree, left: np.ndarray, right: np.ndarray, one_sided: bool) -> None:
+        """All points of one node are linked with all others of another."""
+        own = x.weight[left] if one_sided and left[0] == right[0] else np.zeros(len(left))
+        self.add(x.ids[left], y.weight[right].sum() - own)
+        if not one_sided:
+            self.add(y.ids[right], np.full(len(right), x.weight[left].sum()))
+        first = int(x.ids[left[0]])
+        for i in [*x.ids[left].tolist(), *y.ids[right].tolist()]:
+            self.union.join(i, first)
 
     def compare(self, x: CoverTree, y: CoverTree, threshold: float, one_sided: bool) -> None:
         """Traverse two trees; one_sided: they are one tree, and links are counted for the left side of ordered pairs."""
@@ -133,16 +143,7 @@ class Links:
             # Cosines that close to the threshold are compared one by one.
             sure = near & (gap + reach <= far - 1e-6) & ((x_reach[a] > 0) | (y_reach[b] > 0))
             for i, j in zip(a[sure].tolist(), b[sure].tolist(), strict=True):
-                if one_sided and i == j:
-                    self.whole(x, y, x.under[level][i], y.under[level][j], True)
-                elif one_sided:
-                    left, right = x.under[level][i], y.under[level][j]
-                    self.add(x.ids[left], np.full(len(left), y.weight[right].sum()))
-                    self.union.join(int(x.ids[left[0]]), int(y.ids[right[0]]))
-                    for k in [*x.ids[left].tolist(), *y.ids[right].tolist()]:
-                        self.union.join(k, int(x.ids[left[0]]))
-                else:
-                    self.whole(x, y, x.under[level][i], y.under[level][j], False)
+                self.whole(x, y, x.under[level][i], y.under[level][j], one_sided)
             go = near & ~sure
             a, b = _expanded(a[go], b[go], x_children, y_children)
 
@@ -240,7 +241,7 @@ def _links(spark: SparkSession, points: DataFrame, centres: np.ndarray, n: int,
     tiles = tiles.withColumn("b", F.pmod(F.col("a") + F.col("step"), F.lit(blocks)).cast("int")).join(blocks_of.withColumnRenamed("cell", "b_cell"), "b")
     tiles = tiles.join(F.broadcast(spark.createDataFrame(near, "a_cell int, b_cell int")), ["a_cell", "b_cell"])
     tiles = tiles.withColumn("stripe", F.floor(F.col("step") / STRIPE).cast("int")).select("a", "b", "stripe", "step")
-    columns = ["own", "n", "dim", "ids", "matrix", "weight"]
+    columns = ["own", "n", "dim", "ids", "matrix", "weight", "nets"]
     held = tiles.select("a", "stripe").distinct().join(packs.select(F.col("own").alias("a"), *columns), "a").withColumn("step", F.lit(-1))
     shown = tiles.join(packs.select(F.col("own").alias("b"), *columns), "b").select("a", "stripe", "step", *columns)
     work = held.select("a", "stripe", "step", *columns).unionByName(shown).repartition(max(blocks, 12), "a", "stripe").sortWithinPartitions("a", "stripe", "step")
@@ -250,7 +251,7 @@ def _links(spark: SparkSession, points: DataFrame, centres: np.ndarray, n: int,
         for batch in batches:
             for row in batch.to_pylist():
                 ids, matrix = unpacked(row, dim)
-                other = CoverTree(ids, matrix, np.frombuffer(row["weight"], "<f8"))
+                other = CoverTree(ids, matrix, np.frombuffer(row["weight"], "<f8"), np.frombuffer(row["nets"], "<i4").reshape(len(RADII), -1))
                 if (row["a"], row["stripe"]) != key:
                     if links.counts:
                         yield links.result()
@@ -264,7 +265,7 @@ def _links(spark: SparkSession, points: DataFrame, centres: np.ndarray, n: int,
 
 
 def _packed_blocks(placed: DataFrame, dim: int) -> DataFrame:
-    """One row a block: own, cell, n, dim, ids, matrix and weight."""
+    """One row a block: own, cell, n, dim, ids, matrix, weight and nets."""
     rows = placed.select("own", "cell", "vec_id", "vector", "weight").repartition("own").sortWithinPartitions("own", "vec_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,11 +285,11 @@ def _packed_blocks(placed: DataFrame, dim: int) -> DataFrame:
         for i, row in enumerate(held):
             matrix[i, : len(row["vector"])] = row["vector"]
         ids, weight = np.array([r["vec_id"] for r in held], "<i8"), np.array([r["weight"] for r in held], "<f8")
-        values = [held[0]["own"], held[0]["cell"], len(held), dim, ids.tobytes(), matrix.tobytes(), weight.tobytes()]
-        types = [pa.int32()] * 4 + [pa.binary()] * 3
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=["own", "cell", "n", "dim", "ids", "matrix", "weight"])
+        values = [held[0]["own"], held[0]["cell"], len(held), dim, ids.tobytes(), matrix.tobytes(), weight.tobytes(), nested_nets(matrix).tobytes()]
+        types = [pa.int32()] * 4 + [pa.binary()] * 4
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=["own", "cell", "n", "dim", "ids", "matrix", "weight", "nets"])
 
-    return rows.mapInArrow(run, "own int, cell int, n int, dim int, ids binary, matrix binary, weight binary")
+    return rows.mapInArrow(run, "own int, cell int, n int, dim int, ids binary, matrix binary, weight binary, nets binary")
 
 
 ORACLE = """
