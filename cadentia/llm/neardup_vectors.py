@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadentia.llm.common import written
@@ -166,13 +166,21 @@ class Links:
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([self.counts[i] for i in ids], pa.int64()), pa.array([self.union.root(i) for i in ids], pa.int64())], names=["point", "links", "root"])
 
 
-def _unit(vector: Column) -> Column:
-    """The vector in double precision divided by its length; null for a length of zero. Scaled by its largest component first, which keeps squares finite."""
-    doubles = F.transform(vector, lambda x: x.cast("double"))
-    largest = F.array_max(F.transform(doubles, lambda x: F.abs(x)))
-    scaled = F.transform(doubles, lambda x: x / largest)
-    length = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(largest > 0, F.transform(scaled, lambda x: x / length))
+def _units(rows: DataFrame) -> DataFrame:
+    """vec_id and vector divided by its length in double precision; null for null, empty and zero vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for v in batch.column("vector").to_pylist():
+                x = np.array(v or [], float)
+                largest = np.abs(x).max(initial=0.0)
+                # Scaled by the largest component first, which keeps the squares finite.
+                x = x / largest if largest else x
+                out.append(x / np.sqrt((x * x).sum()) if largest else None)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(out, pa.list_(pa.float64()))], names=["vec_id", "vector"])
+
+    return rows.mapInArrow(run, "vec_id long, vector array<double>")
 
 
 def near_duplicate_vectors(spark: SparkSession, embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -184,8 +192,8 @@ def near_duplicate_vectors(spark: SparkSession, embeddings: DataFrame, threshold
     do rows with a null id, whose component is null. Shorter vectors count as filled up with zeros. Rows that
     repeat an id or a vector are rows like others, and equal vectors are linked. An empty table gives no rows.
     """
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(F.col("vec_id").isNotNull() & usable(F.col("embedding")), _unit(F.col("embedding"))).alias("vector"))
-    rows = written(spark, rows, "cover-rows")
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(F.col("vec_id").isNotNull() & usable(F.col("embedding")), F.col("embedding")).alias("vector"))
+    rows = written(spark, _units(rows), "cover-rows")
     points = rows.where("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("vec_id"), F.count("*").cast("double").alias("weight"))
     points = written(spark, points, "cover-points")
     n, dim = points.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
