@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadentia.llm import bpe, language, licenses, mixing, neardup_vectors, sharding, topk, toxicity, urls
+from cadentia.llm import bpe, jaccard_join, language, licenses, mixing, neardup_vectors, sharding, topk, toxicity, urls
 from cadentia.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,8 +51,12 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(spark, table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(spark, table(spark, sf_dir, "documents"), width=3, threshold=0.9)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_license_scan, op2_bpe, op3_sharding, op4_mixing, op5_url_filter, op6_topk, op7_toxicity, op8_embedding_neardup, op9_language)}
+    return {f.__name__: f for f in (op1_license_scan, op2_bpe, op3_sharding, op4_mixing, op5_url_filter, op6_topk, op7_toxicity, op8_embedding_neardup, op9_language, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
