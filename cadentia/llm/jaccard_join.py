@@ -7,12 +7,12 @@ prefix costs more postings but asks for more shared ones, and fewer pairs come t
 weighs the postings that the counts predict against the comparisons; a pair has to share the smaller m of
 the two.
 
-Steps: (1) Texts with equal sets are one node. (2) In the postings of each shingle, texts in order of size
-hang on the first one of about their size, a link to check that grows with the number of postings only. (3) Links
-that pass a bound from parity bitmaps are checked on the texts themselves, and joined to components.
-(4) Of all pairs in a posting list, those within a component are settled; the others are counted over
-all lists, and those with enough shared postings are bounded and checked. Postings of a very frequent shingle
-are cut into blocks, and pairs of blocks go to different tasks.
+Steps: (1) Texts with equal sets are one node. (2) Postings of shingles that only one text has are dropped.
+(3) Twice, each text is given one partner that parity bitmaps do not rule out, from those before it in the lists
+that it is in; the links are checked on the texts and joined to components. This takes as many checks as texts
+and settles most pairs of a large group. (4) Pairs of different components in one list that the bitmaps let
+pass are counted over all lists; those with enough shared postings are checked. Postings of a very frequent
+shingle are cut into blocks, and pairs of blocks go to different tasks.
 """
 
 from __future__ import annotations
@@ -36,7 +36,11 @@ BUCKETS, COUNT_ROWS = 1 << 18, 64
 MOST_MATCHES, COMPARISON = 6, 4.0
 #: Postings of a shingle in one task for pairs, and texts checked against one other in one task.
 LIST_BLOCK, CHECK_BLOCK = 2048, 1000
-_PAIRS_AT_ONCE = 1 << 20
+#: Texts before it that a text's partner is looked for among, in each list.
+WINDOW = 48
+#: Bits of the parity sketch that goes with every posting.
+SKETCH_BITS = 512
+_PAIRS_AT_ONCE = 1 << 16
 
 
 def _percent(threshold: float) -> int:
@@ -53,12 +57,12 @@ def alike(common: int, a: int, b: int, thousandths: int) -> bool:
     return 1000 * common >= thousandths * (a + b - common)
 
 
-def parity_bitmap(shingles: np.ndarray) -> bytes:
-    """For as many bits as there are shingles (the next power of two, at least 64): whether an odd number of shingles fall on each.
+def parity_bitmap(shingles: np.ndarray, bits: int = 0) -> bytes:
+    """For as many bits as there are shingles (the next power of two, at least 64) or are given: whether an odd number of shingles fall on each.
 
     Two sets differ in at least as many shingles as their bitmaps differ in bits.
     """
-    bits = max(64, 1 << max(len(shingles) - 1, 0).bit_length())
+    bits = bits or max(64, 1 << max(len(shingles) - 1, 0).bit_length())
     counts = np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits)
     return np.packbits(counts & 1, bitorder="little").tobytes()
 
@@ -90,7 +94,7 @@ def prefix(shingles: np.ndarray, counts: np.ndarray, texts: float, thousandths:
 
 
 def _summaries(docs: DataFrame, width: int) -> DataFrame:
-    """Of each text doc_id, n, fingerprint and bitmap (kind 0); and the counts of each task (kind 1: n is the part's number)."""
+    """Of each text doc_id, n, fingerprint, bitmap and sketch (kind 0); and the counts of each task (kind 1: n is the part's number)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
@@ -99,16 +103,17 @@ def _summaries(docs: DataFrame, width: int) -> DataFrame:
             if len(sets):
                 counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - 18)).astype(np.int64), minlength=BUCKETS)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([0] * len(sets), pa.int32()), part.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([parity_bitmap(s) for s in sets], pa.binary())],
-                names=["kind", "doc_id", "n", "fingerprint", "bitmap"],
+                [pa.array([0] * len(sets), pa.int32()), part.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([parity_bitmap(s) for s in sets], pa.binary()), pa.array([parity_bitmap(s, SKETCH_BITS) for s in sets], pa.binary())],
+                names=["kind", "doc_id", "n", "fingerprint", "bitmap", "sketch"],
             )
         if counts.any():
             parts = np.split(counts.astype("<u4"), COUNT_ROWS)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([1] * COUNT_ROWS, pa.int32()), pa.nulls(COUNT_ROWS, pa.int64()), pa.array(range(COUNT_ROWS), pa.int64()), pa.nulls(COUNT_ROWS, pa.binary()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["kind", "doc_id", "n", "fingerprint", "bitmap"]
-            )
+                [pa.array([1] * COUNT_ROWS, pa.int32()), pa.nulls(COUNT_ROWS, pa.int64()), pa.array(range(COUNT_ROWS), pa.int64()), pa.nulls(COUNT_ROWS, pa.binary()), pa.array([p.tobytes() for p in parts], pa.binary()), pa.nulls(COUNT_ROWS, pa.binary())],
+                names=["kind", "doc_id", "n", "fingerprint", "bitmap", "sketch"],
+            )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "kind int, doc_id long, n long, fingerprint binary, bitmap binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "kind int, doc_id long, n long, fingerprint binary, bitmap binary, sketch binary")
 
 
 def _counted(summaries: DataFrame) -> np.ndarray:
@@ -147,57 +152,30 @@ def _postings(spark: SparkSession, docs: DataFrame, counts: np.ndarray, width: i
     return docs.select("doc_id", "text").mapInArrow(run, "shingle long, doc_id long, n int, m int")
 
 
-def _shared_postings(postings: DataFrame, thousandths: int) -> DataFrame:
-    """Postings of shingles that several texts have, each with the text it hangs on: the first in its list, in order of size, that is not too small for it."""
+def _shared_postings(postings: DataFrame) -> DataFrame:
+    """The postings of shingles that several texts have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carried = None  # last posting of the batch before, with its text to hang on, and whether it has been given out
+        held, given = None, False  # last posting so far, and whether it has been given out
         for batch in batches:
-            shingle, doc, n, m = (batch.column(c).to_numpy() for c in ("shingle", "doc_id", "n", "m"))
-            if not len(shingle):
+            if not batch.num_rows:
                 continue
-            n = n.astype(np.int64)
-            given = np.zeros(len(shingle), bool)
-            if carried:
-                shingle, doc, n, m = (np.concatenate(([v], x)) for v, x in zip(carried[0], (shingle, doc, n, m), strict=True))
-                given = np.concatenate(([carried[2]], given))
-            new = np.concatenate(([True], shingle[1:] != shingle[:-1]))
-            starts = np.flatnonzero(new)
-            lengths = np.diff(np.append(starts, len(shingle)))
-            hub = np.arange(len(shingle))
-            own = np.repeat(starts, lengths)
-            # Where the first is large enough for all, no search is needed.
-            hub[:] = own
-            wide = np.flatnonzero((1000 * n[own] < thousandths * n) & ~new)
-            for run_start in np.unique(own[wide]):
-                end = run_start + lengths[np.searchsorted(starts, run_start)]
-                first = run_start
-                while True:
-                    later = first + np.searchsorted(n[first:end], n[first] * 1000 // thousandths, side="right")
-                    hub[first:later] = first
-                    if later >= end:
-                        break
-                    first = later
-            on, on_n = doc[hub], n[hub]
-            if carried and carried[0][0] == shingle[1 if len(shingle) > 1 else 0] and len(shingle) > 1:
-                # The list goes on from the batch before: keep its text to hang on while it fits.
-                end = lengths[0]
-                fits = 1000 * carried[1][1] >= thousandths * n[:end]
-                on[:end] = np.where(fits, carried[1][0], on[:end])
-                on_n[:end] = np.where(fits, carried[1][1], on_n[:end])
-            several = np.repeat(lengths > 1, lengths)
-            out = several & ~given
-            last = len(shingle) - 1
-            carried = ((shingle[last], doc[last], n[last], m[last]), (on[last], on_n[last]), bool(several[last]))
-            if out.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (shingle, doc, n.astype(np.int32), m, on)], names=["shingle", "doc_id", "n", "m", "hub"])
-
-    ordered = postings.repartition("shingle").sortWithinPartitions("shingle", "n", "doc_id")
-    return ordered.mapInArrow(run, "shingle long, doc_id long, n int, m int, hub long")
+            shingle = batch.column("shingle").to_numpy()
+            same = shingle[1:] == shingle[:-1]
+            goes_on = held is not None and held.column("shingle")[0].as_py() == shingle[0]
+            several = np.concatenate(([goes_on], same)) | np.concatenate((same, [False]))
+            if goes_on and not given:
+                yield held
+            if several.any():
+                yield batch.filter(pa.array(several))
+            held, given = batch.slice(batch.num_rows - 1), bool(several[-1])
+
+    ordered = postings.repartition("shingle").sortWithinPartitions("shingle")
+    return ordered.mapInArrow(run, "shingle long, doc_id long, n int, m int")
 
 
 def _bounded(pairs: DataFrame, nodes: DataFrame, thousandths: int) -> DataFrame:
-    """The pairs (a, b) that bitmaps do not rule out."""
+    """The pairs (a, b, shared) that whole bitmaps do not rule out."""
     left = nodes.select(F.col("doc_id").alias("a"), F.col("n").alias("a_n"), F.col("bitmap").alias("a_bits"))
     right = nodes.select(F.col("doc_id").alias("b"), F.col("n").alias("b_n"), F.col("bitmap").alias("b_bits"))
     near = pairs.join(left, "a").join(right, "b").where((F.lit(1000) * F.least("a_n", "b_n")) >= F.lit(thousandths) * F.greatest("a_n", "b_n"))
@@ -206,9 +184,9 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, thousandths: int) -> DataFrame:
         for batch in batches:
             c = {name: batch.column(name).to_pylist() for name in ("a_n", "b_n", "a_bits", "b_bits")}
             good = pa.array([may_be_alike(x, y, n, k, thousandths) for x, y, n, k in zip(c["a_bits"], c["b_bits"], c["a_n"], c["b_n"], strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], names=["a", "b"])
+            yield batch.select(["a", "b", "shared"]).filter(good)
 
-    return near.select("a", "b", "a_n", "b_n", "a_bits", "b_bits").mapInArrow(run, "a long, b long")
+    return near.select("a", "b", "shared", "a_n", "b_n", "a_bits", "b_bits").mapInArrow(run, "a long, b long, shared long")
 
 
 def _checked(spark: SparkSession, pairs: DataFrame, docs: DataFrame, width: int, thousandths: int) -> DataFrame:
@@ -242,48 +220,93 @@ def _partners(pairs: DataFrame) -> DataFrame:
     return pairs.join(pairs.groupBy("a").agg(F.count("*").alias("partners")), "a")
 
 
-def _open_pairs(postings: DataFrame, thousandths: int) -> DataFrame:
-    """Pairs of texts of different components in one posting list, each with the matches that it needs and has."""
-    lists = postings.groupBy("shingle").agg(F.count("*").alias("length"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    rows = postings.join(lists.select("shingle", F.ceil(F.col("length") / LIST_BLOCK).cast("int").alias("blocks")), "shingle")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("shingle", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "n", "doc_id", "m", "component")
+class _Lists:
+    """Whole posting lists of shingles, or of pairs of blocks of them, one after the other, each in order of size."""
+
+    def __init__(self, t: pa.Table, begins: np.ndarray, thousandths: int):
+        self.block, self.n, self.doc, self.m, self.component, x, y = (t[c].to_numpy() for c in ("block", "n", "doc_id", "m", "component", "x", "y"))
+        self.n, self.across, self.thousandths = self.n.astype(np.int64), x != y, thousandths
+        self.bits = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint64).reshape(t.num_rows, -1)
+        #: How many postings of the same list stand before each.
+        self.earlier = np.arange(t.num_rows) - np.repeat(begins, np.diff(np.append(begins, t.num_rows)))
+
+    def may_link(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """For positions i before j of one list: not of one component, not of one block if blocks meet, and not ruled out by size or sketch."""
+        ok = (self.component[i] != self.component[j]) & (1000 * self.n[i] >= self.thousandths * self.n[j])
+        ok &= (self.block[i] != self.block[j]) | ~self.across[i]
+        at = np.flatnonzero(ok)
+        for part in np.array_split(at, max(1, len(at) // _PAIRS_AT_ONCE)):
+            differ = np.bitwise_count(self.bits[i[part]] ^ self.bits[j[part]]).sum(1, dtype=np.int64)
+            total = self.n[i[part]] + self.n[j[part]]
+            common = np.minimum((total - differ) // 2, self.n[i[part]])
+            ok[part] = 1000 * common >= self.thousandths * (total - common)
+        return ok
+
+    def pairs(self, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All that may link; or for each posting the nearest one before it, if one of the window may."""
+        open_, back = np.arange(len(self.n)), 0
+        while every or back < WINDOW:
+            back += 1
+            open_ = open_[self.earlier[open_] >= back]
+            if every:  # lists are in order of size: all before are smaller still
+                open_ = open_[1000 * self.n[open_ - back] >= self.thousandths * self.n[open_]]
+            if not len(open_):
+                break
+            good = self.may_link(open_ - back, open_)
+            yield open_[good] - back, open_[good]
+            if not every:
+                open_ = open_[~good]
+
+
+def _open_pairs(postings: DataFrame, components: DataFrame | None, nodes: DataFrame, thousandths: int, whole: bool) -> DataFrame:
+    """a, b, shared and needs: pairs of different components that meet in a list and may link, and in how many lists.
+
+    With ``whole`` all of them; else for each text of a list its nearest one before it, if there is one near.
+    """
+    rows = postings.withColumn("component", F.col("doc_id"))
+    if components is not None:
+        rows = postings.join(components, postings["doc_id"] == components["node"], "left").select("shingle", "doc_id", "n", "m", F.coalesce("component", "doc_id").alias("component"))
+    lists = rows.groupBy("shingle").agg(F.count("*").alias("length"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    rows = rows.join(lists.select("shingle", F.ceil(F.col("length") / LIST_BLOCK).cast("int").alias("blocks")), "shingle")
+    rows = rows.join(nodes.select("doc_id", "sketch"), "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    if whole:
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    else:
+        rows = rows.withColumn("other", F.col("block"))
+    rows = rows.select("shingle", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "n", "doc_id", "m", "component", "sketch")
     ordered = rows.repartition("shingle", "x", "y").sortWithinPartitions("shingle", "x", "y", "n", "doc_id")
+    keys = ("shingle", "x", "y")
 
-    def pairs(x: int, y: int, block: np.ndarray, n: np.ndarray, doc: np.ndarray, m: np.ndarray, component: np.ndarray) -> Iterator[pa.RecordBatch]:
-        reach = np.searchsorted(n, n.astype(np.int64) * 1000 // thousandths, side="right")
-        sizes = np.maximum(reach - np.arange(len(n)) - 1, 0)
-        done = np.concatenate(([0], np.cumsum(sizes)))
-        lo = 0
-        while lo < len(n):
-            hi = max(lo + 1, int(np.searchsorted(done, done[lo] + _PAIRS_AT_ONCE, side="right")) - 1)
-            i = np.repeat(np.arange(lo, hi), sizes[lo:hi])
-            j = np.arange(len(i)) - np.repeat(done[lo:hi] - done[lo], sizes[lo:hi]) + i + 1
-            ok = (component[i] != component[j]) & ((block[i] != block[j]) | (x == y))
-            i, j = i[ok], j[ok]
+    def pairs(t: pa.Table, begins: np.ndarray) -> Iterator[pa.RecordBatch]:
+        lists = _Lists(t, begins, thousandths)
+        for i, j in lists.pairs(whole):
             if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[i], doc[j])), pa.array(np.maximum(doc[i], doc[j])), pa.array(np.minimum(m[i], m[j]))], names=["a", "b", "needs"])
-            lo = hi
+                a, b = lists.doc[i], lists.doc[j]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.minimum(lists.m[i], lists.m[j]))], names=["a", "b", "needs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, held = ("shingle", "x", "y", "block", "n", "doc_id", "m", "component"), None
+        held: list[pa.RecordBatch] = []  # the last list so far
         for batch in batches:
-            columns = [batch.column(c).to_numpy() for c in names]
-            if held is not None:
-                columns = [np.concatenate(p) for p in zip(held, columns, strict=True)]
-            if not len(columns[0]):
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(c).to_numpy() for c in keys]
+            new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+            if held and any(held[0].column(c)[0].as_py() != v[0] for c, v in zip(keys, columns, strict=True)):
+                yield from pairs(pa.Table.from_batches(held), np.zeros(1, np.int64))
+                held = []
+            if not len(new):
+                held.append(batch)
                 continue
-            new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)) + 1
-            bounds = [0, *new.tolist()]
-            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-                if hi - lo > 1:
-                    yield from pairs(int(columns[1][lo]), int(columns[2][lo]), *(c[lo:hi] for c in columns[3:]))
-            held = [c[bounds[-1] :] for c in columns]
-        if held is not None and len(held[0]) > 1:
-            yield from pairs(int(held[1][0]), int(held[2][0]), *held[3:])
+            last = int(new[-1])
+            before = sum(h.num_rows for h in held)
+            begins = np.concatenate(([0], new[:-1] + before))
+            yield from pairs(pa.Table.from_batches([*held, batch.slice(0, last)]), begins)
+            held = [batch.slice(last)]
+        if held:
+            yield from pairs(pa.Table.from_batches(held), np.zeros(1, np.int64))
 
     found = ordered.mapInArrow(run, "a long, b long, needs int")
-    return found.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("needs").alias("needs")).where("shared >= needs").select("a", "b")
+    return found.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("needs").alias("needs"))
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, width: int, threshold: float) -> DataFrame:
@@ -299,7 +322,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, width: int, thresho
     summaries = written(spark, _summaries(docs, width), "join-summaries")
     texts = summaries.where("kind = 0")
     # (1) one node for each set
-    nodes = texts.where("n > 0 and doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.count("*").alias("copies"))
+    nodes = texts.where("n > 0 and doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.first("sketch").alias("sketch"), F.count("*").alias("copies"))
     nodes = written(spark, nodes, "join-nodes")
     copies = texts.where("doc_id is not null").select("doc_id", "fingerprint").join(nodes.where("copies > 1").select("fingerprint", F.col("doc_id").alias("node")), "fingerprint").select("doc_id", "node")
     copies = written(spark, copies.where("doc_id <> node"), "join-copies")
@@ -307,16 +330,19 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, width: int, thresho
     single = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     dropped = copies.count()
     single = single.join(F.broadcast(others) if dropped <= BROADCAST_ROWS else others, "doc_id", "left_anti") if dropped else single
-    # (2) postings, and links to hang on
-    postings = written(spark, _shared_postings(_postings(spark, single, _counted(summaries), width, thousandths), thousandths), "join-postings")
-    stars = postings.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    # (3) one link to check for each text: the smallest that bitmaps let pass
-    first = _bounded(stars, nodes, thousandths).groupBy("b").agg(F.min("a").alias("a"))
-    links = written(spark, _checked(spark, _partners(first), single, width, thousandths), "join-links")
-    components = connected_components(spark, links)
+    # (2) postings
+    postings = written(spark, _shared_postings(_postings(spark, single, _counted(summaries), width, thousandths)), "join-postings")
+    # (3) one link to check for each text, twice
+    links, components = None, None
+    for _ in range(2):
+        near = _bounded(_open_pairs(postings, components, nodes, thousandths, whole=False).select("a", "b", "shared"), nodes, thousandths)
+        one = near.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
+        more = _checked(spark, _partners(one), single, width, thousandths)
+        links = written(spark, more if links is None else links.union(more), "join-links")
+        components = connected_components(spark, links)
     # (4) pairs that are still open
-    labelled = postings.join(components, postings["doc_id"] == components["node"], "left").select("shingle", "doc_id", "n", "m", F.coalesce("component", "doc_id").alias("component"))
-    rest = written(spark, _bounded(_open_pairs(labelled, thousandths), nodes, thousandths), "join-open")
+    rest = _open_pairs(postings, components, nodes, thousandths, whole=True).where("shared >= needs").select("a", "b", "shared")
+    rest = written(spark, _bounded(rest, nodes, thousandths), "join-open")
     more = _checked(spark, _partners(rest), single, width, thousandths)
     # All links between nodes, and of copies to their node
     everything = links.union(more).union(copies.select(F.col("node").alias("a"), F.col("doc_id").alias("b")))
