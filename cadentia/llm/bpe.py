@@ -44,8 +44,8 @@ _SPACES = [chr(c) for c in (0x9, 0xA, 0xB, 0xC, 0xD, 0x20, 0x1C, 0x1D, 0x1E, 0x1
 _ASCII_RUNS = [p for s in _SPACES if ord(s) < 128 for p in (s + " ", " " + s)]
 _ALL_RUNS = [p for s in _SPACES for p in (s + " ", " " + s)]
 _NEVER = 1 << 60
-#: Chunks of a text remembered in each of two generations, and the longest chunk remembered.
-REMEMBERED, LONGEST = 250_000, 64
+#: Chunks of a text remembered in each of two generations (beginnings of texts are few), the longest chunk, and pairs of tokens remembered.
+REMEMBERED, REMEMBERED_FIRST, LONGEST, PAIRS = 120_000, 5_000, 48, 250_000
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -58,8 +58,8 @@ def _byte_of_char() -> dict[str, int]:
 class _Memory(dict):
     """Encoded chunks used lately: when the newer generation is full, the older one is dropped."""
 
-    def __init__(self, encode):
-        self.encode, self.older = encode, {}
+    def __init__(self, encode, most: int):
+        self.encode, self.most, self.older = encode, most, {}
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.older.get(chunk)
@@ -67,7 +67,7 @@ class _Memory(dict):
             ids = self.encode(chunk)
             if len(chunk) > LONGEST:
                 return ids
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
         self[chunk] = ids
@@ -124,8 +124,8 @@ class Tokenizer:
             if whole:
                 self.automaton.add_word(self.tokens[i].decode("latin-1"), (len(self.tokens[i]), i))
         self.automaton.make_automaton()
-        self._first = _Memory(self._encode_chunk)
-        self._later = _Memory(lambda chunk: self._encode_chunk(" " + chunk))
+        self._first = _Memory(self._encode_chunk, REMEMBERED_FIRST)
+        self._later = _Memory(lambda chunk: self._encode_chunk(" " + chunk), REMEMBERED)
 
     def _first_crossing(self, a: int, b: int) -> tuple[int, int] | None:
         """The first pair merged across the border of a and b when both are spelt out in bytes, or None."""
@@ -158,7 +158,7 @@ class Tokenizer:
                 key = before << 20 | token
                 fits = memo.get(key)
                 if fits is None:
-                    if len(memo) > 1_000_000:
+                    if len(memo) > PAIRS:
                         memo.clear()
                     fits = memo[key] = self._first_crossing(before, token) is None
                 if not fits:

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,16 +55,14 @@ def in_fold(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def text_slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+def text_slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 1 << 18) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     """Cut batches into slices of about ``most_bytes`` of text, so that work arrays stay small. A longer text is a slice of its own."""
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(column)).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         start, held = 0, 0
-        for i, text in enumerate(texts):
-            size = len(text) if text else 0
+        for i, size in enumerate([*sizes, most_bytes + 1]):
             if i > start and held + size > most_bytes:
-                yield batch.slice(start, i - start), texts[start:i]
+                part = batch.slice(start, i - start)
+                yield part, part.column(column).to_pylist()
                 start, held = i, 0
             held += size
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]

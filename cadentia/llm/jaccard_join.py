@@ -98,7 +98,7 @@ def _summaries(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
-        for part, texts in text_slices(batches, "text", 1 << 20):
+        for part, texts in text_slices(batches, "text"):
             sets = shingle_sets(texts, width)
             if len(sets):
                 counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - 18)).astype(np.int64), minlength=BUCKETS)
@@ -138,7 +138,7 @@ def _postings(spark: SparkSession, docs: DataFrame, counts: np.ndarray, width: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         average = float(shared.value.mean())
-        for part, texts in text_slices(batches, "text", 1 << 20):
+        for part, texts in text_slices(batches, "text"):
             sets = shingle_sets(texts, width)
             found = [prefix(s, shared.value, average, thousandths) if len(s) else (s, 0) for s in sets]
             sizes = np.array([len(p) for p, _ in found])
@@ -201,7 +201,7 @@ def _checked(spark: SparkSession, pairs: DataFrame, docs: DataFrame, width: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, hub_set = None, None
-        for part, texts in text_slices(batches, "text", 1 << 20):
+        for part, texts in text_slices(batches, "text"):
             out_a, out_b = [], []
             for a, side, doc, s in zip(part.column("a").to_pylist(), part.column("side").to_pylist(), part.column("doc_id").to_pylist(), shingle_sets(texts, width), strict=True):
                 if side == 0:

@@ -151,7 +151,7 @@ def _predictions(spark: SparkSession, rows: DataFrame, model: LanguageModel) ->
     kept = [c for c in rows.columns if c != "__text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_slices(batches, "__text", 1 << 18):
+        for part, texts in text_slices(batches, "__text"):
             labels, score, ambiguous = shared.value.predict(texts)
             columns = [pa.array(labels, pa.string()), pa.array(score, pa.float64()), pa.array(ambiguous, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*columns, *[part.column(c) for c in kept]], names=["lang_pred", "score", "ambiguous", *kept])
