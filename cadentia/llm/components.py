@@ -2,38 +2,53 @@
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadentia.llm.common import written
 
+#: Nodes that one task joins at a time.
+MOST_NODES = 500_000
+
+
+def _locally_joined(links: DataFrame) -> DataFrame:
+    """Links with the same components: of each task, every node to the smallest one that the task's links reach from it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        union = Union()
+        for batch in batches:
+            for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                union.join(x, y)
+            if len(union.parent) > MOST_NODES:
+                yield union.star()
+                union = Union()
+        yield union.star()
 
-def _smallest_neighbour(links: DataFrame) -> DataFrame:
-    return links.groupBy("a").agg(F.min("b").alias("m"))
+    return links.select("a", "b").mapInArrow(run, "a long, b long")
 
 
 def connected_components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """``node`` and ``component`` (its smallest node) for all nodes of ``links`` (a, b).
 
-    Rounds alternate between hanging every node's larger neighbours, and its smaller ones, on its smallest
-    neighbour, until nothing changes; each round is written to the shared folder. The number of rounds grows
-    with the logarithm of the longest path.
+    A link goes from the larger to the smaller node. In each round the other smaller neighbours of a node are
+    hung on the smallest, and every node on the smallest neighbour of that one, until each node has one link,
+    to a node that has none. Rounds are written to the shared folder; their number grows with the logarithm
+    of the longest path.
     """
-    stars = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    stars = written(spark, stars, "links")
-    before = None
+    stars = written(spark, _locally_joined(links.where("a <> b")), "links")
     while True:
-        both = stars.union(stars.select("b", "a"))
-        smallest = _smallest_neighbour(both).withColumn("m", F.least("a", "m"))
-        large = both.where("b > a").join(smallest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        own = large.join(_smallest_neighbour(large), "a")
-        small = own.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(own.select("a", F.col("m").alias("b"))).distinct()
-        stars = written(spark, small, "links")
-        state = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
+        smallest = stars.groupBy("a").agg(F.min("b").alias("m"))
+        hung = stars.join(smallest, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("l"), (F.col("b") != F.col("m")).alias("moved"))
+        hung = hung.select("l.a", "l.b", "moved").where("a <> b")
+        over = smallest.select(F.col("a").alias("b"), F.col("m").alias("next"))
+        jumped = hung.join(over, "b", "left").select("a", F.coalesce("next", "b").alias("b"), (F.col("moved") | F.col("next").isNotNull()).alias("moved"))
+        stars = written(spark, jumped.groupBy("a", "b").agg(F.max("moved").alias("moved")), "links")
+        if not stars.where("moved").limit(1).count():
             break
-        before = state
+        stars = stars.select("a", "b")
     return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(stars.select(F.col("b").alias("node"), "b").distinct())
 
 
@@ -57,7 +72,7 @@ class Union:
             self.parent[max(x, y)] = min(x, y)
         return x != y
 
-    def links(self) -> tuple[np.ndarray, np.ndarray]:
+    def star(self) -> pa.RecordBatch:
+        """A link from each node that is not the smallest of its component to that one."""
         pairs = [(x, r) for x in list(self.parent) if (r := self.root(x)) != x]
-        a = np.array(pairs, np.int64).reshape(-1, 2)
-        return a[:, 0], a[:, 1]
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])

@@ -8,9 +8,9 @@ weighs the postings that the counts predict against the comparisons; a pair has
 the two.
 
 Steps: (1) Texts with equal sets are one node. (2) Postings of shingles that only one text has are dropped.
-(3) Twice, each text is given one partner that parity bitmaps do not rule out, from those before it in the lists
-that it is in; the links are checked on the texts and joined to components. This takes as many checks as texts
-and settles most pairs of a large group. (4) Pairs of different components in one list that the bitmaps let
+(3) Each text is given one partner that parity bitmaps do not rule out, from those before it in the lists that
+it is in; the links are checked on the texts and joined to components. This takes as many checks as texts and
+settles most pairs of a large group. (4) Pairs of different components in one list that the bitmaps let
 pass are counted over all lists; those with enough shared postings are checked. Postings of a very frequent
 shingle are cut into blocks, and pairs of blocks go to different tasks.
 """
@@ -30,8 +30,9 @@ from cadentia.llm.common import BROADCAST_ROWS, small_or_plain, text_slices, wri
 from cadentia.llm.components import connected_components
 from cadentia.llm.shingles import shingle_sets
 
-#: Buckets of the counts (a power of two), kept in so many rows.
-BUCKETS, COUNT_ROWS = 1 << 18, 64
+#: Buckets of the counts, as a power of two, and rows that they are kept in.
+BUCKET_BITS, COUNT_ROWS = 20, 64
+BUCKETS = 1 << BUCKET_BITS
 #: Most shared postings asked for, and the cost of a comparison against a posting.
 MOST_MATCHES, COMPARISON = 6, 4.0
 #: Postings of a shingle in one task for pairs, and texts checked against one other in one task.
@@ -82,7 +83,7 @@ def prefix(shingles: np.ndarray, counts: np.ndarray, texts: float, thousandths:
     """The chosen prefix of a set in the global order, and the matches that it asks for."""
     n = len(shingles)
     t = needed(n, thousandths)
-    seen = counts[(shingles >> np.uint64(64 - 18)).astype(np.int64)]
+    seen = counts[(shingles >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)].astype(np.int64)
     order = np.lexsort((shingles, seen))
     base = n - t + 1
     most = min(MOST_MATCHES, t)
@@ -97,15 +98,23 @@ def _summaries(docs: DataFrame, width: int) -> DataFrame:
     """Of each text doc_id, n, fingerprint, bitmap and sketch (kind 0); and the counts of each task (kind 1: n is the part's number)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, np.int64)
+        counts, held = np.zeros(BUCKETS, np.int64), []
+
+        def count() -> None:
+            if held:
+                np.add(counts, np.bincount((np.concatenate(held) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=BUCKETS), out=counts)
+                held.clear()
+
         for part, texts in text_slices(batches, "text"):
             sets = shingle_sets(texts, width)
-            if len(sets):
-                counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - 18)).astype(np.int64), minlength=BUCKETS)
+            held += sets
+            if sum(map(len, held)) > BUCKETS:
+                count()
             yield pa.RecordBatch.from_arrays(
                 [pa.array([0] * len(sets), pa.int32()), part.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([parity_bitmap(s) for s in sets], pa.binary()), pa.array([parity_bitmap(s, SKETCH_BITS) for s in sets], pa.binary())],
                 names=["kind", "doc_id", "n", "fingerprint", "bitmap", "sketch"],
             )
+        count()
         if counts.any():
             parts = np.split(counts.astype("<u4"), COUNT_ROWS)
             yield pa.RecordBatch.from_arrays(
@@ -126,7 +135,7 @@ def _counted(summaries: DataFrame) -> np.ndarray:
                 sums[part] = sums.get(part, 0) + np.frombuffer(own, "<u4").astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([np.minimum(v, 2**32 - 1).astype("<u4").tobytes() for v in sums.values()], pa.binary())], names=["n", "bitmap"])
 
-    out = np.zeros((COUNT_ROWS, BUCKETS // COUNT_ROWS), np.int64)
+    out = np.zeros((COUNT_ROWS, BUCKETS // COUNT_ROWS), np.uint32)
     for r in summaries.where("kind = 1").select("n", "bitmap").repartition(COUNT_ROWS, "n").mapInArrow(run, "n long, bitmap binary").collect():
         out[r["n"]] = np.frombuffer(r["bitmap"], "<u4")
     return out.ravel()
@@ -258,7 +267,7 @@ class _Lists:
                 open_ = open_[~good]
 
 
-def _open_pairs(postings: DataFrame, components: DataFrame | None, nodes: DataFrame, thousandths: int, whole: bool) -> DataFrame:
+def _open_pairs(postings: DataFrame, long_lists: DataFrame, components: DataFrame | None, nodes: DataFrame, thousandths: int, whole: bool) -> DataFrame:
     """a, b, shared and needs: pairs of different components that meet in a list and may link, and in how many lists.
 
     With ``whole`` all of them; else for each text of a list its nearest one before it, if there is one near.
@@ -266,9 +275,8 @@ def _open_pairs(postings: DataFrame, components: DataFrame | None, nodes: DataFr
     rows = postings.withColumn("component", F.col("doc_id"))
     if components is not None:
         rows = postings.join(components, postings["doc_id"] == components["node"], "left").select("shingle", "doc_id", "n", "m", F.coalesce("component", "doc_id").alias("component"))
-    lists = rows.groupBy("shingle").agg(F.count("*").alias("length"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    rows = rows.join(lists.select("shingle", F.ceil(F.col("length") / LIST_BLOCK).cast("int").alias("blocks")), "shingle")
-    rows = rows.join(nodes.select("doc_id", "sketch"), "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    rows = rows.join(nodes.select("doc_id", "sketch"), "doc_id").join(long_lists, "shingle", "left")
+    rows = rows.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     if whole:
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     else:
@@ -332,23 +340,26 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, width: int, thresho
     single = single.join(F.broadcast(others) if dropped <= BROADCAST_ROWS else others, "doc_id", "left_anti") if dropped else single
     # (2) postings
     postings = written(spark, _shared_postings(_postings(spark, single, _counted(summaries), width, thousandths)), "join-postings")
-    # (3) one link to check for each text, twice
-    links, components = None, None
-    for _ in range(2):
-        near = _bounded(_open_pairs(postings, components, nodes, thousandths, whole=False).select("a", "b", "shared"), nodes, thousandths)
-        one = near.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
-        more = _checked(spark, _partners(one), single, width, thousandths)
-        links = written(spark, more if links is None else links.union(more), "join-links")
-        components = connected_components(spark, links)
+    long_lists = postings.groupBy("shingle").agg(F.count("*").alias("length")).where(F.col("length") > LIST_BLOCK)
+    long_lists = written(spark, long_lists.select("shingle", F.ceil(F.col("length") / LIST_BLOCK).cast("int").alias("blocks")), "join-long")
+    long_lists = small_or_plain(long_lists, long_lists.count())
+    # (3) one link to check for each text
+    near = _bounded(_open_pairs(postings, long_lists, None, nodes, thousandths, whole=False).select("a", "b", "shared"), nodes, thousandths)
+    one = near.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
+    links = written(spark, _checked(spark, _partners(one), single, width, thousandths), "join-links")
+    components = connected_components(spark, links)
     # (4) pairs that are still open
-    rest = _open_pairs(postings, components, nodes, thousandths, whole=True).where("shared >= needs").select("a", "b", "shared")
+    rest = _open_pairs(postings, long_lists, components, nodes, thousandths, whole=True).where("shared >= needs").select("a", "b", "shared")
     rest = written(spark, _bounded(rest, nodes, thousandths), "join-open")
     more = _checked(spark, _partners(rest), single, width, thousandths)
-    # All links between nodes, and of copies to their node
-    everything = links.union(more).union(copies.select(F.col("node").alias("a"), F.col("doc_id").alias("b")))
-    final = connected_components(spark, everything)
-    out = texts.select("doc_id", F.col("n").alias("n_shingles")).join(final, F.col("doc_id") == F.col("node"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    # Ids of several rows are where their sets meet.
+    repeated = texts.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    meeting = copies.join(repeated, "doc_id", "left_semi").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    final = connected_components(spark, links.union(more).union(meeting))
+    node_of = copies.groupBy("doc_id").agg(F.min("node").alias("own"))
+    out = texts.select("doc_id", F.col("n").alias("n_shingles")).join(node_of, "doc_id", "left").withColumn("own", F.coalesce("own", "doc_id"))
+    out = out.join(final, F.col("own") == F.col("node"), "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "own").alias("component_id"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
