@@ -66,12 +66,13 @@ def parse_box(json: Column, depth: int = 2) -> Column:
 
     Lists of four are xywh first and corners if that is no valid box. An object with the keys of an encoding
     is judged by that alone, otherwise by its polygons. Where that gives nothing, the usual nested names are
-    tried in order, ``depth`` levels deep.
+    tried in order, ``depth`` levels deep; names inside a nested object that is no valid box are tried as well.
     """
     v = F.try_parse_json(json)
     places = F.array(*[F.try_variant_get(v, path, "variant") for path in _paths(depth)])
     found = F.filter(F.transform(places, _parsed), lambda b: b.isNotNull())
-    return F.get(found, F.lit(0))
+    box, keyed = _keyed(v)
+    return F.when(F.coalesce(keyed, F.lit(False)), box).otherwise(F.get(found, F.lit(0)))
 
 
 def _parsed(v: Column) -> Column:
