@@ -134,13 +134,13 @@ def segments_noflush(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def segments_split(spark: SparkSession, d: str) -> DataFrame:
-    s = _conditioned(spark, d)
+    s = stream.written(spark, _conditioned(spark, d), "signal")
     return _shown(segments.split(s, segments.hysteresis(s, RULES), RULES).withColumn("flags", F.concat_ws("|", "flags")))
 
 
 @query
 def segments_final(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(_shown(segments.segmented(_conditioned(spark, d), RULES).withColumn("flags", F.concat_ws("|", "flags"))), "confidence")
+    return rounded(_shown(segments.segmented(stream.written(spark, _conditioned(spark, d), "signal"), RULES).withColumn("flags", F.concat_ws("|", "flags"))), "confidence")
 
 
 @query

@@ -1,4 +1,4 @@
-"""Running a stream to its end into Parquet, in the folder that executors share."""
+"""Results in the folder that executors share: tables that several steps use, and streams run to their end."""
 
 from __future__ import annotations
 
@@ -19,6 +19,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _own
 
 
+def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it again, for results that several steps use."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table as a stream of its files. A table that is one file is picked out of its folder, since streams read folders."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
