@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from cadentia.llm.common import written
 
-#: Nodes that one task joins at a time.
-MOST_NODES = 500_000
+#: Links that are joined in one task at the start (about), and tasks for that at least.
+MOST_NODES, LEAST_TASKS = 250_000, 4
 
 
 def _locally_joined(links: DataFrame) -> DataFrame:
@@ -38,7 +38,9 @@ def connected_components(spark: SparkSession, links: DataFrame) -> DataFrame:
     to a node that has none. Rounds are written to the shared folder; their number grows with the logarithm
     of the longest path.
     """
-    stars = written(spark, _locally_joined(links.where("a <> b")), "links")
+    links = written(spark, links.where("a <> b").select("a", "b"), "links")
+    tasks = max(LEAST_TASKS, -(-links.count() // MOST_NODES))
+    stars = written(spark, _locally_joined(links.coalesce(tasks)), "links")
     while True:
         smallest = stars.groupBy("a").agg(F.min("b").alias("m"))
         hung = stars.join(smallest, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("l"), (F.col("b") != F.col("m")).alias("moved"))

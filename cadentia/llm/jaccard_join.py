@@ -346,8 +346,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, width: int, thresho
     # (3) one link to check for each text
     near = _bounded(_open_pairs(postings, long_lists, None, nodes, thousandths, whole=False).select("a", "b", "shared"), nodes, thousandths)
     one = near.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
-    links = written(spark, _checked(spark, _partners(one), single, width, thousandths), "join-links")
-    components = connected_components(spark, links)
+    components = connected_components(spark, _checked(spark, _partners(one), single, width, thousandths))
     # (4) pairs that are still open
     rest = _open_pairs(postings, long_lists, components, nodes, thousandths, whole=True).where("shared >= needs").select("a", "b", "shared")
     rest = written(spark, _bounded(rest, nodes, thousandths), "join-open")
@@ -355,7 +354,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, width: int, thresho
     # Ids of several rows are where their sets meet.
     repeated = texts.groupBy("doc_id").count().where("count > 1").select("doc_id")
     meeting = copies.join(repeated, "doc_id", "left_semi").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    final = connected_components(spark, links.union(more).union(meeting))
+    final = connected_components(spark, components.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more).union(meeting))
     node_of = copies.groupBy("doc_id").agg(F.min("node").alias("own"))
     out = texts.select("doc_id", F.col("n").alias("n_shingles")).join(node_of, "doc_id", "left").withColumn("own", F.coalesce("own", "doc_id"))
     out = out.join(final, F.col("own") == F.col("node"), "left")
