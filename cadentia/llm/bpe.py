@@ -45,7 +45,7 @@ _ASCII_RUNS = [p for s in _SPACES if ord(s) < 128 for p in (s + " ", " " + s)]
 _ALL_RUNS = [p for s in _SPACES for p in (s + " ", " " + s)]
 _NEVER = 1 << 60
 #: Chunks of a text remembered in each of two generations (beginnings of texts are few), the longest chunk, and pairs of tokens remembered.
-REMEMBERED, REMEMBERED_FIRST, LONGEST, PAIRS = 120_000, 5_000, 48, 250_000
+REMEMBERED, REMEMBERED_FIRST, LONGEST, PAIRS = 100_000, 5_000, 48, 200_000
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -105,18 +105,13 @@ class Tokenizer:
             self.rank[a << 20 | b] = r
             if c not in parts:
                 parts[c], made[c] = (a, b), r
-        #: Edges of each token's merge tree from the byte up: tokens, and the rank at which each is used up.
-        self.right_edge: dict[int, list[tuple[int, int]]] = {}
-        self.left_edge: dict[int, list[tuple[int, int]]] = {}
+        self._parts, self._made = parts, made
         sound: dict[int, bool] = {}
         for i in sorted(vocab.values(), key=lambda i: made.get(i, -1)):
             if i in parts:
                 a, b = parts[i]
-                self.right_edge[i] = [*self.right_edge[b][:-1], (b, made[i]), (i, _NEVER)]
-                self.left_edge[i] = [*self.left_edge[a][:-1], (a, made[i]), (i, _NEVER)]
                 sound[i] = sound[a] and sound[b] and self._first_crossing(a, b) == (a, b)
             else:
-                self.right_edge[i] = self.left_edge[i] = [(i, _NEVER)]
                 sound[i] = len(self.tokens[i]) == 1
         self._compatible: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
@@ -127,9 +122,17 @@ class Tokenizer:
         self._first = _Memory(self._encode_chunk, REMEMBERED_FIRST)
         self._later = _Memory(lambda chunk: self._encode_chunk(" " + chunk), REMEMBERED)
 
+    def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
+        """The left (0) or right (1) edge of a token's merge tree from the byte up: tokens, and the rank at which each is used up."""
+        out = [(token, _NEVER)]
+        while token in self._parts:
+            used, token = self._made[token], self._parts[token][side]
+            out.append((token, used))
+        return out[::-1]
+
     def _first_crossing(self, a: int, b: int) -> tuple[int, int] | None:
         """The first pair merged across the border of a and b when both are spelt out in bytes, or None."""
-        lefts, rights, i, j = self.right_edge[a], self.left_edge[b], 0, 0
+        lefts, rights, i, j = self._edge(a, 1), self._edge(b, 0), 0, 0
         while True:
             (x, x_used), (y, y_used) = lefts[i], rights[j]
             r = self.rank.get(x << 20 | y)
