@@ -8,9 +8,9 @@ weighs the postings that the counts predict against the comparisons; a pair has
 the two.
 
 Steps: (1) Texts with equal sets are one node. (2) Postings of shingles that only one text has are dropped.
-(3) Each text is given one partner that parity bitmaps do not rule out, from those before it in the lists that
-it is in; the links are checked on the texts and joined to components. This takes as many checks as texts and
-settles most pairs of a large group. (4) Pairs of different components in one list that the bitmaps let
+(3) In two rounds, each text is given one partner of another component that parity bitmaps do not rule out, from
+those before it in the lists that it is in; the links are checked on the texts and joined to components. A round
+takes as many checks as texts and settles most pairs of a large group. (4) Pairs of different components in one list that the bitmaps let
 pass are counted over all lists; those with enough shared postings are checked. Postings of a very frequent
 shingle are cut into blocks, and pairs of blocks go to different tasks.
 """
@@ -37,8 +37,8 @@ BUCKETS = 1 << BUCKET_BITS
 MOST_MATCHES, COMPARISON = 6, 4.0
 #: Postings of a shingle in one task for pairs, and texts checked against one other in one task.
 LIST_BLOCK, CHECK_BLOCK = 2048, 1000
-#: Texts before it that a text's partner is looked for among, in each list.
-WINDOW = 48
+#: Rounds in which each text is given one partner of another component.
+ROUNDS = 2
 #: Bits of the parity sketch that goes with every posting.
 SKETCH_BITS = 512
 _PAIRS_AT_ONCE = 1 << 16
@@ -252,13 +252,13 @@ class _Lists:
         return ok
 
     def pairs(self, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """All that may link; or for each posting the nearest one before it, if one of the window may."""
+        """All that may link; or for each posting the nearest one before it that may."""
         open_, back = np.arange(len(self.n)), 0
-        while every or back < WINDOW:
+        while True:
             back += 1
             open_ = open_[self.earlier[open_] >= back]
-            if every:  # lists are in order of size: all before are smaller still
-                open_ = open_[1000 * self.n[open_ - back] >= self.thousandths * self.n[open_]]
+            # Lists are in order of size: all before are smaller still.
+            open_ = open_[1000 * self.n[open_ - back] >= self.thousandths * self.n[open_]]
             if not len(open_):
                 break
             good = self.may_link(open_ - back, open_)
@@ -270,7 +270,7 @@ class _Lists:
 def _open_pairs(postings: DataFrame, long_lists: DataFrame, components: DataFrame | None, nodes: DataFrame, thousandths: int, whole: bool) -> DataFrame:
     """a, b, shared and needs: pairs of different components that meet in a list and may link, and in how many lists.
 
-    With ``whole`` all of them; else for each text of a list its nearest one before it, if there is one near.
+    With ``whole`` all of them; else for each text of a list the nearest one before it that may link.
     """
     rows = postings.withColumn("component", F.col("doc_id"))
     if components is not None:
@@ -289,8 +289,8 @@ def _open_pairs(postings: DataFrame, long_lists: DataFrame, components: DataFram
         lists = _Lists(t, begins, thousandths)
         for i, j in lists.pairs(whole):
             if len(i):
-                a, b = lists.doc[i], lists.doc[j]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.minimum(lists.m[i], lists.m[j]))], names=["a", "b", "needs"])
+                # a stands before b in the order of sizes and ids, and so in every list that both are in.
+                yield pa.RecordBatch.from_arrays([pa.array(lists.doc[i]), pa.array(lists.doc[j]), pa.array(np.minimum(lists.m[i], lists.m[j]))], names=["a", "b", "needs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # the last list so far
@@ -343,10 +343,15 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, width: int, thresho
     long_lists = postings.groupBy("shingle").agg(F.count("*").alias("length")).where(F.col("length") > LIST_BLOCK)
     long_lists = written(spark, long_lists.select("shingle", F.ceil(F.col("length") / LIST_BLOCK).cast("int").alias("blocks")), "join-long")
     long_lists = small_or_plain(long_lists, long_lists.count())
-    # (3) one link to check for each text
-    near = _bounded(_open_pairs(postings, long_lists, None, nodes, thousandths, whole=False).select("a", "b", "shared"), nodes, thousandths)
-    one = near.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
-    components = connected_components(spark, _checked(spark, _partners(one), single, width, thousandths))
+    # (3) one link to check for each text, in each round
+    components = None
+    for _ in range(ROUNDS):
+        near = _bounded(_open_pairs(postings, long_lists, components, nodes, thousandths, whole=False).select("a", "b", "shared"), nodes, thousandths)
+        one = near.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
+        links = _checked(spark, _partners(one), single, width, thousandths)
+        if components is not None:
+            links = links.union(components.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        components = connected_components(spark, links)
     # (4) pairs that are still open
     rest = _open_pairs(postings, long_lists, components, nodes, thousandths, whole=True).where("shared >= needs").select("a", "b", "shared")
     rest = written(spark, _bounded(rest, nodes, thousandths), "join-open")
