@@ -89,6 +89,30 @@ def test_toxicity_odd(spark, odd_docs, no_docs):
     assert toxicity.score_toxicity(spark, no_docs, some).count() == 0
 
 
+def test_toxicity_of_a_text_is_its_own():
+    rows = labelled(900, 6)
+    model = toxicity.trained([r[1] for r in rows], [r[3] for r in rows], [r[2] for r in rows])
+    texts = ["the and", None, "", "grr", "the", "grr bahh", "!!", "ing", "bahh the and", *[r[1] for r in rows[:60]]]
+    alone = [model.scores([t])[0] for t in texts]
+    assert model.scores(texts).tolist() == alone and model.scores(texts[::-1]).tolist() == alone[::-1]
+
+
+def test_toxicity_pools_where_training_does():
+    rng = np.random.default_rng(4)
+    model = toxicity.ToxicityModel(embedding=rng.normal(size=(toxicity.BUCKETS, toxicity.LENGTH)).astype(np.float32), out=rng.normal(size=len(toxicity.WIDTHS) * toxicity.FILTERS).astype(np.float32), offset=0.0)
+    model.filters = {w: rng.normal(size=(w, toxicity.LENGTH, toxicity.FILTERS)).astype(np.float32) for w in toxicity.WIDTHS}
+    model.bias = {w: np.zeros(toxicity.FILTERS, np.float32) for w in toxicity.WIDTHS}
+    texts = ["a", "b c", "", "d e f g"]
+    hashes, begins = toxicity.prefix_hashes(texts, toxicity.NOT_ALNUM, toxicity.PREFIXES)
+    model.known[hashes & np.uint64(toxicity.SLOTS - 1)] = hashes
+    want = []
+    for lo, hi in zip(begins[:-1], begins[1:], strict=True):
+        x = model.embedding[np.concatenate((model.buckets(hashes[:, lo:hi]), np.zeros((len(hashes), 3), np.int64)), 1)].sum(0)
+        peaks = [max(sum(x[i + k] @ model.filters[w][k][:, f] for k in range(w)) for i in range(hi - lo + 1)) for w in toxicity.WIDTHS for f in range(toxicity.FILTERS)]
+        want.append(np.maximum(peaks, 0) @ model.out)
+    assert np.allclose(model.logits(hashes, begins)[0], want, atol=1e-3)
+
+
 def test_language_learns(spark):
     rows = labelled(600, 4)
     docs = spark.createDataFrame([(r[0], r[1] if i % 50 else "12 !", r[2] if i % 9 else None, "s") for i, r in enumerate(rows)], "doc_id long, text string, lang string, lang_pred string")
