@@ -49,7 +49,10 @@ def gram_buckets(texts: list[str | None]) -> tuple[list[np.ndarray], list[np.nda
         bucket = (value >> np.uint32(16)).astype(np.int64)
         bucket[bucket == 0] = 1
         bucket[~letters] = 0
-        out.append(np.concatenate((bucket, np.zeros(len(codes) - len(value), np.int64))))
+        bucket = np.concatenate((bucket, np.zeros(len(codes) - len(value), np.int64)))
+        for k in range(1, n):
+            bucket[np.maximum(begins[1:] - k, 0)] = 0
+        out.append(bucket)
     return out, [begins] * len(LENGTHS)
 
 

@@ -132,6 +132,20 @@ def test_language_odd(spark, odd_docs, no_docs):
     assert all(r.lang_pred == "und" for r in language.identify(spark, odd_docs.withColumn("lang", odd_docs.lang.substr(9, 0)).where("1 = 0").unionByName(odd_docs.selectExpr(*[c if c != "lang" else "cast(null as string) as lang" for c in [f"`{c}`" if c == "row" else c for c in odd_docs.columns]]))).collect())
 
 
+@pytest.mark.parametrize("langs", [["de", "en"], ["de", "en", "fr", "nl"]])
+def test_language_of_a_text_is_its_own(langs):
+    texts = ["schön", None, "", "a", "the", "ü", "12 !", "ich ein", "and", " ", "ab", "", "", "x y", *[r[1] for r in labelled(60, 7)]]
+    alone = [np.concatenate([b[b > 0] for b in language.gram_buckets([t])[0]]) for t in texts]
+    together = language.gram_buckets(texts)
+    for j, own in enumerate(alone):
+        cut = [b[at[j] : at[j + 1]] for b, at in zip(*together, strict=True)]
+        assert np.concatenate([c[c > 0] for c in cut]).tolist() == own.tolist()
+    rng = np.random.default_rng(5)
+    model = language.LanguageModel.trained({x: rng.integers(0, 50, language.BUCKETS) for x in langs})
+    want = [[v[0] for v in model.predict([t])] for t in texts]
+    assert [list(v) for v in zip(*model.predict(texts), strict=True)] == want
+
+
 @pytest.mark.parametrize("classes", [1, 2, 3, 5, 8])
 def test_codewords_differ(classes):
     m = language.code_matrix(classes)
