@@ -1,7 +1,7 @@
 """Licence scan by canonical digest: a text is a licence if its canonical form is that of a known one.
 
 The canonical form lower-cases A-Z, writes copyright marks and equivalent spellings alike, drops copyright
-lines, and keeps only letters and digits, two blanks between words. Its SHA-256 is joined with the digests
+notices, and keeps only letters and digits, two blanks between words. Its SHA-256 is joined with the digests
 of the known texts.
 """
 
@@ -50,16 +50,29 @@ KNOWN = [
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal."),
 ]
 
-#: A line that only names a holder of rights: comment marks, then a copyright mark and whatever follows.
-COPYRIGHT_LINE = r"(?m)^[ \t#*/;.-]*(copyright|\(c\)|©)[^\n]*$"
-RESERVED = "all rights reserved."
+#: What follows "copyright" or "(c)" in the sentences of licences, not in notices.
+_IN_SENTENCE = "|".join([
+    "a", "act", "acts", "all", "an", "and", "any", "are", "as", "at", "by applicable", "by law", "claim", "claims", "disclaimer", "disclaimers", "doctrine", "doctrines", "for", "grant", "holder", "holders", "if", "in", "information",
+    "infringement", "interest", "interests", "is", "it", "its", "law", "laws", "legend", "legends", "license", "licenses", "licence", "licences", "may", "must", "no", "not", "notice", "notices", "of", "on", "or", "owner",
+    "owners", "ownership", "permission", "permissions", "protection", "resulting", "right", "rights", "statement", "statements", "status", "such", "that", "this", "to", "treaty", "under", "use", "when", "where", "which", "with", "you",
+])
+#: A line that only names a holder of rights: comment marks, then a copyright mark with a sign, year or blank to fill in,
+#: or with a name that is no sentence's next word, if the line ends its paragraph or another mark follows.
+COPYRIGHT_LINE = (
+    r"(?m)^[ \t#*/;.-]*(?:©|copyrights?[ \t:,]*(?:\(c\)|©|&copy;|[0-9]{4}|[<\[{])|\(c\)[ \t:,]*(?:copyright\b|©|[0-9]{4}|[<\[{])|\(c\)[^\n]*\b(?:19|20)[0-9]{2}[.,]?[ \t]*$"
+    rf"|(?:copyrights?|\(c\))(?=[ \t:])(?![ \t:]*(?:{_IN_SENTENCE})\b)(?=[^\n]*(?:\n[ \t\r#*/;.-]*(?:\n|©|\(c\)|copyright|all rights reserved|\z)|\z)))[^\n]*$"
+)
+#: The words of a notice, and those that a line break divides.
+DIVIDED = r"all(?:[^\p{L}\p{N}\n]*\n[^\p{L}\p{N}]*rights[^\p{L}\p{N}]+|[^\p{L}\p{N}]+rights[^\p{L}\p{N}\n]*\n[^\p{L}\p{N}]*)reserved\b\.?"
+RESERVED = r"all[^\p{L}\p{N}]+rights[^\p{L}\p{N}]+reserved\b\.?"
 
 
 def canonical(text: Column) -> Column:
     """Canonical form of a text; null for null, a single blank pair or empty for a text without letters and digits."""
     out = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    out = F.regexp_replace(out, DIVIDED, "\n")
     out = F.regexp_replace(out, COPYRIGHT_LINE, "")
-    out = F.replace(out, F.lit(RESERVED), F.lit(""))
+    out = F.regexp_replace(out, RESERVED, "")
     out = F.concat(F.lit("  "), F.regexp_replace(out, r"[^\p{L}\p{N}]+", "  "), F.lit("  "))
     for variant, plain in SPELLINGS:
         out = F.replace(out, F.lit(f" {variant} "), F.lit(f" {plain} "))
@@ -84,10 +97,15 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, known: DataFrame | None
     return rows.join(small_or_plain(digests, known.count()), "canonical_sha256", "left").select("doc_id", "canonical_sha256", "license_id")
 
 
+# The SQL's own fixed values: any line after a copyright mark goes, and the words with their period.
+_SQL_COPYRIGHT_LINE = r"(?m)^[ \t#*/;.-]*(copyright|\(c\)|©)[^\n]*$"
+_SQL_RESERVED = "all rights reserved."
+
+
 def _sql_canonical(text: str) -> str:
     out = f"translate({text}, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
-    out = f"regexp_replace({out}, '{COPYRIGHT_LINE}', '', 'g')"
-    out = f"replace({out}, '{RESERVED}', '')"
+    out = f"regexp_replace({out}, '{_SQL_COPYRIGHT_LINE}', '', 'g')"
+    out = f"replace({out}, '{_SQL_RESERVED}', '')"
     out = f"('  ' || regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', '  ', 'g') || '  ')"
     for variant, plain in SPELLINGS:
         out = f"replace({out}, ' {variant} ', ' {plain} ')"

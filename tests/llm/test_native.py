@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -125,3 +126,30 @@ def test_markov_model_sums_to_one_and_separates():
         assert abs(sum(model._probability(context, chr(c)) for c in range(urls.ALPHABET)) - 1) < 1e-9
     c = urls.UrlClassifier(good, bad)
     assert c.score("www.good999.org/en/7") > c.threshold > c.score("ads.bad999.net/track/7?id=7")
+
+
+def wrapped(text, width):
+    """The text with the lines of each paragraph filled anew; notices and short lines stay on their own."""
+    out = []
+    for block in re.split(r"\n[ \t]*\n", text):
+        out.append(block if re.search(r"(?im)^\W*copyright [\[(]", block) else textwrap.fill(" ".join(block.split()), width, break_long_words=False, break_on_hyphens=False))
+    return "\n\n".join(out)
+
+
+def test_license_wrapped_at_any_width(spark):
+    known = licenses.known_licenses(spark).collect()
+    rows = [(n, w, wrapped("Copyright (c) 2020 Some One\n\n" + t, w)) for n, (_, t) in enumerate(known) for w in (range(40, 121) if len(t) < 9000 else (40, 72, 80, 101))]
+    found = licenses.scan_licenses(spark, spark.createDataFrame([(1000 * n + w, t) for n, w, t in rows], "doc_id long, text string")).collect()
+    assert len(found) == len(rows) and {r.doc_id for r in found if r.license_id != known[r.doc_id // 1000][0]} == set()
+
+
+def test_license_notices(spark):
+    mit = licenses.KNOWN[0][1]
+    notices = [
+        "Copyright 2020 X", "(c) 1999, 2001 Y Z", "© Z", "(c) Some One", "Copyright Some One", "// Copyright (C) A\n// Copyright: B", "Copyright The X Authors\nAll rights reserved", "Copyright <YEAR> <NAME>",
+        "Copyright (c) X. All rights\nreserved.", "(C) Foo 2011", "* (c) Copyright X", "Copyright [yyyy] [name of copyright owner]",
+    ]
+    kept = ["copyright holders and others", "copyright notice", "(c) you must retain this", "copyrighted by someone", "copyright law"]
+    rows = [(i, f"{n}\n\n{mit}") for i, n in enumerate(notices + kept)]
+    found = {r.doc_id: r.license_id for r in licenses.scan_licenses(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [found[i] for i in range(len(rows))] == ["MIT"] * len(notices) + [None] * len(kept)
