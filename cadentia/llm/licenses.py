@@ -7,7 +7,9 @@ of the known texts.
 
 from __future__ import annotations
 
+import re
 import string
+from importlib.resources import files
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +52,21 @@ KNOWN = [
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal."),
 ]
 
+#: Headings that templates put before the texts of ``KNOWN``.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "Expat License"],
+    "MIT-0": ["MIT No Attribution", "MIT No Attribution License", "MIT-0 License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", "Simplified BSD License", "BSD 2-Clause \"Simplified\" License", "BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", "New BSD License", "Modified BSD License", "BSD 3-Clause \"New\" or \"Revised\" License", "BSD License"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "BSD Zero Clause License (0BSD)"],
+    "Zlib": ["zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"],
+}
+#: Whole texts of longer licences, ``<SPDX identifier>.txt``.
+TEXTS = files("cadentia.llm") / "license_texts"
+#: Where advice on how to apply a licence follows its terms; many copies end before it.
+END_OF_TERMS = r"(?m)^[ \t]*(?:APPENDIX: How to apply|(?:Appendix: )?How to Apply These Terms|ADDENDUM: How to use this License)"
+
 #: What follows "copyright" or "(c)" in the sentences of licences, not in notices.
 _IN_SENTENCE = "|".join([
     "a", "act", "acts", "all", "an", "and", "any", "are", "as", "at", "by applicable", "by law", "claim", "claims", "disclaimer", "disclaimers", "doctrine", "doctrines", "for", "grant", "holder", "holders", "if", "in", "information",
@@ -79,8 +96,24 @@ def canonical(text: Column) -> Column:
     return F.trim(out)
 
 
+def known_texts() -> list[tuple[str, str]]:
+    """Identifier and text: the short ones with numbered and plain lists and with their headings, and the long ones."""
+    out = list(KNOWN)
+    for name, text in KNOWN:
+        if name in TITLES and not text.startswith(TITLES[name][0]):
+            plain = re.sub(r"(?m)^[0-9]\. ", "", text)
+            forms = [text] + [plain] * (plain != text)
+            out += [(name, form) for form in forms[1:]] + [(name, f"{title}\n\n{form}") for title in TITLES[name] for form in forms]
+    for file in sorted(TEXTS.iterdir(), key=lambda f: f.name):
+        if file.name.endswith(".txt"):
+            name, text = file.name.removesuffix(".txt"), file.read_text("utf-8")
+            terms = re.split(END_OF_TERMS, text, maxsplit=1)[0]
+            out += [(name, text)] + [(name, terms)] * (terms != text)
+    return out
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(KNOWN, "license_id string, license_text string")
+    return spark.createDataFrame(known_texts(), "license_id string, license_text string")
 
 
 def scan_licenses(spark: SparkSession, docs: DataFrame, known: DataFrame | None = None) -> DataFrame:

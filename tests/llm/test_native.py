@@ -153,3 +153,19 @@ def test_license_notices(spark):
     rows = [(i, f"{n}\n\n{mit}") for i, n in enumerate(notices + kept)]
     found = {r.doc_id: r.license_id for r in licenses.scan_licenses(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [found[i] for i in range(len(rows))] == ["MIT"] * len(notices) + [None] * len(kept)
+
+
+def test_license_headings_and_whole_texts(spark):
+    notice = "Copyright (c) 2021, Some One\nAll rights reserved.\n\n"
+    texts = {i: t for i, t in reversed(licenses.KNOWN)}
+    want = [
+        ("MIT", "The MIT License (MIT)\n\n" + notice + texts["MIT"]), ("BSD-3-Clause", "BSD 3-Clause License\n\n" + notice + texts["BSD-3-Clause"]), ("BSD-2-Clause", "BSD 2-Clause License\n\n" + notice + texts["BSD-2-Clause"]),
+        ("BSD-2-Clause", re.sub(r"(?m)^[0-9]\.", "*", texts["BSD-2-Clause"])), ("ISC", "ISC License\n\n" + notice + texts["ISC"]),
+    ]
+    for name in ("Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0", "CC0-1.0", "Unlicense"):
+        text = (licenses.TEXTS / f"{name}.txt").read_text("utf-8")
+        want += [(name, text), (name, re.sub(r"(?m)^", "# ", text))]
+    apache = (licenses.TEXTS / "Apache-2.0.txt").read_text("utf-8")
+    want += [("Apache-2.0", apache.split("END OF TERMS AND CONDITIONS")[0] + "END OF TERMS AND CONDITIONS\n"), (None, apache.replace("Grant of Patent License", "Grant"))]
+    found = licenses.scan_licenses(spark, spark.createDataFrame([(i, t) for i, (_, t) in enumerate(want)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.license_id for r in found} == {i: name for i, (name, _) in enumerate(want)}
