@@ -28,8 +28,12 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table as a stream of its files. A table that is one file is picked out of its folder, since streams read folders."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    batch = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    files = batch.inputFiles()
+    stream = spark.readStream.schema(batch.schema)
+    if len(files) == 1 and files[0].endswith(f"/{name}.parquet") and not files[0].endswith(f"/{name}.parquet/{name}.parquet"):
+        return stream.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return stream.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def drained(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:

@@ -1,15 +1,18 @@
 """Live operators: score and segments of events as they arrive, with one small state for each key.
 
-Rows of a micro-batch are put in order of time; a row older than its key's last one is late and dropped, and
+Rows of a micro-batch are put in order of time, in sorted runs on the task's disk beyond ``RUN_ROWS`` of a key; a row older than its key's last one is late and dropped, and
 counted in the state. Segments close when a later sample shows that the silence was too long, as in the
 batch form without flush.
 """
 
 from __future__ import annotations
 
+import heapq
+import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -20,6 +23,40 @@ SNAPSHOT = "match_id long, seq long, ts double, set_number int, score_a int, sco
 _SCORE_STATE = "p_a int, p_b int, s_a int, s_b int, number int, winner string, last double, late long"
 _SEGMENT_STATE = "active boolean, start double, warm double, last double, late long"
 
+#: Rows of a key that are sorted at once, and rows of each frame read from a run or given out.
+RUN_ROWS, FRAME_ROWS = 500_000, 10_000
+
+
+def _in_order(frames: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tuple]:
+    """The rows of all frames, ordered by the columns ``by``, rows alike there as they came; never more than a run is held."""
+    runs, held, size = [], [], 0
+    with tempfile.TemporaryDirectory() as folder:
+
+        def spill() -> None:
+            table = pa.Table.from_pandas(pd.concat(held).sort_values(by, kind="stable"), preserve_index=False)
+            runs.append(f"{folder}/{len(runs)}")
+            with pa.OSFile(runs[-1], "wb") as f, pa.ipc.new_stream(f, table.schema) as out:
+                out.write_table(table, max_chunksize=FRAME_ROWS)
+
+        def read(path: str) -> Iterator[tuple]:
+            with pa.OSFile(path, "rb") as f, pa.ipc.open_stream(f) as batches:
+                for batch in batches:
+                    yield from batch.to_pandas().itertuples(index=False)
+
+        for frame in frames:
+            held.append(frame)
+            size += len(frame)
+            if size >= RUN_ROWS:
+                spill()
+                held, size = [], 0
+        if runs and held:
+            spill()
+        if runs:
+            held = []
+            yield from heapq.merge(*map(read, runs), key=lambda r: tuple(getattr(r, c) for c in by))
+        elif held:
+            yield from pd.concat(held).sort_values(by, kind="stable").itertuples(index=False)
+
 
 def live_timeline(events: DataFrame, best_of: int = 5) -> DataFrame:
     """A snapshot after each event of a stream of match_id, seq, ts and winner."""
@@ -28,16 +65,19 @@ def live_timeline(events: DataFrame, best_of: int = 5) -> DataFrame:
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         p_a, p_b, s_a, s_b, number, winner, last, late = state.get if state.exists else (0, 0, 0, 0, 1, None, None, 0)
         score = Score(best_of, (p_a, p_b), (s_a, s_b), number, winner, last)
-        rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
+        columns = [c.split(" ")[0] for c in SNAPSHOT.split(", ")]
         out = []
-        for seq, ts, w in zip(rows["seq"], rows["ts"], rows["winner"], strict=True):
+        for seq, ts, w in _in_order((f[["seq", "ts", "winner"]] for f in frames), ["ts", "seq"]):
             if score.last is not None and ts < score.last:
                 late += 1
                 continue
             score.add(float(ts), w)
             out.append((key[0], seq, ts, score.number, *score.points, *score.sets, score.winner is not None, score.winner))
+            if len(out) == FRAME_ROWS:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
         state.update((*score.points, *score.sets, score.number, score.winner, score.last, late))
-        yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in SNAPSHOT.split(", ")])
+        yield pd.DataFrame(out, columns=columns)
 
     return events.groupBy("match_id").applyInPandasWithState(step, SNAPSHOT, _SCORE_STATE, "append", GroupStateTimeout.NoTimeout)
 
@@ -47,9 +87,8 @@ def live_segments(samples: DataFrame, rules: Rules) -> DataFrame:
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         active, start, warm, last, late = state.get if state.exists else (False, 0.0, 0.0, None, 0)
-        rows = pd.concat(list(frames)).sort_values("t", kind="stable")
         out = []
-        for t, x in zip(rows["t"].astype(float), rows["x"].astype(float), strict=True):
+        for t, x in _in_order((f[["t", "x"]].astype(float) for f in frames), ["t"]):
             if last is not None and t < last:
                 late += 1
                 continue
@@ -60,6 +99,9 @@ def live_segments(samples: DataFrame, rules: Rules) -> DataFrame:
                     active = False
                     if warm - start > rules.min_dur:
                         out.append((key[0], start, warm))
+                        if len(out) == FRAME_ROWS:
+                            yield pd.DataFrame(out, columns=["clip", "t_start", "t_end"])
+                            out = []
             elif x > rules.high:
                 active, start, warm = True, t, t
         state.update((active, start, warm, last, late))
