@@ -2,20 +2,35 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadentia.functions.boxes import interval_iou
 from cadentia.functions.scalars import review_bucket, safe_divide
+from cadentia.sources.stream import written
 
 
 def candidates(pred: DataFrame, gt: DataFrame, least_iou: float = 0.5) -> DataFrame:
-    """Pairs of one clip whose overlap over hull is at least the threshold. Both sides have clip, seq, t_start and t_end."""
+    """Pairs of one clip whose overlap over hull is at least the threshold. Both sides have clip, seq, t_start and t_end.
+
+    Above a threshold of 0 such intervals overlap, and neither is longer than the other's length over the
+    threshold. A label stands in one bin, of its clip, the power of two of its length and its start in units of
+    twice that; a prediction looks in the bins where labels that fit may stand, so each pair meets at most once.
+    """
     p = pred.select("clip", F.col("seq").alias("pi"), F.col("t_start").alias("p0"), F.col("t_end").alias("p1"))
     g = gt.select(F.col("clip").alias("g_clip"), F.col("seq").alias("gi"), F.col("t_start").alias("g0"), F.col("t_end").alias("g1"))
     on = F.col("clip") == F.col("g_clip")
     if least_iou > 0:
-        on &= (F.col("p0") < F.col("g1")) & (F.col("g0") < F.col("p1"))
+        unit = lambda power: F.pow(F.lit(2.0), power + 1)
+        power = lambda length, more: F.floor(F.log2(length) + more).cast("int")
+        p, g = p.where("p1 > p0"), g.where("g1 > g0")
+        g = g.withColumn("g_power", power(F.col("g1") - F.col("g0"), 0.0)).withColumn("g_bin", F.floor(F.col("g0") / unit(F.col("g_power"))))
+        apart = abs(math.log2(least_iou)) + 1e-6
+        p = p.withColumn("power", F.explode(F.sequence(power(F.col("p1") - F.col("p0"), -apart), power(F.col("p1") - F.col("p0"), apart))))
+        p = p.withColumn("bin", F.explode(F.sequence(F.floor(F.col("p0") / unit(F.col("power"))) - 1, F.floor(F.col("p1") / unit(F.col("power"))))))
+        on &= (F.col("power") == F.col("g_power")) & (F.col("bin") == F.col("g_bin")) & (F.col("p0") < F.col("g1")) & (F.col("g0") < F.col("p1"))
     iou = interval_iou(F.col("p0"), F.col("p1"), F.col("g0"), F.col("g1"))
     return p.join(g, on).withColumn("iou", iou).where(F.col("iou") >= least_iou).select("clip", "pi", "gi", "iou")
 
@@ -24,15 +39,23 @@ def matched(pairs: DataFrame) -> DataFrame:
     """Greedy one-to-one choice: highest overlap first, then by order of predictions and labels.
 
     Pairs that are the best of both their sides are chosen and their rivals dropped, over and over: what a
-    scan in that order would choose. The fold runs over the sorted candidates of one clip; where the threshold
-    is above a half and neither side overlaps itself there is at most one candidate for each.
+    scan in that order would choose. Each round is written, and holds only the rivals of one side together.
     """
-    entry = F.struct((-F.col("iou")).alias("order"), "pi", "gi", "iou")
-    empty = F.array().cast("array<struct<order:double,pi:bigint,gi:bigint,iou:double>>")
-    used = lambda acc, x, k: F.exists(acc, lambda y: y[k] == x[k])
-    folded = pairs.withColumns({"pi": F.col("pi").cast("long"), "gi": F.col("gi").cast("long")}).groupBy("clip").agg(F.array_sort(F.collect_list(entry)).alias("all"))
-    chosen = F.aggregate("all", empty, lambda acc, x: F.when(used(acc, x, "pi") | used(acc, x, "gi"), acc).otherwise(F.array_append(acc, x)))
-    return folded.select("clip", F.explode(chosen).alias("m")).select("clip", "m.pi", "m.gi", "m.iou")
+    spark = pairs.sparkSession
+    by_p, by_g = (Window.partitionBy("clip", side) for side in ("pi", "gi"))
+    pairs = pairs.groupBy("clip", F.col("pi").cast("long").alias("pi"), F.col("gi").cast("long").alias("gi")).agg(F.max("iou").alias("iou"))
+    left, chosen = pairs, None
+    while True:
+        best_p = F.row_number().over(by_p.orderBy(F.desc("iou"), "gi")) == 1
+        best_g = F.row_number().over(by_g.orderBy(F.desc("iou"), "pi")) == 1
+        judged = left.withColumn("best_p", best_p).withColumn("chosen", F.col("best_p") & best_g).withColumn("used", F.max("chosen").over(by_g))
+        judged = judged.withColumn("used", F.col("used") | F.max("chosen").over(by_p))
+        judged = written(spark, judged.where("chosen or not used").select("clip", "pi", "gi", "iou", "chosen"), "matched")
+        found = judged.where("chosen").drop("chosen")
+        chosen = found if chosen is None else chosen.unionByName(found)
+        left = judged.where("not chosen").drop("chosen")
+        if left.isEmpty():
+            return chosen
 
 
 def unmatched(rows: DataFrame, matches: DataFrame, side: str) -> DataFrame:
