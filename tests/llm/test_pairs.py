@@ -165,6 +165,19 @@ def test_jaccard_odd(spark, odd_docs, odd_rows, no_docs):
     assert {r.doc_id for r in kept.select("doc_id").collect()} == {None} | {i for i, c in want.items() if i == c}
 
 
+def test_ids_with_several_texts_keep_all_links(spark):
+    rng = random.Random(6)
+    a, b, c = ([f"w{rng.randint(0, 400)}" for _ in range(60)] for _ in range(3))
+    near = [" ".join(w[:-1] + ["end"]) for w in (a, b, c)]
+    rows = [(3, a), (5, a), (5, b), (7, c), (12, c), (12, a), (20, None)]
+    rows = [(i, w and " ".join(w)) for i, w in rows] + [(9, near[1]), (9, near[1]), (8, near[2]), (20, near[0]), (20, "other text of it"), (30, "x y"), (30, "x z"), (31, "x z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = jaccard_join.jaccard_components(spark, docs, 3, 0.9).collect()
+    want = brute_components(rows, 3, 900)
+    assert len(found) == len(rows) and want[9] == 3 and want[31] == 30
+    assert all(r.component_id == want[r.doc_id] for r in found)
+
+
 def test_prefixes_keep_all_matches():
     rng = np.random.default_rng(2)
     for _ in range(300):
@@ -173,7 +186,10 @@ def test_prefixes_keep_all_matches():
         a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
         b = np.unique(np.concatenate((rng.choice(a, max(1, int(len(a) * 0.93)), replace=False), rng.integers(0, 2**63, int(rng.integers(0, 5))).astype(np.uint64))))
         common = len(np.intersect1d(a, b))
-        bits = jaccard_join.may_be_alike(jaccard_join.parity_bitmap(a), jaccard_join.parity_bitmap(b), len(a), len(b), 800)
+        maps = jaccard_join.Bitmaps([jaccard_join.parity_bitmap(s) for s in (a, b)], np.array([len(a), len(b)]))
+        most = int(maps.common(np.array([0]), np.array([1]))[0])
+        assert most >= common
+        bits = jaccard_join.alike(most, len(a), len(b), 800)
         if jaccard_join.alike(common, len(a), len(b), 800):
             (pa_, ma), (pb, mb) = (jaccard_join.prefix(s, counts, float(rng.integers(0, 50)), 800) for s in (a, b))
             assert bits and len(np.intersect1d(pa_, pb)) >= min(ma, mb)
