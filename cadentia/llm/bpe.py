@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
@@ -24,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from cadentia.llm.common import text_slices
+
 # Code points that the regex module counts as letters or numbers and Unicode 16 does not.
 SINCE_UNICODE_16 = [
     (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2),
@@ -44,8 +47,11 @@ _SPACES = [chr(c) for c in (0x9, 0xA, 0xB, 0xC, 0xD, 0x20, 0x1C, 0x1D, 0x1E, 0x1
 _ASCII_RUNS = [p for s in _SPACES if ord(s) < 128 for p in (s + " ", " " + s)]
 _ALL_RUNS = [p for s in _SPACES for p in (s + " ", " " + s)]
 _NEVER = 1 << 60
-#: Chunks of a text remembered in each of two generations (beginnings of texts are few), the longest chunk, and pairs of tokens remembered.
-REMEMBERED, REMEMBERED_FIRST, LONGEST, PAIRS = 100_000, 5_000, 48, 200_000
+#: Words, and other pieces and chunks, remembered in each of two generations, the longest of them, and pairs of tokens remembered.
+WORDS, OTHERS, LONGEST, PAIRS = 150_000, 20_000, 48, 150_000
+#: A word that is one piece with the blank before it, and characters that are a piece of their own after such a word.
+_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+_MARKS = frozenset(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -56,22 +62,36 @@ def _byte_of_char() -> dict[str, int]:
 
 
 class _Memory(dict):
-    """Encoded chunks used lately: when the newer generation is full, the older one is dropped."""
+    """Values used lately: when the newer generation is full, the older one is dropped."""
 
-    def __init__(self, encode, most: int):
-        self.encode, self.most, self.older = encode, most, {}
+    def __init__(self, find, most: int):
+        self.find, self.most, self.older = find, most, {}
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.older.get(chunk)
-        if ids is None:
-            ids = self.encode(chunk)
-            if len(chunk) > LONGEST:
-                return ids
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.find(key)
         if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
-        self[chunk] = ids
-        return ids
+        self[key] = value
+        return value
+
+
+class _Chunks(_Memory):
+    """Ids of what stands after a blank, that blank included. Words are remembered here, other chunks with the tokenizer."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        super().__init__(lambda word: tokenizer.encode_piece(" " + word), WORDS)
+        self.tokenizer = tokenizer
+
+    def __missing__(self, chunk: str) -> bytes:
+        word = chunk[:-1]
+        if chunk[-1:] in _MARKS and _WORD(word) and len(word) <= LONGEST:
+            return self[word] + self.tokenizer.others[chunk[-1]]
+        if _WORD(chunk) and len(chunk) <= LONGEST:
+            return super().__missing__(chunk)
+        return self.tokenizer.encode_chunk(" " + chunk)
 
 
 class Tokenizer:
@@ -106,6 +126,8 @@ class Tokenizer:
             if c not in parts:
                 parts[c], made[c] = (a, b), r
         self._parts, self._made = parts, made
+        #: Edges of merge trees, of tokens that have been tested: at most two for each token.
+        self._edges: tuple[dict[int, list[tuple[int, int]]], ...] = {}, {}
         sound: dict[int, bool] = {}
         for i in sorted(vocab.values(), key=lambda i: made.get(i, -1)):
             if i in parts:
@@ -113,22 +135,32 @@ class Tokenizer:
                 sound[i] = sound[a] and sound[b] and self._first_crossing(a, b) == (a, b)
             else:
                 sound[i] = len(self.tokens[i]) == 1
-        self._compatible: dict[int, bool] = {}
+        for edges in self._edges:
+            edges.clear()
+        self._compatible = _Memory(self._fit, PAIRS)
         self.automaton = ahocorasick.Automaton()
         for i, whole in sound.items():
             if whole:
                 self.automaton.add_word(self.tokens[i].decode("latin-1"), (len(self.tokens[i]), i))
         self.automaton.make_automaton()
-        self._first = _Memory(self._encode_chunk, REMEMBERED_FIRST)
-        self._later = _Memory(lambda chunk: self._encode_chunk(" " + chunk), REMEMBERED)
+        #: Ids of short pieces other than words after a blank, and of words after one.
+        self.others = _Memory(self.encode_piece, OTHERS)
+        self._later = _Chunks(self)
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """The left (0) or right (1) edge of a token's merge tree from the byte up: tokens, and the rank at which each is used up."""
-        out = [(token, _NEVER)]
-        while token in self._parts:
-            used, token = self._made[token], self._parts[token][side]
-            out.append((token, used))
-        return out[::-1]
+        known = self._edges[side].get(token)
+        if known is None:
+            out, at = [(token, _NEVER)], token
+            while at in self._parts:
+                used, at = self._made[at], self._parts[at][side]
+                out.append((at, used))
+            known = self._edges[side][token] = out[::-1]
+        return known
+
+    def _fit(self, pair: int) -> bool:
+        """Whether no merge crosses the border of two tokens, given as left id * 2**20 + right id."""
+        return self._first_crossing(pair >> 20, pair & 0xFFFFF) is None
 
     def _first_crossing(self, a: int, b: int) -> tuple[int, int] | None:
         """The first pair merged across the border of a and b when both are spelt out in bytes, or None."""
@@ -146,42 +178,43 @@ class Tokenizer:
             else:
                 j += 1
 
-    def _encode_piece(self, piece: bytes) -> list[int]:
+    def encode_piece(self, text: str) -> bytes:
+        """Ids of one piece: the last token of every prefix, and the way back through them."""
+        piece = text.encode("utf-8", "surrogatepass")
         last, back = [-1] * (len(piece) + 1), [0] * (len(piece) + 1)
-        memo = self._compatible
+        fits, open_ = self._compatible, 1
         for end, (length, token) in self.automaton.iter(piece.decode("latin-1")):
             end += 1
-            if last[end] >= 0:
+            if end < open_:
                 continue
             start = end - length
             if start:
                 before = last[start]
-                if before < 0:
-                    continue
-                key = before << 20 | token
-                fits = memo.get(key)
-                if fits is None:
-                    if len(memo) > PAIRS:
-                        memo.clear()
-                    fits = memo[key] = self._first_crossing(before, token) is None
-                if not fits:
+                if before < 0 or not fits[before << 20 | token]:
                     continue
-            last[end], back[end] = token, start
+            last[end], back[end], open_ = token, start, end + 1
         ids, at = [], len(piece)
         while at:
             ids.append(last[at])
             at = back[at]
         ids.reverse()
-        return ids
-
-    def _encode_chunk(self, chunk: str) -> bytes:
-        out = [i for piece in PIECE.findall(chunk) for i in self._encode_piece(piece.encode("utf-8", "surrogatepass"))]
-        return np.array(out, "<u4").tobytes()
+        return np.array(ids, "<u4").tobytes()
+
+    def encode_chunk(self, chunk: str) -> bytes:
+        out = []
+        for piece in PIECE.findall(chunk):
+            if len(piece) > LONGEST:
+                out.append(self.encode_piece(piece))
+            elif piece[0] == " " and _WORD(piece[1:]):
+                out.append(self._later[piece[1:]])
+            else:
+                out.append(self.others[piece])
+        return b"".join(out)
 
     def _encode_plain(self, text: str) -> bytes:
         runs = any(run in text for run in (_ASCII_RUNS if text.isascii() else _ALL_RUNS))
         first, *later = _CUT.split(text) if runs else text.split(" ")
-        return self._first[first] + b"".join(map(self._later.__getitem__, later))
+        return self.encode_chunk(first) + b"".join(map(self._later.__getitem__, later))
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text, as little-endian unsigned 32-bit integers."""
@@ -232,23 +265,30 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select(*kept, "ids").mapInArrow(run, schema)
 
 
-def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
-    """Encode every text and decode its ids again: doc_id, n_tokens, ids_sha256, decoded_sha256.
+def round_trip_digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """Encode every text and decode its ids again: doc_id, n_tokens, ids_sha256, decoded_sha256, and ids array<int> if asked for.
 
-    A null text counts as empty: no ids, and the digests of nothing. Ids and repeated rows are passed
-    through; other columns are ignored. Ids are kept only while their document is worked on.
+    A null text counts as empty: no ids, and the digests of nothing. Very long texts are encoded whole. Doc_ids and repeated
+    rows are passed through, of which those that follow each other are encoded once; other columns are ignored.
+    An empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path)
-        for batch in batches:
-            counts, ids_digests, text_digests = [], [], []
-            for x in batch.column("text"):
-                ids = t.encode(x.as_py() or "")
-                counts.append(len(ids))
-                ids_digests.append(hashlib.sha256(ids.tobytes()).hexdigest())
-                text_digests.append(hashlib.sha256(t.decode(ids.tolist()).encode("utf-8", "surrogatepass")).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_digests, pa.string()), pa.array(text_digests, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        t, last, found = tokenizer(path), None, ()
+        for part, texts in text_slices(batches, "text", 1 << 20):
+            rows = []
+            for text in texts:
+                if text is None or text != last:
+                    ids = t.encode(text or "")
+                    decoded = t.decode(ids.tolist()).encode("utf-8", "surrogatepass")
+                    last, found = text, (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest(), ids)
+                rows.append(found)
+            counts, ids_digests, text_digests, ids = zip(*rows, strict=True)
+            out = [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_digests, pa.string()), pa.array(text_digests, pa.string())]
+            if with_ids:
+                ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+                out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32))))
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
 
     doc_id = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_id}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_id}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
