@@ -41,8 +41,8 @@ MOST_MATCHES, COMPARISON = 6, 4.0
 LONG, LIST_BLOCK, CHECK_BLOCK = 8, 2048, 1000
 #: Rounds go on while one settles this share of the texts in long lists, and are so many at most; what they leave is compared in step (4).
 SETTLES, MOST_ROUNDS = 0.01, 8
-#: Bits of a parity bitmap for each shingle, at least and at most.
-BITS_EACH, LEAST_BITS, MOST_BITS = 4, 512, 1 << 15
+#: Bits of a parity bitmap for each shingle, at least and at most, and at most with postings of long lists.
+BITS_EACH, LEAST_BITS, MOST_BITS, LIST_BITS = 4, 512, 1 << 15, 2048
 _WORDS_AT_ONCE = 1 << 21
 
 
@@ -74,6 +74,14 @@ def parity_bitmap(shingles: np.ndarray) -> bytes:
     return np.packbits(counts & 1, bitorder="little").tobytes()
 
 
+def folded(bitmap: bytes, bits: int) -> bytes:
+    """The parity bitmap of that many bits at most, from a longer one: halves are taken together."""
+    words = np.frombuffer(bitmap, np.uint64)
+    while len(words) * 64 > bits:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words.tobytes()
+
+
 class Bitmaps:
     """The parity bitmaps of many sets, folded to the length that two sets have in common when they are compared."""
 
@@ -86,7 +94,6 @@ class Bitmaps:
         longer = np.empty((0, 0), np.uint64)
         at = np.empty(0, np.int64)
         for words in lengths:
-            # Parity in a half as long bitmap: both halves together.
             while longer.shape[1] > words:
                 half = longer.shape[1] // 2
                 longer = longer[:, :half] ^ longer[:, half:]
@@ -252,6 +259,17 @@ def _sets(summaries: DataFrame, ids: DataFrame) -> DataFrame:
     return summaries.join(small_or_plain(ids, rows), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
 
 
+def _list_bitmaps(sets: DataFrame) -> DataFrame:
+    """doc_id and bitmap, short enough to go with every posting."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = pa.array([folded(b, LIST_BITS) for b in batch.column("bitmap").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), bits], names=["doc_id", "bitmap"])
+
+    return sets.select("doc_id", "bitmap").mapInArrow(run, "doc_id long, bitmap binary")
+
+
 def _bounded(spark: SparkSession, pairs: DataFrame, summaries: DataFrame, thousandths: int) -> DataFrame:
     """The pairs (a, b) that bitmaps do not rule out."""
     ids = written(spark, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "join-ids")
@@ -482,8 +500,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, width: int, thresho
     long = met.where("kind = 0").select("shingle", "doc_id", "n", "m")
     in_long = written(spark, long.select("doc_id").distinct(), "join-in-long")
     texts_in_long = in_long.count()
-    bitmaps = _sets(sets, in_long).select("doc_id", "bitmap")
-    long = written(spark, long.join(small_or_plain(bitmaps, 16 * texts_in_long), "doc_id"), "join-long")
+    bitmaps = small_or_plain(_list_bitmaps(_sets(sets, in_long)), LIST_BITS // 64 * texts_in_long)
+    long = written(spark, long.join(bitmaps, "doc_id"), "join-long")
     # (3) one link to check for each text of a long list, in each round
     components = None
     for _ in range(MOST_ROUNDS if texts_in_long else 0):

@@ -35,7 +35,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.round_trip_digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return bpe.round_trip_digests(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
 
 
 STAGES: list[tuple[str, Stage]] = [("language ID", language_stage), ("toxicity", toxicity_stage), ("n-gram Jaccard join", jaccard_stage), ("mixing", mixing_stage), ("BPE", bpe_stage)]
