@@ -11,10 +11,12 @@ _own: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a folder of our own where it is unset."""
+    """``spark.checkpoint.dir``; where it is unset and there is one machine only, a folder of our own."""
     global _own
     if configured := spark.conf.get("spark.checkpoint.dir", None):
         return configured.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     _own = _own or "file://" + tempfile.mkdtemp(prefix="cadentia-")
     return _own
 
