@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -11,32 +9,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadentia.sources.stream import shared_dir, written  # noqa: F401
+
 #: Word of a text: a maximal run of characters other than space and 0x09-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 #: A side of a join is broadcast up to so many rows of a few numbers each; beyond, both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 
-_own_dir: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a folder of our own where it is unset."""
-    global _own_dir
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if _own_dir is None:
-        _own_dir = "file://" + tempfile.mkdtemp(prefix="cadentia-")
-    return _own_dir
-
-
-def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again: lineage ends here."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

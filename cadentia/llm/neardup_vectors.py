@@ -29,6 +29,8 @@ BLOCK, CELLS, SAMPLE, STRIPE = 2048, 128, 2000, 32
 #: Largest radius of a tree's levels; each further level has half of it.
 RADII = (0.5, 0.25, 0.125)
 _SLACK = 1e-7
+#: Pairs of nodes or points that are looked at together (about), and pairs of points that are worth taking whole.
+PAIRS_AT_ONCE, WHOLE = 1 << 15, 64
 
 
 def centres_far_apart(sample: np.ndarray, most: int) -> np.ndarray:
@@ -74,7 +76,7 @@ class CoverTree:
         self.ids, self.points, self.weight = ids, points, weight
         # From fine to coarse: the centres of a level are chosen among those of the level below.
         at = np.arange(len(points))
-        levels = [(at, np.zeros(len(points)), [])]
+        levels = [(at, np.zeros(len(points)), None)]
         self.under = [[np.array([i]) for i in range(len(points))]]
         for net in nets:
             centre = net[at]
@@ -85,13 +87,29 @@ class CoverTree:
             self.under.insert(0, [np.concatenate([below[c] for c in group]) if len(group) > 1 else below[group[0]] for group in children])
             at = tops
             reach = np.array([np.linalg.norm(points[m] - points[c], axis=1).max() if len(m) > 1 else 0.0 for m, c in zip(self.under[0], at, strict=True)])
-            levels.insert(0, (at, reach, children))
+            levels.insert(0, (at, reach, _Children(children)))
         self.levels = levels
+        self.sizes = [np.array([len(u) for u in level]) for level in self.under]
 
-def _expanded(a: np.ndarray, b: np.ndarray, a_children: list[np.ndarray], b_children: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    left = [np.repeat(a_children[i], len(b_children[j])) for i, j in zip(a, b, strict=True)]
-    right = [np.tile(b_children[j], len(a_children[i])) for i, j in zip(a, b, strict=True)]
-    return (np.concatenate(left), np.concatenate(right)) if left else (a[:0], b[:0])
+
+class _Children:
+    """The children of the nodes of a level, one list after the other."""
+
+    def __init__(self, lists: list[np.ndarray]):
+        self.sizes = np.array([len(c) for c in lists])
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.concatenate(lists)
+
+
+def _expanded(a: np.ndarray, b: np.ndarray, ours: _Children, theirs: _Children) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of children of pairs of nodes, ``PAIRS_AT_ONCE`` at a time."""
+    ends = np.cumsum(ours.sizes[a] * theirs.sizes[b])
+    for lo in range(0, int(ends[-1]) if len(ends) else 0, PAIRS_AT_ONCE):
+        number = np.arange(lo, min(lo + PAIRS_AT_ONCE, int(ends[-1])))
+        pair = np.searchsorted(ends, number, side="right")
+        i, j = a[pair], b[pair]
+        inside = number - (ends[pair] - ours.sizes[i] * theirs.sizes[j])
+        yield ours.flat[ours.begins[i] + inside // theirs.sizes[j]], theirs.flat[theirs.begins[j] + inside % theirs.sizes[j]]
 
 
 class Links:
@@ -101,64 +119,53 @@ class Links:
         self.counts: dict[int, int] = {}
         self.union = Union()
 
-    def add(self, ids: np.ndarray, numbers: np.ndarray) -> None:
-        for i, n in zip(ids.tolist(), numbers.tolist(), strict=True):
-            if n:
-                self.counts[i] = self.counts.get(i, 0) + int(n)
-
-    def whole(self, x: CoverTree, y: CoverTree, left: np.ndarray, right: np.ndarray, one_sided: bool) -> None:
-        """All points of one node are linked with all others of another."""
-        own = x.weight[left] if one_sided and left[0] == right[0] else np.zeros(len(left))
-        self.add(x.ids[left], y.weight[right].sum() - own)
-        if not one_sided:
-            self.add(y.ids[right], np.full(len(right), x.weight[left].sum()))
-        first = int(x.ids[left[0]])
-        for i in [*x.ids[left].tolist(), *y.ids[right].tolist()]:
-            self.union.join(i, first)
+    def _add(self, ids: np.ndarray, numbers: np.ndarray) -> None:
+        some = np.flatnonzero(numbers)
+        for i, n in zip(ids[some].tolist(), numbers[some].tolist(), strict=True):
+            self.counts[i] = self.counts.get(i, 0) + n
 
     def compare(self, x: CoverTree, y: CoverTree, threshold: float, one_sided: bool) -> None:
         """Traverse two trees; one_sided: they are one tree, and links are counted for the left side of ordered pairs."""
         far = np.sqrt(max(0.0, 2 - 2 * threshold))
-        depth = len(x.levels)
-        a = b = None
-        for level in range(depth):
+        found = _Compared(x, y, self.union, one_sided)
+
+        def descend(level: int, a: np.ndarray, b: np.ndarray) -> None:
             (xa, x_reach, x_children), (yb, y_reach, y_children) = x.levels[level], y.levels[level]
-            last = level == depth - 1
-            if a is None:
-                a, b = self._near_tops(x, y, far)
-            gap = np.linalg.norm(x.points[xa[a]] - y.points[yb[b]], axis=1) if not last else None
-            if last:
+            if level == len(x.levels) - 1:
                 good = np.einsum("ij,ij->i", x.points[a], y.points[b]) >= threshold
                 if one_sided:
                     good &= a != b
-                a, b = a[good], b[good]
-                self.add(x.ids, np.bincount(a, y.weight[b], minlength=len(x.ids)).astype(np.int64))
-                if not one_sided:
-                    self.add(y.ids, np.bincount(b, x.weight[a], minlength=len(y.ids)).astype(np.int64))
-                for i, j in zip(x.ids[a].tolist(), y.ids[b].tolist(), strict=True):
-                    self.union.join(i, j)
+                found.pairs(a[good], b[good])
                 return
+            gap = np.linalg.norm(x.points[xa[a]] - y.points[yb[b]], axis=1)
             reach = x_reach[a] + y_reach[b]
             near = gap <= far + reach + _SLACK
-            # Cosines that close to the threshold are compared one by one.
-            sure = near & (gap + reach <= far - 1e-6) & ((x_reach[a] > 0) | (y_reach[b] > 0))
+            # Cosines that close to the threshold are compared one by one, as are the points of small nodes.
+            sure = near & (gap + reach <= far - 1e-6) & (x.sizes[level][a] * y.sizes[level][b] >= WHOLE)
             for i, j in zip(a[sure].tolist(), b[sure].tolist(), strict=True):
-                self.whole(x, y, x.under[level][i], y.under[level][j], one_sided)
+                found.whole(x.under[level][i], y.under[level][j])
             go = near & ~sure
-            a, b = _expanded(a[go], b[go], x_children, y_children)
+            for left, right in _expanded(a[go], b[go], x_children, y_children):
+                descend(level + 1, left, right)
 
-    def _near_tops(self, x: CoverTree, y: CoverTree, far: float) -> tuple[np.ndarray, np.ndarray]:
+        for a, b in self._near_tops(x, y, far):
+            descend(0, a, b)
+        self._add(x.ids, found.x_links.astype(np.int64))
+        if not one_sided:
+            self._add(y.ids, found.y_links.astype(np.int64))
+
+    def _near_tops(self, x: CoverTree, y: CoverTree, far: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of top nodes that may hold links. Nodes of one point and others are bounded apart, so that the bounds are tight."""
-        found = []
         (xa, x_reach, _), (yb, y_reach, _) = x.levels[0], y.levels[0]
         for x_part in (np.flatnonzero(x_reach == 0), np.flatnonzero(x_reach > 0)):
             for y_part in (np.flatnonzero(y_reach == 0), np.flatnonzero(y_reach > 0)):
                 if len(x_part) and len(y_part):
                     reach = far + x_reach[x_part].max() + y_reach[y_part].max() + _SLACK
-                    for lo in range(0, len(x_part), 512):
-                        i, j = np.nonzero(x.points[xa[x_part[lo : lo + 512]]] @ y.points[yb[y_part]].T >= 1 - reach * reach / 2)
-                        found.append((x_part[lo : lo + 512][i], y_part[j]))
-        return tuple(np.concatenate(p) for p in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
+                    step = max(1, PAIRS_AT_ONCE // len(y_part))
+                    for lo in range(0, len(x_part), step):
+                        i, j = np.nonzero(x.points[xa[x_part[lo : lo + step]]] @ y.points[yb[y_part]].T >= 1 - reach * reach / 2)
+                        if len(i):
+                            yield x_part[lo : lo + step][i], y_part[j]
 
     def result(self) -> pa.RecordBatch:
         """vec_id, its number of links found here, and the smallest vector of its component here."""
@@ -166,6 +173,44 @@ class Links:
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([self.counts[i] for i in ids], pa.int64()), pa.array([self.union.root(i) for i in ids], pa.int64())], names=["point", "links", "root"])
 
 
+class _Compared:
+    """What the comparison of two trees finds: links of each point by weight, and joined components."""
+
+    def __init__(self, x: CoverTree, y: CoverTree, union: Union, one_sided: bool):
+        self.x, self.y, self.union, self.one_sided = x, y, union, one_sided
+        self.x_links, self.y_links = np.zeros(len(x.ids)), np.zeros(len(y.ids))
+        #: The component of each point, as far as is known.
+        self.x_in, self.y_in = x.ids.copy(), y.ids.copy()
+
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Points that are linked."""
+        self.x_links += np.bincount(a, self.y.weight[b], minlength=len(self.x.ids))
+        if not self.one_sided:
+            self.y_links += np.bincount(b, self.x.weight[a], minlength=len(self.y.ids))
+        self._join(a, b)
+
+    def whole(self, left: np.ndarray, right: np.ndarray) -> None:
+        """All points of one node are linked with all others of another."""
+        self.x_links[left] += self.y.weight[right].sum() - (self.x.weight[left] if self.one_sided and left[0] == right[0] else 0)
+        if not self.one_sided:
+            self.y_links[right] += self.x.weight[left].sum()
+        self._join(left, np.full(len(left), right[0]))
+        self._join(np.full(len(right), left[0]), right)
+
+    def _join(self, a: np.ndarray, b: np.ndarray) -> None:
+        one, other = self.x_in[a], self.y_in[b]
+        apart = one != other
+        if not apart.any():
+            return
+        # Few different components meet, however many points are linked.
+        met = np.unique(np.stack((one[apart], other[apart])), axis=1)
+        for i, j in zip(*met.tolist(), strict=True):
+            self.union.join(i, j)
+        for known in (self.x_in, self.y_in):
+            names, at = np.unique(known, return_inverse=True)
+            known[:] = np.array([self.union.root(i) for i in names.tolist()])[at]
+
+
 def _units(rows: DataFrame) -> DataFrame:
     """vec_id and vector divided by its length in double precision; null for null, empty and zero vectors."""
 
