@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -16,6 +17,11 @@ NESTED_KEYS = ["roi", "table", "bbox", "rect", "region", "crop", "area"]
 BOX = "struct<x:int,y:int,w:int,h:int>"
 
 
+def _with(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _whole(v: Column) -> Column:
     """A JSON number or numeric string rounded half to even; null for anything else."""
     return F.bround(F.try_variant_get(v, "$", "double")).cast("int")
@@ -34,9 +40,8 @@ def _field(v: Column, key: str) -> Column:
 
 
 def _listed(v: Column) -> Column:
-    items = F.try_variant_get(v, "$", "array<variant>")
-    four = [_whole(F.get(items, F.lit(k))) for k in range(4)]
-    return F.when(F.size(items) == 4, F.coalesce(_sized(*four), _corners(*four)))
+    numbers = F.transform(F.try_variant_get(v, "$", "array<variant>"), _whole)
+    return _with(numbers, lambda a: F.when(F.size(a) == 4, F.coalesce(_sized(*_four(a)), _corners(*_four(a)))))
 
 
 def _polygon(v: Column) -> Column:
@@ -45,14 +50,22 @@ def _polygon(v: Column) -> Column:
         return F.filter(values, lambda x: x.isNotNull())
 
     xs, ys = along("x", 0), along("y", 1)
-    return _corners(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
+    return _with(F.array(xs, ys), lambda p: _corners(F.array_min(F.get(p, F.lit(0))), F.array_min(F.get(p, F.lit(1))), F.array_max(F.get(p, F.lit(0))), F.array_max(F.get(p, F.lit(1)))))
+
+
+def _four(a: Column) -> list[Column]:
+    return [F.get(a, F.lit(k)) for k in range(4)]
+
+
+def _made(v: Column, keys: tuple[str, ...], make: Callable[..., Column]) -> Column:
+    return _with(F.array(*(_whole(_field(v, k)) for k in keys)), lambda a: make(*_four(a)))
 
 
 def _keyed(v: Column) -> tuple[Column, Column]:
     """Box of the first set of keys that the object has all of, valid or not; and whether there is one."""
     cases = [(keys, _sized) for keys in XYWH_KEYS] + [(keys, _corners) for keys in LTRB_KEYS]
     has = [reduce(lambda a, b: a & b, (_field(v, k).isNotNull() for k in keys)) for keys, _ in cases]
-    box = reduce(lambda rest, case: F.when(case[0], case[1][1](*(_whole(_field(v, k)) for k in case[1][0]))).otherwise(rest), reversed(list(zip(has, cases, strict=True))), F.lit(None).cast(BOX))
+    box = reduce(lambda rest, case: F.when(case[0], _made(v, *case[1])).otherwise(rest), reversed(list(zip(has, cases, strict=True))), F.lit(None).cast(BOX))
     return box, reduce(lambda a, b: a | b, has)
 
 
@@ -68,8 +81,12 @@ def parse_box(json: Column, depth: int = 2) -> Column:
     is judged by that alone, otherwise by its polygons. Where that gives nothing, the usual nested names are
     tried in order, ``depth`` levels deep; names inside a nested object that is no valid box are tried as well.
     """
-    v = F.try_parse_json(json)
-    places = F.array(*[F.try_variant_get(v, path, "variant") for path in _paths(depth)])
+    return _with(F.try_parse_json(json), lambda v: _located(v, depth))
+
+
+def _located(v: Column, depth: int) -> Column:
+    # Few of the places are there; only those are parsed.
+    places = F.filter(F.array(*[F.try_variant_get(v, path, "variant") for path in _paths(depth)]), lambda p: p.isNotNull())
     found = F.filter(F.transform(places, _parsed), lambda b: b.isNotNull())
     box, keyed = _keyed(v)
     return F.when(F.coalesce(keyed, F.lit(False)), box).otherwise(F.get(found, F.lit(0)))
