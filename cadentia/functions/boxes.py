@@ -153,3 +153,19 @@ def near_table(x: Column, y: Column, w: Column, h: Column, tx: Column, ty: Colum
 
 def large_enough(w: Column, h: Column, frame_w: float, frame_h: float) -> Column:
     return (w >= 0.15 * frame_w) & (h >= 0.06 * frame_h)
+
+
+def kept_class(class_id: Column, table_ids: list[int] | None = None, person_id: int = 0) -> Column:
+    """Whether a detection is of a wanted class; without a list of these, of any but persons."""
+    return class_id.isin(table_ids) if table_ids is not None else class_id != person_id
+
+
+def detection_rank(refined: Column, centre: Column, area_ratio: Column, confidence: Column) -> Column:
+    """Rank of a detected table: its evidence and place count most, size and confidence little."""
+    unit = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
+    return unit(refined * 1.6) * 0.40 + centre * 0.40 + unit(area_ratio * 6.0) * 0.10 + confidence * 0.10
+
+
+def recovery_rank(shape: Column, score: Column, centre: Column) -> Column:
+    """Rank of a box that replaces a truncated one."""
+    return shape * 0.55 + score * 0.20 + centre * 0.25

@@ -75,3 +75,13 @@ def compression_ratio(nose_y: Column, hip_y: Column, height: Column) -> Column:
     """(hip - nose) / height, 1 where the height is not positive or a point is missing (zero or null)."""
     seen = (height > 0) & (nose_y > 0) & (hip_y > 0)
     return F.when(F.coalesce(seen, F.lit(False)), (hip_y - nose_y) / height).otherwise(1.0)
+
+
+def is_low(compression: Column, most: float = 0.39) -> Column:
+    """Whether a player crouches, by the compression ratio of the pose."""
+    return compression < most
+
+
+def sample_times(base: Column, n: int = 6, step: float = 2.0) -> Column:
+    """The first n times at which a clip is looked at, from base on and never before its start; six at most."""
+    return F.array(*[F.greatest(F.lit(0.0), base) if k == 0 else base + k * step for k in range(min(n, 6))])

@@ -70,6 +70,13 @@ def flip_suggestions(points: DataFrame, expected_a: int, expected_b: int, top: i
     return ranked.select(key, "place", "seq", "from_winner", F.when(F.col("from_winner") == "player_a", "player_b").otherwise("player_a").alias("to_winner"), "needed")
 
 
+def correction_outcomes(points: DataFrame, expected_a: int, expected_b: int, key: str = "clip") -> DataFrame:
+    """key, delta_a, delta_b, n_unknown and outcome: flips, none (the score is as expected) or segmentation_error (no flip can give the total)."""
+    side = lambda w: F.count_if(F.col("winner") == w)
+    rows = points.groupBy(key).agg((F.lit(expected_a) - side("player_a")).cast("long").alias("delta_a"), (F.lit(expected_b) - side("player_b")).cast("long").alias("delta_b"), side("unknown").alias("n_unknown"))
+    return rows.withColumn("outcome", F.when(F.col("delta_a") + F.col("delta_b") != 0, "segmentation_error").when(F.col("delta_a") == 0, "none").otherwise("flips"))
+
+
 def nearest(rows: DataFrame, group: list[str], distance, k: int, tie: str) -> DataFrame:
     """The k rows of each group with the smallest distance."""
     return rows.withColumn("distance", distance).withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy("distance", tie))).where(F.col("place") <= k)

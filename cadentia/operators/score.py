@@ -57,6 +57,23 @@ class Score:
         return closed
 
 
+def load_checks(events: DataFrame) -> DataFrame:
+    """match_id, n_events, n_bad and loaded: a match is loaded whole or, with any event that lacks a time or one of the players, not at all."""
+    bad = F.col("ts").isNull() | F.coalesce(~F.col("winner").isin(*PLAYERS), F.lit(True))
+    return events.groupBy("match_id").agg(F.count("*").alias("n_events"), F.count_if(bad).alias("n_bad")).withColumn("loaded", F.col("n_bad") == 0)
+
+
+def loaded_events(events: DataFrame) -> DataFrame:
+    """The events of matches that pass ``load_checks``."""
+    return events.join(load_checks(events).where("loaded").select("match_id"), "match_id", "left_semi")
+
+
+def exported(events: DataFrame) -> DataFrame:
+    """match_id, place (from 0), timestamp and winner in the order in which a replay takes them."""
+    order = Window.partitionBy("match_id").orderBy("ts", "seq")
+    return events.select("match_id", (F.row_number().over(order) - 1).cast("long").alias("place"), F.col("ts").cast("double").alias("timestamp"), "winner")
+
+
 SNAPSHOT = "match_id long, seq long, ts double, set_number int, score_a int, score_b int, sets_a int, sets_b int, is_finished boolean, winner string, closed_a int, closed_b int"
 _NAMES = [part.strip().split(" ")[0] for part in SNAPSHOT.split(",")]
 _TYPES = [pa.int64(), pa.int64(), pa.float64(), *[pa.int32()] * 5, pa.bool_(), pa.string(), pa.int32(), pa.int32()]

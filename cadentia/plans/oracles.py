@@ -35,6 +35,7 @@ def _timeline(best_of: int) -> str:
     return f"with recursive {_replay(best_of)} select match_id, seq, ts, set_number, score_a, score_b, sets_a, sets_b, winner is not null as is_finished, winner from st where rn > 0"
 
 
+_MIXED = "mx as (select * replace (case when winner = 'unknown' and match_id % 3 <> 0 then 'player_a' else winner end as winner) from ev)"
 _SIGNAL = "sg as (select user_id as clip, row_number() over (partition by user_id order by ts, event_id) - 1 as idx, epoch_us(ts) / 1e6::double as t, value as v from events)"
 _BY = "(partition by clip order by idx)"
 
@@ -194,6 +195,14 @@ ORACLES: dict[str, str] = {
              array_to_string(list_filter([case when kn = 0 then 'No scored events available for validation.' end, case when unk > 0 then 'Unknown winners remaining: ' || unk || '.' end,
                case when winner is null then 'Expected full match clip, but match is not finished.' end, case when fa <> 11 or fb <> 7 then 'Final set score mismatch: expected 11-7, got ' || fa || '-' || fb || '.' end], lambda x: x is not null), '|') as issues,
              case when winner is null or fa <> 11 or fb <> 7 then 'fail' when kn = 0 or unk > 0 then 'warn' else 'pass' end as status from r""",
+    "load_checks": f"with {_EVENTS}, {_MIXED} select match_id, count(*) as n_events, count(*) filter (winner = 'unknown') as n_bad, count(*) filter (winner = 'unknown') = 0 as loaded from mx group by match_id",
+    "exported_events": f"""with {_EVENTS}, {_MIXED} select match_id, row_number() over (partition by match_id order by ts, seq) - 1 as place, round(ts, 6) as timestamp, winner
+      from mx where match_id not in (select match_id from mx where winner = 'unknown')""",
+    "score_validation_set": f"""with recursive {_replay(3)},
+      c as (select match_id, count(*) filter (winner = 'unknown') as unk, count(*) filter (winner <> 'unknown') as kn from ev group by match_id),
+      l as (select match_id, count(closed_a) as done from st group by match_id),
+      r as (select coalesce(done, 0) as done, ((kn = 0)::int + (unk > 0)::int + (coalesce(done, 0) = 0)::int) as n_issues from c left join l using (match_id))
+      select case when done = 0 then 'fail' when n_issues > 0 then 'warn' else 'pass' end as status, n_issues, count(*) as matches, sum(done)::bigint as completed_sets from r group by all""",
     "winner_counts": f"with {_EVENTS} select match_id, count(*) filter (winner = 'player_a') as wins_a, count(*) filter (winner = 'player_b') as wins_b, count(*) filter (winner = 'unknown') as unknown from ev group by match_id",
     "unknown_policy": f"with {_EVENTS} select match_id, seq, case winner when 'unknown' then 'player_a' else winner end as final_winner from ev",
     "signal_diff": f"with {_SIGNAL} select clip, idx, round(diff, 6) as diff from (select clip, idx, abs(v - lag(v) over {_BY}) as diff from sg) where diff is not null",
@@ -243,19 +252,28 @@ ORACLES: dict[str, str] = {
              case when winner = 'unknown' and cons < 0.67 then 'winner_low_consensus' else '' end as flags from pt left join v on v.id = pt.seq""",
     "review_buckets": f"with {_POINTS} select case when confidence >= 0.85 then 'auto' when confidence >= 0.60 then 'review' else 'block' end as bucket, count(*) as points, count(*) filter (winner = 'unknown' or confidence < 0.85) as needing_review from pt group by 1",
     "flip_suggestions": f"""with {_POINTS}, k as (select * from pt where winner <> 'unknown'),
-      p as (select clip, 6 - count(*) filter (winner = 'player_a') as da, 2 - count(*) filter (winner = 'player_b') as db from k group by clip having count(*) = 8),
+      p as (select clip, 6 - count(*) filter (winner = 'player_a') as da, 2 - count(*) filter (winner = 'player_b') as db from k group by clip),
       f as (select clip, abs(da) as needed, case when da < 0 then 'player_a' else 'player_b' end as from_winner from p where da = -db and da <> 0),
       r as (select k.clip, row_number() over (partition by k.clip order by confidence, t_end - t_start desc, seq)::int as place, seq, from_winner, needed from k join f on f.clip = k.clip and f.from_winner = k.winner)
       select clip, place, seq, from_winner, case from_winner when 'player_a' then 'player_b' else 'player_a' end as to_winner, needed from r where place <= least(needed, 10)""",
+    "correction_outcomes": f"""with {_POINTS}, p as (select clip, 6 - count(*) filter (winner = 'player_a') as delta_a, 2 - count(*) filter (winner = 'player_b') as delta_b, count(*) filter (winner = 'unknown') as n_unknown from pt group by clip)
+      select *, case when delta_a + delta_b <> 0 then 'segmentation_error' when delta_a = 0 then 'none' else 'flips' end as outcome from p""",
+    "document_errors": """select c_custkey::varchar as path, 'ROI is missing or has zero width' as message from customer where c_custkey % 5 - 1 <= 0
+      union all select c_custkey::varchar, 'Invalid video_fps' from customer where c_custkey % 7 = 0""",
+    "sample_times": """with k as (select unnest(range(6))::int as k), t as (select event_id, k, case when k = 0 then greatest(0, value - 5) else value - 5 + k * 2 end as a from events, k)
+      select event_id, k, round(a, 6) as at_time, round(a, 6) / 100 < 0.39::double as low from t""",
     "draft_errors": f"""with {_POINTS}, n as (select *, row_number() over (partition by clip order by seq) - 1 as k, lag(t_start) over (partition by clip order by seq) as before from pt)
       select clip, k::int as seq, 'Point ' || k || ': Invalid time range' as message from n where t_start < 0 or t_end <= t_start
-      union all select clip, k::int, 'Point ' || k || ': Non-monotonic timestamps' from n where t_start < coalesce(before, -1)""",
+      union all select clip, k::int, 'Point ' || k || ': Non-monotonic timestamps (start before previous end)' from n where t_start < coalesce(before, -1)""",
     "key_times": f"with {_POINTS} select clip, seq, 0 as k, (t_start + t_end) / 2 as at_time from pt union all select clip, seq, 1, t_end - 0.5 from pt union all select clip, seq, 2, t_end from pt",
     "roi_clamp": f"with {_BOXES}, c as (select *, greatest(0, least(x, 1279)) as cx, greatest(0, least(y, 719)) as cy from bx) select clip, seq, cx as x, cy as y, greatest(1, least(w, 1280 - cx)) as w, greatest(1, least(h, 720 - cy)) as h from c",
-    "play_zone": f"with {_BOXES}, z as (select *, greatest(0, x - trunc(w * 0.25)::int) as zx, greatest(0, y - h) as zy from bx where x < 1280 and y < 720) select clip, seq, zx as zone_x, zy as zone_y, least(1280 - zx, w + trunc(w * 0.5)::int) as zone_w, least(720 - zy, h + trunc(h * 1.2::double)::int) as zone_h from z",
+    "play_zone": f"with {_BOXES}, z as (select *, greatest(0, x - trunc(w * 0.25)::int) as zx, greatest(0, y - h) as zy from bx) select clip, seq, zx as zone_x, zy as zone_y, least(1280 - zx, w + trunc(w * 0.5)::int) as zone_w, least(720 - zy, h + trunc(h * 1.2::double)::int) as zone_h from z",
     "box_iou": f"""with {_BOXES}, n as (select *, lead(x) over v as nx, lead(y) over v as ny, lead(w) over v as nw, lead(h) over v as nh from bx window v as (partition by clip order by seq))
       select clip, seq, round({_overlap(*'xywh', 'nx', 'ny', 'nw', 'nh')}, 6) as iou, x < nx + nw + 100 and x + w > nx - 100 and y < ny + nh + 100 and y + h > ny - 100 as near from n where nx is not null""",
     "box_priors": f"with {_BOXES} select clip, seq, round({_ASPECT}, 6) as aspect, round({_CENTRE}, 6) as centre, round(least(greatest((w * h / 921600.0::double - 0.03::double) / 0.20::double, 0), 1), 6) as area from bx where w >= 192 and h >= 43.2",
+    "box_ranks": f"""with {_BOXES}, p as (select *, {_CENTRE} as c, {_ASPECT} as s from bx where seq % 4 <> 0)
+      select clip, seq, round(greatest(0, least(1, s * 1.6::double)) * 0.4::double + c * 0.4::double + greatest(0, least(1, w * h / 921600.0::double * 6)) * 0.1::double + score * 0.1::double, 6) as detection,
+             round(s * 0.55::double + score * 0.2::double + c * 0.25::double, 6) as recovery, trunc(w * 0.5)::int as half_w from p""",
     "box_consensus": f"""with {_BOXES}, m as (select *, trunc(median(x) over v)::int as mx, trunc(median(y) over v)::int as my, trunc(median(w) over v)::int as mw, trunc(median(h) over v)::int as mh from bx window v as (partition by clip)),
       r as (select *, {_overlap(*'xywh', 'mx', 'my', 'mw', 'mh')} * 0.25 + {_CENTRE} * 0.25 + score * 0.25 + {_ASPECT} * 0.25 as rk from m),
       b as (select *, row_number() over (partition by clip order by rk desc, seq) as place, greatest(0, y - round_even(h * 0.02::double, 0)::int) as top from r)

@@ -69,6 +69,29 @@ def score_validation(spark: SparkSession, d: str) -> DataFrame:
     return score.validated(match_events(_events(spark, d)), 3, "match", "11-7").withColumn("issues", F.concat_ws("|", "issues"))
 
 
+def _mixed_events(spark: SparkSession, d: str) -> DataFrame:
+    """Match events in which only every third match has unknown winners."""
+    e = match_events(_events(spark, d))
+    return e.withColumn("winner", F.when((F.col("winner") == "unknown") & (F.col("match_id") % 3 != 0), "player_a").otherwise(F.col("winner")))
+
+
+@query
+def load_checks(spark: SparkSession, d: str) -> DataFrame:
+    return score.load_checks(_mixed_events(spark, d))
+
+
+@query
+def exported_events(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(score.exported(score.loaded_events(_mixed_events(spark, d))), "timestamp")
+
+
+@query
+def score_validation_set(spark: SparkSession, d: str) -> DataFrame:
+    """How many matches each status and issue has when a whole set is expected."""
+    r = score.validated(match_events(_events(spark, d)), 3, "set")
+    return r.groupBy("status", F.size("issues").cast("int").alias("n_issues")).agg(F.count("*").alias("matches"), F.sum("completed_sets").alias("completed_sets"))
+
+
 @query
 def winner_counts(spark: SparkSession, d: str) -> DataFrame:
     n = lambda w: F.count_if(F.col("winner") == w)
@@ -252,9 +275,20 @@ def review_buckets(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def flip_suggestions(spark: SparkSession, d: str) -> DataFrame:
-    p = _points(spark, d).where("winner <> 'unknown'")
-    few = p.join(p.groupBy("clip").agg(F.count("*").alias("n")).where("n = 8").select("clip"), "clip")
-    return events.flip_suggestions(few, 6, 2)
+    return events.flip_suggestions(_points(spark, d).where("winner <> 'unknown'"), 6, 2)
+
+
+@query
+def correction_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    return events.correction_outcomes(_points(spark, d), 6, 2)
+
+
+@query
+def document_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Checks of documents made of customers: the box's width and the frame rate from the key."""
+    c = table(spark, d, "customer")
+    roi = F.struct(*[F.lit("1").alias(k) for k in "xy"], (F.col("c_custkey") % 5 - 1).cast("string").alias("w"), F.lit("1").alias("h"))
+    return drafts.document_errors(c.select(F.col("c_custkey").cast("string").alias("path"), (F.col("c_custkey") % 7).cast("double").alias("video_fps"), roi.alias("roi")))
 
 
 @query
@@ -297,7 +331,7 @@ def roi_clamp(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def play_zone(spark: SparkSession, d: str) -> DataFrame:
-    return _boxes(spark, d).where("x < 1280 and y < 720").select("clip", "seq", *boxes.play_zone(*_c("x", "y", "w", "h"), F.lit(FRAME_W), F.lit(FRAME_H)))
+    return _boxes(spark, d).select("clip", "seq", *boxes.play_zone(*_c("x", "y", "w", "h"), F.lit(FRAME_W), F.lit(FRAME_H)))
 
 
 @query
@@ -315,6 +349,22 @@ def box_priors(spark: SparkSession, d: str) -> DataFrame:
     return rounded(r, "aspect", "centre", "area")
 
 
+@query
+def box_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """Ranks of boxes of other classes than persons, and their half-size widths."""
+    b = _boxes(spark, d).where(boxes.kept_class(F.col("seq") % 4))
+    centre, shape = boxes.centre_prior(*_c("x", "y", "w", "h"), FRAME_W, FRAME_H), boxes.aspect_prior(F.col("w"), F.col("h"))
+    area = F.col("w") * F.col("h") / F.lit(float(FRAME_W * FRAME_H))
+    r = b.select("clip", "seq", boxes.detection_rank(shape, centre, area, F.col("score")).alias("detection"), boxes.recovery_rank(shape, F.col("score"), centre).alias("recovery"), boxes.scaled(F.col("w"), 0.5).alias("half_w"))
+    return rounded(r, "detection", "recovery")
+
+
+@query
+def sample_times(spark: SparkSession, d: str) -> DataFrame:
+    e = _events(spark, d)
+    return e.select("event_id", F.posexplode(scalars.sample_times(F.col("value") - 5.0)).alias("k", "at_time")).select("event_id", "k", F.round("at_time", 6).alias("at_time"), scalars.is_low(F.col("at_time") / 100.0).alias("low"))
+
+
 @query
 def box_consensus(spark: SparkSession, d: str) -> DataFrame:
     return consensus.consensus_boxes(_boxes(spark, d), FRAME_W, FRAME_H)

@@ -13,7 +13,7 @@ points array<struct<id:string,t_start:double,t_end:double,winner:string,confiden
 score_validation string"""
 
 
-def read_drafts(spark: SparkSession, path: str) -> DataFrame:
+def read_drafts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row for each JSON file, with its path."""
     return spark.read.option("multiLine", True).schema(DRAFT_SCHEMA).json(path).withColumn("path", F.col("_metadata.file_path"))
 
@@ -30,6 +30,14 @@ def strict_errors(d: DataFrame) -> DataFrame:
     return d.withColumn("strict_errors", F.array_compact(F.array(*missing, *boxes, F.when(incomplete, "A point lacks id, t_start or t_end."))))
 
 
+def document_errors(d: DataFrame) -> DataFrame:
+    """path and message: what is wrong with a document as such, apart from its points."""
+    # The texts of errors.
+    width = F.coalesce(F.when(_integer(F.col("roi.w")), F.col("roi.w")).cast("int"), F.lit(0))
+    wrong = [F.when(width <= 0, "ROI is missing or has zero width"), F.when(F.coalesce(F.col("video_fps"), F.lit(0.0)) <= 0, "Invalid video_fps")]
+    return d.select("path", F.explode(F.array_compact(F.array(*wrong))).alias("message"))
+
+
 def draft_points(d: DataFrame) -> DataFrame:
     """One row a point with its ordinal and the defaults of optional fields. Documents without points give none."""
     rows = d.select("path", F.coalesce("best_of", F.lit(5)).alias("best_of"), F.posexplode("points").alias("seq", "p"))
@@ -41,10 +49,11 @@ def draft_points(d: DataFrame) -> DataFrame:
 
 def point_errors(points: DataFrame, key: str = "path") -> DataFrame:
     """key, seq and message: bad time ranges, and starts before the previous point's start."""
+    # The texts of errors.
     before = F.coalesce(F.lag("t_start").over(Window.partitionBy(key).orderBy("seq")), F.lit(-1.0))
     shown = F.concat(F.lit("Point "), F.col("seq").cast("string"), F.lit(": "))
     bad_range = F.when((F.col("t_start") < 0) | (F.col("t_end") <= F.col("t_start")), F.concat(shown, F.lit("Invalid time range")))
-    disorder = F.when(F.col("t_start") < before, F.concat(shown, F.lit("Non-monotonic timestamps")))
+    disorder = F.when(F.col("t_start") < before, F.concat(shown, F.lit("Non-monotonic timestamps (start before previous end)")))
     found = points.withColumn("messages", F.array_compact(F.array(bad_range, disorder)))
     return found.select(key, "seq", F.explode("messages").alias("message"))
 
@@ -55,12 +64,24 @@ def score_events(points: DataFrame, key: str = "path", use_end: bool = True) ->
 
 
 def write_drafts(d: DataFrame, path: str) -> None:
-    """Write documents as JSON lines; refuses if any has strict errors."""
+    """Write documents (with their path) as JSON lines; refuses if any has strict errors, or errors of its values or points."""
     if (bad := strict_errors(d).where(F.size("strict_errors") > 0).select("strict_errors").first()) is not None:
         raise ValueError("; ".join(bad[0]))
+    found = document_errors(d).select("message").union(point_errors(draft_points(d)).select("message")).limit(10).collect()
+    if found:
+        raise ValueError("; ".join(r["message"] for r in found))
     d.drop("path").write.json(path)
 
 
+def manifest_sides(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Predicted and labelled points of all pairs of a manifest, with the pair's name as clip: sides for ``evaluate``."""
+    pairs = read_manifest(spark, path).withColumns({c: F.regexp_replace(c, r"^file:/+", "/") for c in ("pred", "gt")})
+    files = [r[0] for r in pairs.select("pred").union(pairs.select("gt")).distinct().collect()]  # as many as the manifest names
+    points = draft_points(read_drafts(spark, files)).withColumn("path", F.regexp_replace("path", r"^file:/+", "/"))
+    points = points.select("path", F.col("seq").cast("long").alias("seq"), "t_start", "t_end", "winner", "confidence")
+    return tuple(points.join(pairs.select(F.col("name").alias("clip"), F.col(c).alias("path")), "path").drop("path") for c in ("pred", "gt"))
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """name, pred and gt of each pair; the name defaults to the stem of pred. A document without pairs is one pair."""
     pair = "struct<name:string,pred:string,gt:string>"
