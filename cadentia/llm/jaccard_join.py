@@ -38,7 +38,7 @@ BUCKETS = 1 << BUCKET_BITS
 #: Most shared postings asked for, and the cost of a comparison against a posting.
 MOST_MATCHES, COMPARISON = 6, 4.0
 #: Postings that make a list long, those of a block of a very long one, and texts checked against one other in one task.
-LONG, LIST_BLOCK, CHECK_BLOCK = 8, 2048, 1000
+LONG, LIST_BLOCK, CHECK_BLOCK = 8, 1024, 1000
 #: Rounds go on while one settles this share of the texts in long lists, and are so many at most; what they leave is compared in step (4).
 SETTLES, MOST_ROUNDS = 0.01, 8
 #: Bits of a parity bitmap for each shingle, at least and at most, and at most with postings of long lists.
