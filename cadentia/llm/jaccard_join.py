@@ -544,7 +544,11 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, width: int, thresho
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that are the smallest id of their component, with the same columns; of rows that repeat an id all stay or go. Rows with a null id stay."""
+    """The rows of ``docs`` that are the smallest id of their component, with the same columns.
+
+    Of rows that repeat an id all stay or go. Rows with a null id stay, and so do null texts and those without words, which
+    link with nothing. Very long texts are compared whole. An empty table gives no rows. Columns may have any names.
+    """
     found = jaccard_components(spark, docs.select("doc_id", "text"), width, threshold)
     gone = written(spark, found.where("doc_id <> component_id").select("doc_id").distinct(), "join-gone")
     rows = gone.count()

@@ -176,7 +176,11 @@ def identify(spark: SparkSession, docs: DataFrame, folds: int = 4, held_out: int
 
 
 def known_language_documents(spark: SparkSession, docs: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose language is determined, with the same columns: those of no letter, or ambiguous, go."""
+    """The rows of ``docs`` whose language is determined, with the same columns: those of no letter, or ambiguous, go.
+
+    Null and empty texts have no letter and go; very long texts are judged whole; repeated rows and null ids are rows
+    like others. An empty table gives no rows. Columns may have any names.
+    """
     model = train(docs, folds, held_out)
     columns = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col("text").alias("__text"))

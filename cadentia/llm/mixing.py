@@ -97,7 +97,11 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS, seed: str = SEED) -> DataFrame:
-    """The mix as whole rows with the columns of ``docs``: each appears as often as the mix takes it, the one at a cut whole."""
+    """The mix as whole rows with the columns of ``docs``: each appears as often as the mix takes it, the one at a cut whole.
+
+    Null and empty texts have size 0; a null source is a source, the last one; rows that repeat an id share its key and are
+    taken or left together. An empty table gives no rows. Columns may have any names.
+    """
     columns = docs.columns
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col("source").alias("source"), F.col("doc_id").alias("doc_id"), word_count(F.col("text")).alias("size"))
     keyed = keyed.select("row", "source", "size", _key(F.col("doc_id"), seed).alias("key"))

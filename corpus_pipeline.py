@@ -2,7 +2,13 @@
 
 Language ID drops documents without a determined language; toxicity drops those predicted toxic; the n-gram
 Jaccard join keeps the smallest id of each group of near-duplicates (five words, a similarity of 0.8); mixing
-repeats and drops whole documents so that sources come near their targets; BPE encodes what is left.
+repeats and drops whole documents so that sources come near their targets; BPE encodes what is left: doc_id, n_tokens,
+digests of ids and decoded text, and the ids.
+
+Documents without letters, null and empty ones among them, go in the first stage. Very long texts are taken whole,
+rows that repeat an id or a text are rows like others until the third stage, which treats an id as one document; null ids stay
+in every stage. An empty table gives an empty result. Columns other than doc_id, text, lang and source are carried along, whatever their
+names.
 """
 
 from __future__ import annotations
