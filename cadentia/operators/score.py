@@ -75,6 +75,9 @@ def exported(events: DataFrame) -> DataFrame:
 
 
 SNAPSHOT = "match_id long, seq long, ts double, set_number int, score_a int, score_b int, sets_a int, sets_b int, is_finished boolean, winner string, closed_a int, closed_b int"
+FINAL = "match_id long, n_events long, set_number int, score_a int, score_b int, sets_a int, sets_b int, is_finished boolean, winner string"
+_FINAL_NAMES = [part.strip().split(" ")[0] for part in FINAL.split(",")]
+_FINAL_TYPES = [pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.bool_(), pa.string()]
 _NAMES = [part.strip().split(" ")[0] for part in SNAPSHOT.split(",")]
 _TYPES = [pa.int64(), pa.int64(), pa.float64(), *[pa.int32()] * 5, pa.bool_(), pa.string(), pa.int32(), pa.int32()]
 
@@ -103,15 +106,38 @@ def replay(events: DataFrame, best_of: int = 5, by_time: bool = True) -> DataFra
     return events.select("match_id", "seq", "ts", "winner").repartition("match_id").sortWithinPartitions(*order).mapInArrow(run, SNAPSHOT)
 
 
-def timeline(events: DataFrame, best_of: int = 5, by_time: bool = True) -> DataFrame:
-    return replay(events, best_of, by_time).drop("closed_a", "closed_b")
+def final_scores(events: DataFrame, best_of: int = 5) -> DataFrame:
+    """The last snapshot of each match, and its number of events: the same fold as ``replay``, which gives out one row a match."""
+    needed_sets(best_of)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        match, score, count = None, Score(best_of), 0
 
-def final_scores(events: DataFrame, best_of: int = 5) -> DataFrame:
-    """The last snapshot of each match, and its number of events."""
-    rows = timeline(events, best_of)
-    last = F.max_by(F.struct("set_number", "score_a", "score_b", "sets_a", "sets_b", "is_finished", "winner"), F.struct("ts", "seq")).alias("last")
-    return rows.groupBy("match_id").agg(F.count("*").alias("n_events"), last).select("match_id", "n_events", "last.*")
+        def given(rows: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*rows, strict=True) if rows else [[]] * len(_FINAL_NAMES)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _FINAL_TYPES, strict=True)], names=_FINAL_NAMES)
+
+        def last() -> tuple:
+            return match, count, score.number, *score.points, *score.sets, score.winner is not None, score.winner
+
+        for batch in batches:
+            out = []
+            for m, ts, winner in zip(*(batch.column(c).to_pylist() for c in ("match_id", "ts", "winner")), strict=True):
+                if m != match or not count:
+                    if count:
+                        out.append(last())
+                    match, score, count = m, Score(best_of), 0
+                score.add(ts, winner)
+                count += 1
+            yield given(out)
+        if count:
+            yield given([last()])
+
+    return events.select("match_id", "seq", "ts", "winner").repartition("match_id").sortWithinPartitions("match_id", "ts", "seq").mapInArrow(run, FINAL)
+
+
+def timeline(events: DataFrame, best_of: int = 5, by_time: bool = True) -> DataFrame:
+    return replay(events, best_of, by_time).drop("closed_a", "closed_b")
 
 
 def set_results(events: DataFrame, best_of: int = 5) -> DataFrame:
