@@ -53,28 +53,41 @@ def hysteresis(s: DataFrame, rules: Rules, value: str = "e", flush: bool = True)
     return found.select("clip", "t_start", "t_end", "i_start", "i_end")
 
 
-def _boundaries(s: DataFrame, segments: DataFrame, rules: Rules, value: str) -> DataFrame:
-    """clip, segment (its first sample) and at: the samples where long segments are cut, in the middle of dips that last."""
-    long = segments.where(F.col("t_end") - F.col("t_start") > rules.long).select(F.col("clip").alias("c"), "i_start", "i_end")
-    inside = s.join(long, (F.col("clip") == F.col("c")) & F.col("idx").between(F.col("i_start"), F.col("i_end"))).where(F.col(value) < rules.split_low)
-    own = Window.partitionBy("clip", "i_start").orderBy("idx")
-    dips = inside.withColumn("run", F.col("idx") - F.row_number().over(own)).groupBy("clip", "i_start", "i_end", "run").agg(F.min("idx").alias("a"), F.max("idx").alias("b"), (F.max("t") - F.min("t")).alias("lasts"))
-    at = F.floor((F.col("a") + F.col("b")) / 2).cast("long")
-    return dips.where(F.col("lasts") >= rules.split_gap).select("clip", "i_start", "i_end", at.alias("at")).where("at > i_start and at < i_end").select("clip", "i_start", "at").distinct()
+def within(s: DataFrame, spans: DataFrame, value: str = "e") -> DataFrame:
+    """idx, t and x of each sample with the columns of the span that covers it, by windows over samples and starts of spans.
+
+    Spans of a clip may touch but not overlap; a sample where two touch comes once for each of them. Samples
+    outside of all spans go, and spans without samples.
+    """
+    columns = [c for c in spans.columns if c != "clip"]
+    starts = spans.select("clip", F.col("i_start").alias("idx"), F.lit(None).cast("double").alias("t"), F.lit(None).cast("double").alias("x"), F.struct(*columns).alias("span"))
+    rows = s.select("clip", "idx", F.col("t").cast("double").alias("t"), F.col(value).cast("double").alias("x"), F.lit(None).cast(starts.schema["span"].dataType).alias("span")).unionByName(starts)
+    before, here = (F.last("span", ignorenulls=True).over(by_sample().rangeBetween(Window.unboundedPreceding, to)) for to in (-1, 0))
+    covering = F.filter(F.array_distinct(F.array("before", "here")), lambda p: p["i_end"] >= F.col("idx"))
+    rows = rows.select("clip", "idx", "t", "x", "span", before.alias("before"), here.alias("here")).where("span is null")
+    return rows.select("clip", "idx", "t", "x", F.explode(covering).alias("span")).select("clip", "idx", "t", "x", "span.*")
 
 
 def split(s: DataFrame, segments: DataFrame, rules: Rules, value: str = "e") -> DataFrame:
-    """clip, t_start, t_end, i_start, i_end and flags of the pieces that long segments are split into; others pass.
+    """clip, t_start, t_end, i_start, i_end and flags of the pieces that long segments of ``s`` are split into; others pass.
 
-    Too short pieces join the one on their left, or while none is long enough yet, the one on their right.
+    Long segments are cut in the middle of dips that last. Too short pieces join the one on their left, or
+    while none is long enough yet, the one on their right. All windows share the partitioning by clip.
     """
-    cuts = _boundaries(s, segments, rules, value)
-    ends = segments.select("clip", "i_start", F.col("i_end").alias("at"))
-    points = cuts.unionByName(ends).join(s.select("clip", F.col("idx").alias("at"), F.col("t").alias("at_t")), ["clip", "at"])
-    firsts = segments.select("clip", "i_start", F.col("t_start").alias("seg_t"), F.col("t_end").alias("seg_end"), F.col("i_end").alias("seg_i_end"))
-    points = points.join(firsts, ["clip", "i_start"])
-    order = Window.partitionBy("clip", "i_start").orderBy("at")
+    inside = within(s, segments.select("clip", "t_start", "t_end", "i_start", "i_end"), value)
+    order = Window.partitionBy("clip", "i_start").orderBy("idx")
     whole = Window.partitionBy("clip", "i_start")
+    long = F.col("t_end") - F.col("t_start") > rules.long
+    inside = inside.withColumn("dip", F.coalesce(long & (F.col("x") < rules.split_low), F.lit(False)))
+    follows = F.lag("dip", 1, False).over(order) & (F.lag("idx").over(order) == F.col("idx") - 1)
+    inside = inside.withColumn("run", F.sum((F.col("dip") & ~follows).cast("int")).over(order))
+    dip = Window.partitionBy("clip", "i_start", "dip", "run")
+    middle = F.floor((F.min("idx").over(dip) + F.max("idx").over(dip)) / 2)
+    lasts = F.max("t").over(dip) - F.min("t").over(dip)
+    inside = inside.select("*", middle.alias("middle"), lasts.alias("lasts"))
+    cut = F.col("dip") & (F.col("idx") == F.col("middle")) & (F.col("lasts") >= rules.split_gap) & (F.col("idx") > F.col("i_start"))
+    points = inside.where((F.col("idx") == F.col("i_end")) | cut).select("clip", "i_start", F.col("idx").alias("at"), F.col("t").alias("at_t"), F.col("t_start").alias("seg_t"), F.col("t_end").alias("seg_end"), F.col("i_end").alias("seg_i_end"))
+    order = Window.partitionBy("clip", "i_start").orderBy("at")
     pieces = points.select(
         "*", F.coalesce(F.lag("at").over(order), F.col("i_start")).alias("from_i"), F.coalesce(F.lag("at_t").over(order), F.col("seg_t")).alias("from_t"), F.count("*").over(whole).alias("n")
     )
@@ -89,19 +102,20 @@ def split(s: DataFrame, segments: DataFrame, rules: Rules, value: str = "e") ->
     )
     # One flag for a merged beginning, one for each piece that joined from the right.
     joined = F.when(F.col("group") == 0, (F.col("n_leading") > 1).cast("int") + F.col("n_later")).otherwise(F.col("n_later") - 1).cast("int")
-    flags = F.concat(F.array(F.lit("split_long")), F.array_repeat(F.lit("merged_short_split"), joined))
-    groups = groups.withColumn("flags", flags).where((F.col("n") > 1) & (F.col("reached") == 1) & (F.col("t_end") - F.col("t_start") >= rules.min_dur))
-    kept = groups.select("clip", "seg", "t_start", "t_end", "i_start", "i_end", "flags")
-    rest = segments.join(kept.select("clip", F.col("seg").alias("i_start")).distinct(), ["clip", "i_start"], "left_anti")
-    unsplit = F.when(F.col("t_end") - F.col("t_start") > rules.long, F.array(F.lit("long_unsplit"))).otherwise(F.array().cast("array<string>"))
-    return kept.drop("seg").unionByName(rest.select("clip", "t_start", "t_end", "i_start", "i_end", unsplit.alias("flags")))
+    split_flags = F.concat(F.array(F.lit("split_long")), F.array_repeat(F.lit("merged_short_split"), joined))
+    whole_flags = F.when(F.col("seg_end") - F.col("seg_t") > rules.long, F.array(F.lit("long_unsplit"))).otherwise(F.array().cast("array<string>"))
+    keep = (F.col("n") > 1) & (F.col("reached") == 1) & (F.col("t_end") - F.col("t_start") >= rules.min_dur)
+    groups = groups.withColumn("keep", keep).withColumn("kept", F.max("keep").over(Window.partitionBy("clip", "seg")))
+    # A segment none of whose pieces is kept passes whole, in the row of its first piece.
+    groups = groups.where(F.col("keep") | (~F.col("kept") & (F.col("group") == 0)))
+    own = {"t_start": "seg_t", "t_end": "seg_end", "i_start": "seg", "i_end": "seg_i_end"}
+    return groups.select("clip", *[F.when(F.col("keep"), F.col(c)).otherwise(F.col(o)).alias(c) for c, o in own.items()], F.when(F.col("keep"), split_flags).otherwise(whole_flags).alias("flags"))
 
 
 def with_confidence(s: DataFrame, pieces: DataFrame, value: str = "e") -> DataFrame:
     """The pieces with the median of their samples, clamped to [0.5, 1]. A sample on a border counts for both sides."""
-    at = s.select(F.col("clip").alias("c"), "idx", F.col(value).alias("x"))
-    joined = pieces.join(at, (F.col("clip") == F.col("c")) & F.col("idx").between(F.col("i_start"), F.col("i_end")))
-    middle = joined.groupBy("clip", "t_start", "t_end", "i_start", "i_end", "flags").agg(F.median("x").alias("m"))
+    covered = within(s, pieces.select("clip", "t_start", "t_end", "i_start", "i_end", "flags"), value)
+    middle = covered.groupBy("clip", "t_start", "t_end", "i_start", "i_end", "flags").agg(F.median("x").alias("m"))
     return middle.select("clip", "t_start", "t_end", "i_start", "i_end", "flags", F.least(F.greatest(F.col("m"), F.lit(0.5)), F.lit(1.0)).alias("confidence"))
 
 

@@ -217,6 +217,12 @@ ORACLES: dict[str, str] = {
     "segments_split": f"with recursive {_SPLIT} select clip, round(t_start, 6) as t_start, round(t_end, 6) as t_end, i_start, i_end, array_to_string(flags, '|') as flags from sp",
     "segments_final": f"with recursive {_FINAL}",
     "stream_segments": f"with recursive {_SIGNAL}, lv as (select clip, idx, t, least(v / 100, 1) as x from sg), {_rules('lv', 'x', RULES, 'hs', False)} select clip, round(t_start, 6) as t_start, round(t_end, 6) as t_end from hs",
+    "stream_machines": f"""with recursive {_SIGNAL},
+      tb as (select clip, idx, t, v / 160 as x from sg),
+      fz as (select clip, idx, t, greatest(v / 160, case when floor(v)::bigint % 3 = 0 then least(v / 80, 1) else 0 end, case when floor(v)::bigint % 4 = 0 then least(v / 60, 1) else 0 end) as x from sg),
+      {_rules('tb', 'x', RULES, 'ht', False)}, {_rules('fz', 'x', GT_RULES, 'hf', False)}
+      select clip, 'table' as machine, round(t_start, 6) as t_start, round(t_end, 6) as t_end from ht
+      union all select clip, 'fused', round(t_start, 6), round(t_end, 6) from hf""",
     "motion_events": f"""with recursive {_SIGNAL},
       r as (
         select clip, 0::bigint as idx, -1e18::double as last, null::double as t, null::double as value from sg where idx = 0

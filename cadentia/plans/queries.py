@@ -14,7 +14,7 @@ from cadentia.plans.rules import GT_RULES, LEAST_IOU, RULES
 from cadentia.sources import drafts, stream
 from cadentia.sources.tables import epoch_micros, known_events, match_events, seconds, table, winner_of
 from cadentia.sources.tables import signal as sampled
-from cadentia.streaming.replay import live_segments, live_timeline
+from cadentia.streaming.replay import live_segments, live_timeline, table_and_fused
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -476,6 +476,16 @@ def stream_segments(spark: SparkSession, d: str) -> DataFrame:
     return _shown(stream.drained(spark, live_segments(samples, RULES), "stream-segments"))
 
 
+@query
+def stream_machines(spark: SparkSession, d: str) -> DataFrame:
+    """Live segments of one signal alone and of that fused with two others, each of which has a gate."""
+    v = F.col("value")
+    others = [F.least(v / by, F.lit(1.0)) for by in (80.0, 60.0)]
+    gates = [F.floor(v) % n == 0 for n in (3, 4)]
+    samples = stream.table_stream(spark, d, "events").select(F.col("user_id").alias("clip"), seconds(F.col("ts")).alias("t"), (v / 160).alias("table"), *[c.alias(f"p{i}") for i, c in enumerate(others)], *[c.alias(f"near{i}") for i, c in enumerate(gates)])
+    return _shown(stream.drained(spark, table_and_fused(samples, RULES, GT_RULES, [("p0", "near0"), ("p1", "near1")]), "stream-machines"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

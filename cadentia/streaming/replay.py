@@ -18,10 +18,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cadentia.operators.score import Score, needed_sets
 from cadentia.operators.segments import Rules
+from cadentia.operators.signal import fused
 
 SNAPSHOT = "match_id long, seq long, ts double, set_number int, score_a int, score_b int, sets_a int, sets_b int, is_finished boolean, winner string"
 _SCORE_STATE = "p_a int, p_b int, s_a int, s_b int, number int, winner string, last double, late long"
-_SEGMENT_STATE = "active boolean, start double, warm double, last double, late long"
 
 #: Rows of a key that are sorted at once, and rows of each frame read from a run or given out.
 RUN_ROWS, FRAME_ROWS = 500_000, 10_000
@@ -82,29 +82,51 @@ def live_timeline(events: DataFrame, best_of: int = 5) -> DataFrame:
     return events.groupBy("match_id").applyInPandasWithState(step, SNAPSHOT, _SCORE_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def live_segments(samples: DataFrame, rules: Rules) -> DataFrame:
-    """clip, t_start and t_end of closed segments of a stream of clip, t and x."""
+def live_machines(samples: DataFrame, machines: dict[str, Rules]) -> DataFrame:
+    """clip, machine, t_start and t_end of closed segments of a stream of clip, t and a signal for each machine.
+
+    Each signal, a column named like its machine, runs through thresholds of its own; all of them share one
+    pass and one state of a clip. A null counts as silence.
+    """
+    names = list(machines)
+    columns = ["clip", "machine", "t_start", "t_end"]
+    fields = "".join(f"active_{i} boolean, start_{i} double, warm_{i} double, " for i in range(len(names)))
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        active, start, warm, last, late = state.get if state.exists else (False, 0.0, 0.0, None, 0)
+        *flat, last, late = state.get if state.exists else (*(False, 0.0, 0.0) * len(names), None, 0)
+        held = [list(flat[3 * i : 3 * i + 3]) for i in range(len(names))]
         out = []
-        for t, x in _in_order((f[["t", "x"]].astype(float) for f in frames), ["t"]):
+        for t, *values in _in_order((f[["t", *names]].astype(float) for f in frames), ["t"]):
             if last is not None and t < last:
                 late += 1
                 continue
             last = t
-            if active:
-                warm = t if x > rules.low else warm
-                if t - warm > rules.max_gap:
-                    active = False
-                    if warm - start > rules.min_dur:
-                        out.append((key[0], start, warm))
-                        if len(out) == FRAME_ROWS:
-                            yield pd.DataFrame(out, columns=["clip", "t_start", "t_end"])
-                            out = []
-            elif x > rules.high:
-                active, start, warm = True, t, t
-        state.update((active, start, warm, last, late))
-        yield pd.DataFrame(out, columns=["clip", "t_start", "t_end"])
-
-    return samples.groupBy("clip").applyInPandasWithState(step, "clip long, t_start double, t_end double", _SEGMENT_STATE, "append", GroupStateTimeout.NoTimeout)
+            for name, x, one in zip(names, values, held, strict=True):
+                active, start, warm = one
+                if active:
+                    one[2] = warm = t if x > machines[name].low else warm
+                    if t - warm > machines[name].max_gap:
+                        one[0] = False
+                        if warm - start > machines[name].min_dur:
+                            out.append((key[0], name, start, warm))
+                elif x > machines[name].high:
+                    one[:] = True, t, t
+            if len(out) >= FRAME_ROWS:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
+        state.update((*(v for one in held for v in one), last, late))
+        yield pd.DataFrame(out, columns=columns)
+
+    return samples.groupBy("clip").applyInPandasWithState(step, "clip long, machine string, t_start double, t_end double", fields + "last double, late long", "append", GroupStateTimeout.NoTimeout)
+
+
+def live_segments(samples: DataFrame, rules: Rules) -> DataFrame:
+    """clip, t_start and t_end of closed segments of a stream of clip, t and x."""
+    return live_machines(samples, {"x": rules}).select("clip", "t_start", "t_end")
+
+
+def table_and_fused(samples: DataFrame, table_rules: Rules, fused_rules: Rules, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Segments of a stream of clip, t and table: once of the table's signal alone (machine ``table``), once
+    fused with the signals of ``pairs`` (signal, gate) where their gate is open (machine ``fused``)."""
+    both = fused(samples, "table", pairs, "fused")
+    return live_machines(both.select("clip", "t", "table", "fused"), {"table": table_rules, "fused": fused_rules})

@@ -11,7 +11,7 @@ ROOT = "/root/testdata/sf0.001"
 
 def test_folder_of_files_streams_like_one_file(spark, tmp_path):
     spark.read.parquet(f"{ROOT}/events.parquet").repartition(5).write.parquet(f"{tmp_path}/events.parquet")
-    for name in ("stream_score", "stream_segments"):
+    for name in ("stream_score", "stream_segments", "stream_machines"):
         one, many = (sorted(map(str, queries()[name](spark, str(d)).collect())) for d in (ROOT, tmp_path))
         assert one and one == many
 
