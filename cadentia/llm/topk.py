@@ -1,10 +1,12 @@
 """Exact top-k by inner product, over vectors in the order of descending length.
 
-Components are turned into integers. Vectors are cut into blocks by descending length; blocks are dealt to
-stripes, and a task takes one block of queries through one stripe. With the k-th best score so far as a
-query's bar, a chunk is skipped once length times length stays below the bar; otherwise the partial sum over
-the leading axes of a rotation (from the singular vectors of a sample) plus the Cauchy-Schwarz bound of the
-rest decides which pairs are worth the exact integer product.
+Components are turned into integers. Vectors are cut into blocks by descending length. Every query first
+meets the longest vectors; the k-th best score among them is its bar, and a block of candidates only moves to
+those blocks of queries for which length times length may reach a bar. Blocks are dealt to stripes, and a task
+takes one block of queries, which starts with those bars, through one stripe. With the k-th best score so far
+as the bar, a chunk is skipped once length times length stays below it; otherwise the partial sum over the
+leading axes of a rotation (from the singular vectors of a sample) plus the Cauchy-Schwarz bound of the rest
+decides which pairs are worth the exact integer product.
 """
 
 from __future__ import annotations
@@ -33,6 +35,12 @@ def _floor(x: Column) -> Column:
     return F.when(nearest > x, nearest - 1.0).otherwise(nearest)
 
 
+def _lengths(m: np.ndarray) -> np.ndarray:
+    """Lengths of the rows, scaled by the largest component so that squares stay finite."""
+    largest = float(np.abs(m).max(initial=0.0))
+    return largest * np.sqrt(((m / largest) ** 2).sum(1)) if largest else np.zeros(len(m))
+
+
 class Rotation:
     """Right singular vectors of a sample as new axes, and how many of them lead."""
 
@@ -53,17 +61,26 @@ class Rotation:
 class Search:
     """Best candidates of a block of queries, taken over chunks of candidates of descending length."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, rotation: Rotation, k: int):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, rotation: Rotation, k: int, bar: np.ndarray | None = None):
         self.ids, self.q, self.k, self.rotation = ids, vectors, k, rotation
-        self.length = np.sqrt((vectors * vectors).sum(1))
+        self.length = _lengths(vectors)
         turned = vectors @ rotation.axes
         self.head, tail = turned[:, : rotation.lead], turned[:, rotation.lead :]
-        self.tail = np.sqrt((tail * tail).sum(1))
-        self.bar = np.full(len(ids), -np.inf)
+        self.tail = _lengths(tail)
+        #: Scores that k candidates of each query are known to reach.
+        self.bar = np.full(len(ids), -np.inf) if bar is None else bar.copy()
         #: Kept pairs: query, score, candidate id.
         self.kept: tuple[np.ndarray, np.ndarray, np.ndarray] = (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))
         self.largest = float(np.abs(vectors).max()) if vectors.size else 0.0
 
+    def needed(self) -> float:
+        """A length that candidates must have to matter to any of the queries, a little less for rounding."""
+        if not len(self.ids) or np.isinf(self.bar).any():
+            return -np.inf
+        least = self.bar - 1e-8 * (1 + np.abs(self.bar))
+        least = np.where(self.length > 0, least / np.where(self.length > 0, self.length, 1), -np.inf).min()
+        return float(least) if least == least else -np.inf
+
     def take(self, ids: np.ndarray, x: np.ndarray) -> bool:
         """Look at candidates sorted by descending length; False once no later one can matter."""
         for lo in range(0, len(ids), CHUNK):
@@ -72,13 +89,13 @@ class Search:
         return True
 
     def _chunk(self, ids: np.ndarray, x: np.ndarray) -> bool:
-        length = np.sqrt((x * x).sum(1))
+        length = _lengths(x)
         slack = 1e-9 * (1 + self.length * length.max())
-        active = np.flatnonzero(self.length * length.max() + slack >= self.bar)
+        active = np.flatnonzero(~(self.length * length.max() + slack < self.bar))
         if not len(active):
             return False
         turned = x @ self.rotation.axes
-        tail = np.sqrt((turned[:, self.rotation.lead :] ** 2).sum(1))
+        tail = _lengths(turned[:, self.rotation.lead :])
         exact = self.largest * (float(np.abs(x).max()) if x.size else 0.0) * x.shape[1] < _EXACT
         for part in np.array_split(active, max(1, len(active) // 1024)):
             bar = self.bar[part][:, None]
@@ -86,7 +103,7 @@ class Search:
                 qi, ci = np.divmod(np.arange(len(part) * len(ids)), len(ids))
             else:
                 bound = self.head[part] @ turned[:, : self.rotation.lead].T + self.tail[part][:, None] * tail + slack[part][:, None]
-                qi, ci = np.nonzero(bound >= bar)
+                qi, ci = np.nonzero(~(bound < bar))
             if not len(qi):
                 continue
             if not exact:
@@ -142,14 +159,36 @@ def top_inner_products(spark: SparkSession, embeddings: DataFrame, k: int = K, q
         sample[i, : len(r[0])] = r[0]
     rotation = spark.sparkContext.broadcast(Rotation(sample))
     by_length = rows.repartitionByRange(blocks, F.desc("squares"), F.asc("vec_id")).sortWithinPartitions(F.desc("squares"), F.asc("vec_id"))
-    candidates = written(spark, packed(by_length, []), "topk-blocks")
-    queries = written(spark, packed(rows.where(F.col("vec_id") % query_step == 0).repartition(query_blocks), []), "topk-queries")
-    columns = ["side", "block", "n", "dim", "ids", "matrix"]
-    # Query blocks are numbered by partition, so all numbers up to the largest may occur.
-    numbers = [r[0] for r in queries.select("block").collect()]
+
+    def with_length(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                yield row.append_column("length", pa.array([float(_lengths(unpacked(row.to_pylist()[0], dim)[1]).max())]))
+
+    candidates = written(spark, packed(by_length, []).mapInArrow(with_length, "block int, n int, dim int, ids binary, matrix binary, length double"), "topk-blocks")
+    queries = packed(rows.where(F.col("vec_id") % query_step == 0).repartition(query_blocks), [])
+    longest = spark.sparkContext.broadcast([unpacked(r.asDict(), dim) for r in candidates.orderBy("block").limit(1).collect()])
+
+    def with_bars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                search = Search(*unpacked(row, dim), rotation.value, k)
+                for ids, matrix in longest.value:
+                    search.take(ids[:BLOCK], matrix[:BLOCK])
+                yield pa.RecordBatch.from_pylist([{**row, "bar": search.bar.astype("<f8").tobytes(), "needed": search.needed()}], pa.schema([*batch.schema, pa.field("bar", pa.binary()), pa.field("needed", pa.float64())]))
+
+    queries = written(spark, queries.mapInArrow(with_bars, "block int, n int, dim int, ids binary, matrix binary, bar binary, needed double"), "topk-queries")
+    columns = ["side", "block", "n", "dim", "ids", "matrix", "bar"]
+    # A number and a length for each block of queries; a block of candidates goes where its longest vector is long enough.
+    asking = queries.select("block", "needed").orderBy("block").collect()
+    length = F.col("length") * (1 + 1e-8) + 1e-8
+    reached = F.filter(F.sequence(F.lit(0), F.lit(len(asking) - 1)), lambda i: F.get(F.lit([r["needed"] for r in asking]).cast("array<double>"), i) <= length) if asking else F.lit([]).cast("array<int>")
     dealt = queries.withColumn("side", F.lit(0)).select(*columns, F.col("block").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe"))
-    offered = candidates.withColumn("side", F.lit(1)).select(*columns, F.explode(F.lit(numbers).cast("array<int>")).alias("q"), F.pmod("block", F.lit(stripes)).cast("int").alias("stripe"))
-    tasks = dealt.unionByName(offered).repartition(max(1, len(numbers)) * stripes, "q", "stripe").sortWithinPartitions("q", "stripe", "side", "block")
+    offered = candidates.withColumn("side", F.lit(1)).withColumn("bar", F.lit(None).cast("binary"))
+    offered = offered.select(*columns, F.explode(reached).alias("i")).withColumn("q", F.get(F.lit([r["block"] for r in asking]).cast("array<int>"), F.col("i")))
+    offered = offered.select(*columns, "q", F.pmod("block", F.lit(stripes)).cast("int").alias("stripe"))
+    tasks = dealt.unionByName(offered).repartition(max(1, len(asking)) * stripes, "q", "stripe").sortWithinPartitions("q", "stripe", "side", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, search, over = None, None, False
@@ -161,7 +200,7 @@ def top_inner_products(spark: SparkSession, embeddings: DataFrame, k: int = K, q
                     key, search, over = (row["q"], row["stripe"]), None, False
                 ids, matrix = unpacked(row, dim)
                 if row["side"] == 0:
-                    search = Search(ids, matrix, rotation.value, k)
+                    search = Search(ids, matrix, rotation.value, k, np.frombuffer(row["bar"], "<f8"))
                 elif search is not None and not over:
                     over = not search.take(ids, matrix)
         if search is not None:

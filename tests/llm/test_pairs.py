@@ -115,6 +115,28 @@ def test_top_k(spark, monkeypatch, block):
     assert sorted((r.query_id, r.rank, r.vec_id) for r in topk.top_inner_products(spark, few).collect()) == [(0, 1, 21), (0, 2, 20), (20, 1, 21), (20, 2, 0)]
 
 
+def test_top_k_needs_no_short_blocks(spark, monkeypatch):
+    """With lengths far apart, the bars of the longest vectors rule out most blocks; results stay exact."""
+    monkeypatch.setattr(topk, "BLOCK", 32)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 8)) * np.exp(-np.arange(1500) / 120)[:, None]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    whole = np.floor(64 * x).astype(np.int64)
+    search = topk.Search(np.array([0]), whole[:1].astype(float), topk.Rotation(whole.astype(float)), 5)
+    search.take(np.arange(32), whole[:32].astype(float))
+    lengths = np.sqrt((whole * whole).sum(1))
+    assert lengths[-1] < search.needed() < lengths[:32].max()
+    # What is too short for the bar cannot be among the best.
+    scores = whole[1:] @ whole[0]
+    assert (np.sort(scores)[-5:] >= search.bar[0] - 1e-6).all() and (scores[lengths[1:] < search.needed()] < search.bar[0]).all()
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_inner_products(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5).collect())
+    want = []
+    for q in range(0, 1500, 20):
+        best = sorted((-int(whole[q] @ whole[i]), i) for i in range(1500) if i != q)[:5]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert got == want
+
+
 def word_sets(text, width):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     k = min(width, len(words))
