@@ -25,7 +25,7 @@ from cadentia.llm.vectors import unpacked, usable
 
 THRESHOLD = 0.9
 #: Vectors in a block (about), cells at most, rows that the centres are chosen from at most, blocks in a stripe.
-BLOCK, CELLS, SAMPLE, STRIPE = 2048, 128, 2000, 32
+BLOCK, CELLS, SAMPLE, STRIPE = 2048, 512, 2000, 32
 #: Largest radius of a tree's levels; each further level has half of it.
 RADII = (0.5, 0.25, 0.125)
 _SLACK = 1e-7
@@ -284,7 +284,10 @@ def _links(spark: SparkSession, points: DataFrame, centres: np.ndarray, n: int,
     parts = F.create_map(*[F.lit(v) for c in cells for v in (c, -(-cells[c][0] // BLOCK))])
     block = (F.element_at(table, F.col("cell")) + F.pmod(F.xxhash64("vec_id"), F.element_at(parts, F.col("cell")))).cast("int")
     far = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-    near = [(a, b) for a in cells for b in cells if np.linalg.norm(centres[a] - centres[b]) - cells[a][1] - cells[b][1] <= far + 1e-6]
+    names = np.array(sorted(cells))
+    radius = np.array([cells[c][1] for c in names])
+    apart = np.sqrt(np.maximum(0.0, 2 - 2 * centres[names] @ centres[names].T)) if len(centres) else np.zeros((len(names), len(names)))
+    near = names[np.argwhere(apart - radius[:, None] - radius <= far + 1e-6)].tolist()
     packs = written(spark, _packed_blocks(placed.withColumn("own", block), dim), "cover-blocks")
     blocks_of = packs.select(F.col("own").alias("b"), "cell")
     # Block a meets the half of all blocks that follow it in a circle, as far as their cells are near.
