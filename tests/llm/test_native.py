@@ -69,6 +69,20 @@ def test_sharding_of_many_and_of_none(spark, no_docs):
     assert max(loads.values()) == smallest_capacity([groups[k] for k in sorted(groups)], 16) or max(loads.values()) <= sum(groups.values()) / 16 + max(groups.values())
 
 
+@pytest.mark.parametrize("at_once", [2, 256])
+def test_sharding_opens_blocks(spark, monkeypatch, at_once):
+    """With few first blocks, cuts fall inside of blocks that are opened level by level, down to single groups."""
+    monkeypatch.setattr(sharding, "FIRST_DIGITS", 1)
+    monkeypatch.setattr(sharding, "MORE_DIGITS", 1)
+    monkeypatch.setattr(sharding, "OPEN_AT_ONCE", at_once)
+    docs = spark.range(3000).selectExpr("id as doc_id", "repeat(cast(id as string), cast(1 + id * id % 37 as int)) as text")
+    groups = {hashlib.md5(r.text.encode()).hexdigest(): len(r.text) + 1 for r in docs.collect()}
+    loads = Counter()
+    for r in sharding.shard(spark, docs).collect():
+        loads[r.shard] += r["size"]
+    assert max(loads.values()) == smallest_capacity([groups[k] for k in sorted(groups)], 16) and len(loads) == 16
+
+
 def targets(sizes, share=1.5, most=2.0):
     weight = {k: (5, 2, 1)[i % 3] for i, k in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
     left, out, open_ = share * sum(sizes.values()), {}, set(sizes)
