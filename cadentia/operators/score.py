@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PLAYERS = ("player_a", "player_b")
@@ -147,10 +147,24 @@ def set_results(events: DataFrame, best_of: int = 5) -> DataFrame:
     return closed.select("match_id", number.alias("set_no"), F.col("closed_a").alias("points_a"), F.col("closed_b").alias("points_b"), F.when(F.col("closed_a") > F.col("closed_b"), PLAYERS[0]).otherwise(PLAYERS[1]).alias("set_winner"))
 
 
+_SET = "struct<player_a: int, player_b: int, winner: string>"
+
+
+def _set(a: Column, b: Column, winner: Column) -> Column:
+    return F.struct(a.alias("player_a"), b.alias("player_b"), winner.alias("winner")).cast(_SET)
+
+
 def validated(all_events: DataFrame, best_of: int = 5, scope: str = "any", expected: str | None = None) -> DataFrame:
+    """``validation_reports`` with the number of completed sets in place of the sets."""
+    r = validation_reports(all_events, best_of, scope, expected)
+    return r.withColumn("completed_sets", F.size("completed_sets").cast("long")).drop("expected_scope", "best_of", "open_set", "expected_final_set_score")
+
+
+def validation_reports(all_events: DataFrame, best_of: int = 5, scope: str = "any", expected: str | None = None) -> DataFrame:
     """A report on each match: counts, sets, inferred score, issues and status. Events may have unknown winners.
 
-    The inferred score is that of the last completed set, or of the open set while there is none. Status is
+    completed_sets holds player_a, player_b and winner of each set in order, open_set the same of the set being
+    played, null once the match is over; both are bounded by ``best_of``. The inferred score is that of the last completed set, or of the open set while there is none. Status is
     pass; warn with any issue; fail if the scope (any, set or match) or the expected score is not met.
     """
     if scope not in ("any", "set", "match"):
@@ -167,15 +181,17 @@ def validated(all_events: DataFrame, best_of: int = 5, scope: str = "any", expec
     done = F.col("closed_a").isNotNull()
     state = rows.groupBy("match_id").agg(
         F.max_by(F.struct("score_a", "score_b", "is_finished", "winner"), order).alias("last"),
-        F.max_by(F.when(done, F.struct("closed_a", "closed_b")), F.when(done, order)).alias("closed"),
-        F.count_if(done).alias("completed_sets"),
+        F.array_sort(F.collect_list(F.when(done, F.struct("ts", "seq", "closed_a", "closed_b")))).alias("closed"),
     )
     r = counts.join(state, "match_id", "left").select(
         "match_id", "event_count", (F.col("event_count") - F.col("unknown_winner_count")).alias("known_winner_count"), "unknown_winner_count",
-        F.coalesce("last.is_finished", F.lit(False)).alias("is_match_finished"), F.col("last.winner").alias("match_winner"), F.coalesce("completed_sets", F.lit(0)).alias("completed_sets"),
-        F.coalesce("closed.closed_a", "last.score_a", F.lit(0)).alias("final_a"), F.coalesce("closed.closed_b", "last.score_b", F.lit(0)).alias("final_b"),
+        F.coalesce("last.is_finished", F.lit(False)).alias("is_match_finished"), F.col("last.winner").alias("match_winner"),
+        F.coalesce(F.transform("closed", lambda c: _set(c["closed_a"], c["closed_b"], F.when(c["closed_a"] > c["closed_b"], PLAYERS[0]).otherwise(PLAYERS[1]))), F.array().cast(f"array<{_SET}>")).alias("completed_sets"),
+        F.when(F.coalesce(~F.col("last.is_finished"), F.lit(True)), _set(F.coalesce("last.score_a", F.lit(0)), F.coalesce("last.score_b", F.lit(0)), F.lit(None))).alias("open_set"),
     )
-    unmet = {"any": F.lit(False), "set": F.col("completed_sets") < 1, "match": ~F.col("is_match_finished")}[scope]
+    final = F.coalesce(F.try_element_at("completed_sets", F.lit(-1)), F.col("open_set"))
+    r = r.select("*", final["player_a"].alias("final_a"), final["player_b"].alias("final_b"))
+    unmet = {"any": F.lit(False), "set": F.size("completed_sets") < 1, "match": ~F.col("is_match_finished")}[scope]
     # The texts of issues.
     said = {"any": "", "set": "Expected full set clip, but no completed set was detected.", "match": "Expected full match clip, but match is not finished."}[scope]
     shown = F.concat_ws("-", "final_a", "final_b")
@@ -188,5 +204,5 @@ def validated(all_events: DataFrame, best_of: int = 5, scope: str = "any", expec
             F.when(off, F.concat(F.lit("Final set score mismatch: expected {}-{}, got ".format(*(wanted or (0, 0)))), shown, F.lit("."))),
         )
     )
-    r = r.withColumn("inferred_scoreline", shown).withColumn("issues", issues)
+    r = r.withColumns({"inferred_scoreline": shown, "issues": issues, "expected_scope": F.lit(scope), "best_of": F.lit(best_of), "expected_final_set_score": F.lit(expected).cast("string")})
     return r.withColumn("status", F.when(unmet | off, "fail").when(F.size("issues") > 0, "warn").otherwise("pass")).drop("final_a", "final_b")

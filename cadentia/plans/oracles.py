@@ -203,6 +203,12 @@ ORACLES: dict[str, str] = {
       l as (select match_id, count(closed_a) as done from st group by match_id),
       r as (select coalesce(done, 0) as done, ((kn = 0)::int + (unk > 0)::int + (coalesce(done, 0) = 0)::int) as n_issues from c left join l using (match_id))
       select case when done = 0 then 'fail' when n_issues > 0 then 'warn' else 'pass' end as status, n_issues, count(*) as matches, sum(done)::bigint as completed_sets from r group by all""",
+    "score_reports": f"""with recursive {_replay(3)},
+      c as (select match_id, count(*) filter (winner = 'unknown') as unk, count(*) filter (winner <> 'unknown') as kn from ev group by match_id),
+      l as (select match_id, max(winner) as winner, arg_max(score_a, rn) as a, arg_max(score_b, rn) as b,
+              string_agg(closed_a || '-' || closed_b || '-' || case when closed_a > closed_b then 'player_a' else 'player_b' end, '|' order by rn) filter (closed_a is not null) as sets from st group by match_id)
+      select match_id, case when kn = 0 or unk > 0 then 'warn' else 'pass' end as status, 3 as best_of, 'any' as expected_scope, coalesce(sets, '') as sets,
+             case when winner is null then coalesce(a, 0) || '-' || coalesce(b, 0) end as open_set from c left join l using (match_id)""",
     "winner_counts": f"with {_EVENTS} select match_id, count(*) filter (winner = 'player_a') as wins_a, count(*) filter (winner = 'player_b') as wins_b, count(*) filter (winner = 'unknown') as unknown from ev group by match_id",
     "unknown_policy": f"with {_EVENTS} select match_id, seq, case winner when 'unknown' then 'player_a' else winner end as final_winner from ev",
     "signal_diff": f"with {_SIGNAL} select clip, idx, round(diff, 6) as diff from (select clip, idx, abs(v - lag(v) over {_BY}) as diff from sg) where diff is not null",

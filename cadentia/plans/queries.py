@@ -92,6 +92,14 @@ def score_validation_set(spark: SparkSession, d: str) -> DataFrame:
     return r.groupBy("status", F.size("issues").cast("int").alias("n_issues")).agg(F.count("*").alias("matches"), F.sum("completed_sets").alias("completed_sets"))
 
 
+@query
+def score_reports(spark: SparkSession, d: str) -> DataFrame:
+    """The sets in the report on each match, as text, and the status where any extent is right."""
+    r = score.validation_reports(match_events(_events(spark, d)), 3)
+    shown = lambda s: F.concat_ws("-", s["player_a"], s["player_b"], s["winner"])
+    return r.select("match_id", "status", "best_of", "expected_scope", F.concat_ws("|", F.transform("completed_sets", shown)).alias("sets"), F.when(F.col("open_set").isNotNull(), shown(F.col("open_set"))).alias("open_set"))
+
+
 @query
 def winner_counts(spark: SparkSession, d: str) -> DataFrame:
     n = lambda w: F.count_if(F.col("winner") == w)
