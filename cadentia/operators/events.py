@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 def refractory(s: DataFrame, threshold: float, gap: float, value: str = "v") -> DataFrame:
     """clip, t and value of samples at or above the threshold, each at least ``gap`` after the last one given.
 
-    The first sample of a clip only starts it. The fold streams over sorted rows and holds one number.
+    The first sample of a clip only starts it. A window drops that and what is below the threshold; the fold
+    streams over the rest in order and holds one number.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -22,13 +23,15 @@ def refractory(s: DataFrame, threshold: float, gap: float, value: str = "v") ->
             for c, i, t, v in zip(*(batch.column(k).to_pylist() for k in ("clip", "idx", "t", "x")), strict=True):
                 if not started or c != clip:
                     clip, last, started = c, None, True
-                elif v is not None and v >= threshold and (last is None or t - last >= gap):
+                if last is None or t - last >= gap:
                     last = t
                     out.append((c, i, t, v))
             columns = zip(*out, strict=True) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], names=["clip", "idx", "t", "value"])
 
-    rows = s.select("clip", "idx", "t", F.col(value).cast("double").alias("x")).repartition("clip").sortWithinPartitions("clip", "idx")
+    later = F.lag(F.lit(True)).over(Window.partitionBy("clip").orderBy("idx"))
+    rows = s.select("clip", "idx", "t", F.col(value).cast("double").alias("x")).withColumn("later", later)
+    rows = rows.where(F.col("later") & (F.col("x") >= threshold) & ~F.isnan("x")).select("clip", "idx", "t", "x").sortWithinPartitions("clip", "idx")
     return rows.mapInArrow(run, "clip long, idx long, t double, value double")
 
 

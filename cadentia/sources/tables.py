@@ -36,5 +36,7 @@ def known_events(events: DataFrame) -> DataFrame:
 
 def signal(events: DataFrame) -> DataFrame:
     """clip, idx (from 0), t (seconds) and v: one sampled signal for each user."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return events.select(F.col("user_id").alias("clip"), (F.row_number().over(order) - 1).cast("long").alias("idx"), seconds(F.col("ts")).alias("t"), F.col("value").alias("v"))
+    # Named before the window, so that steps by clip find its partitioning.
+    rows = events.select(F.col("user_id").alias("clip"), "ts", "event_id", seconds(F.col("ts")).alias("t"), F.col("value").alias("v"))
+    order = Window.partitionBy("clip").orderBy("ts", "event_id")
+    return rows.select("clip", (F.row_number().over(order) - 1).cast("long").alias("idx"), "t", "v")
