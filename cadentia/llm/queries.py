@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadentia.llm import bpe, jaccard_join, language, licenses, mixing, neardup_vectors, sharding, topk, toxicity, urls
-from cadentia.llm.common import table
+from cadentia.llm import bpe, jaccard_join, language, licenses, mixing, neardup_vectors, periodic, sharding, topk, toxicity, urls
+from cadentia.llm.common import WORD, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,8 +55,23 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(spark, table(spark, sf_dir, "documents"), width=3, threshold=0.9)
 
 
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text of all rows; in one of ten, by the id's checksum, the words from a place on repeat a stretch that starts there."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    rows = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("words")).withColumn("n", F.size("words"))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    rows = rows.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)").cast("int"))
+    repeated = F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", F.col("a") + (i - F.col("a")) % F.col("p"))))
+    return rows.select("doc_id", F.when(F.col("n") > 0, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(periodic.find_runs(with_planted_periods(table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_license_scan, op2_bpe, op3_sharding, op4_mixing, op5_url_filter, op6_topk, op7_toxicity, op8_embedding_neardup, op9_language, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_license_scan, op2_bpe, op3_sharding, op4_mixing, op5_url_filter, op6_topk, op7_toxicity, op8_embedding_neardup, op9_language, op10_ngram_jaccard_join, op11_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
