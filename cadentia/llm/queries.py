@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadentia.llm import bpe, divergence, jaccard_join, language, licenses, mixing, neardup_vectors, periodic, sharding, topk, toxicity, urls
+from cadentia.llm import bpe, divergence, jaccard_join, language, licenses, mixing, neardup_vectors, periodic, pii, sharding, topk, toxicity, urls
 from cadentia.llm.common import WORD, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,12 +70,16 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_digests(periodic.find_runs(with_planted_periods(table(spark, sf_dir, "documents"))))
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_digests(pii.find_personal_data(table(spark, sf_dir, "documents")))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(spark, table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_license_scan, op2_bpe, op3_sharding, op4_mixing, op5_url_filter, op6_topk, op7_toxicity, op8_embedding_neardup, op9_language, op10_ngram_jaccard_join, op11_periodic_runs, op13_source_divergence)}
+    return {f.__name__: f for f in (op1_license_scan, op2_bpe, op3_sharding, op4_mixing, op5_url_filter, op6_topk, op7_toxicity, op8_embedding_neardup, op9_language, op10_ngram_jaccard_join, op11_periodic_runs, op12_pii, op13_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
