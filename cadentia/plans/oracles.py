@@ -35,6 +35,8 @@ def _timeline(best_of: int) -> str:
     return f"with recursive {_replay(best_of)} select match_id, seq, ts, set_number, score_a, score_b, sets_a, sets_b, winner is not null as is_finished, winner from st where rn > 0"
 
 
+_WINS = "count(*) as n, count(*) filter (where event_type in ('click', 'purchase')) as wins_a, count(*) filter (where event_type in ('view', 'signup')) as wins_b"
+_WINDOWED = "select epoch_us({start}) as from_us, epoch_us({start} + interval {days} day) as to_us, {keys}" + _WINS + " from {source} group by {keys}{start}"
 _MIXED = "mx as (select * replace (case when winner = 'unknown' and match_id % 3 <> 0 then 'player_a' else winner end as winner) from ev)"
 _SIGNAL = "sg as (select user_id as clip, row_number() over (partition by user_id order by ts, event_id) - 1 as idx, epoch_us(ts) / 1e6::double as t, value as v from events)"
 _BY = "(partition by clip order by idx)"
@@ -223,6 +225,22 @@ ORACLES: dict[str, str] = {
     "segments_split": f"with recursive {_SPLIT} select clip, round(t_start, 6) as t_start, round(t_end, 6) as t_end, i_start, i_end, array_to_string(flags, '|') as flags from sp",
     "segments_final": f"with recursive {_FINAL}",
     "stream_segments": f"with recursive {_SIGNAL}, lv as (select clip, idx, t, least(v / 100, 1) as x from sg), {_rules('lv', 'x', RULES, 'hs', False)} select clip, round(t_start, 6) as t_start, round(t_end, 6) as t_end from hs",
+    "stream_ordered_score": _timeline(3).replace("from events)", "from events where not (event_id % 41 = 0 and ts < timestamp '2024-01-15'))").replace("select match_id, seq, ts, set_number", "select match_id, seq, ts, false as late, set_number")
+    + """ union all
+  select user_id, event_id, epoch_us(ts) / 1e6::double, true, null, null, null, null, null, null, null
+  from events where event_id % 41 = 0 and ts < timestamp '2024-01-15' and event_type <> 'error'""",
+    # Warm samples farther apart than the gap are in different islands, whatever lies between.
+    "stream_silent_segments": f"""with {_SIGNAL}, x as (select *, least(v / 100, 1) as x from sg),
+w as (select *, t - lag(t) over {_BY} > {RULES.max_gap}::double as apart from x where x > {RULES.low}::double),
+i as (select *, sum(coalesce(apart, false)::int) over {_BY} as island from w),
+g as (select clip, min(case when x > {RULES.high}::double then t end) as t_start, max(t) as t_end from i group by clip, island)
+select clip, round(t_start, 6) as t_start, round(t_end, 6) as t_end from g where t_end - t_start > {RULES.min_dur}::double""",
+    "stream_tumbling": _WINDOWED.format(keys="user_id, ", source="events", start="time_bucket(interval 1 day, ts)", days=1),
+    "stream_sliding": _WINDOWED.format(keys="", source="(select *, unnest([0, 1]) as back from events)", start="time_bucket(interval 1 day, ts) - to_days(back::int)", days=2),
+    "stream_sessions": f"""with s as (
+  select *, sum(new) over (partition by user_id order by ts, event_id) as session
+  from (select *, coalesce(ts - lag(ts) over (partition by user_id order by ts, event_id) >= interval 8 hours, true)::int as new from events))
+select epoch_us(min(ts)) as from_us, epoch_us(max(ts) + interval 8 hours) as to_us, user_id, {_WINS} from s group by user_id, session""",
     "stream_machines": f"""with recursive {_SIGNAL},
       tb as (select clip, idx, t, v / 160 as x from sg),
       fz as (select clip, idx, t, greatest(v / 160, case when floor(v)::bigint % 3 = 0 then least(v / 80, 1) else 0 end, case when floor(v)::bigint % 4 = 0 then least(v / 60, 1) else 0 end) as x from sg),

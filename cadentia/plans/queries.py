@@ -14,6 +14,7 @@ from cadentia.plans.rules import GT_RULES, LEAST_IOU, RULES
 from cadentia.sources import drafts, stream
 from cadentia.sources.tables import epoch_micros, known_events, match_events, seconds, table, winner_of
 from cadentia.sources.tables import signal as sampled
+from cadentia.streaming import ordered, windows
 from cadentia.streaming.replay import live_segments, live_timeline, table_and_fused
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -494,6 +495,72 @@ def stream_machines(spark: SparkSession, d: str) -> DataFrame:
     return _shown(stream.drained(spark, table_and_fused(samples, RULES, GT_RULES, [("p0", "near0"), ("p1", "near1")]), "stream-machines"))
 
 
+#: How far events come out of order in these streams, and the delay of their watermark: beyond that, a part of a stream, and how files of a part are dealt.
+STREAM_PARTS, JITTER_S, DELAY, END_OF_TIME = 4, 86400, "10 days", "2100-01-01 00:00:00"
+
+
+def _disordered(spark: SparkSession, d: str, columns: list[Column], name: str, held_back: Column | None = None) -> DataFrame:
+    """The events as a stream in which they come up to a day early or late, then those held back, then an end mark (user -1).
+
+    columns: what else the stream has than user_id, event_id and t (seconds).
+    """
+    e = _events(spark, d).select("user_id", "event_id", seconds(F.col("ts")).alias("t"), *columns)
+    arrival = F.col("t") + F.pmod(F.xxhash64("event_id"), F.lit(JITTER_S))
+    held = F.lit(False) if held_back is None else held_back
+    first, last = (F.unix_timestamp(F.lit(x).cast("timestamp")) for x in ("2024-01-01 00:00:00", "2024-02-01 00:00:00"))
+    part = F.least(F.greatest(F.floor((arrival - first) / (last - first) * STREAM_PARTS), F.lit(0)), F.lit(STREAM_PARTS - 1))
+    e = e.withColumn("held", held).withColumn("part", F.when(F.col("held"), STREAM_PARTS).otherwise(part).cast("int"))
+    end = spark.range(1).select(F.lit(-1).cast("long").alias("user_id"), F.lit(-1).cast("long").alias("event_id"), seconds(F.lit(END_OF_TIME).cast("timestamp_ntz")).alias("t"))
+    parts = [e.where(F.col("part") == p).drop("part", "held") for p in range(STREAM_PARTS + (held_back is not None))]
+    schema = parts[0].schema
+    parts.append(end.select(*[F.col(f.name) if f.name in end.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]))
+    return stream.files_in_turn(spark, parts, name)
+
+
+@query
+def stream_ordered_score(spark: SparkSession, d: str) -> DataFrame:
+    """The score of events that come in any order; those of January's first half that are held back to the end are late."""
+    held = (F.col("event_id") % 41 == 0) & (F.col("t") < seconds(F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")))
+    rows = _disordered(spark, d, [winner_of(F.col("event_type")).alias("winner")], "ordered-events", held)
+    rows = rows.select(F.col("user_id").alias("match_id"), F.col("event_id").alias("seq"), F.col("t").alias("ts"), "winner").where("winner <> 'unknown' or winner is null")
+    with ordered.keyed_state(spark):
+        return stream.drained(spark, ordered.ordered_timeline(rows, 3, DELAY), "ordered-score")
+
+
+@query
+def stream_silent_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Segments of samples that come in any order, closed by silence alone."""
+    rows = _disordered(spark, d, [F.least(F.col("value") / 100.0, F.lit(1.0)).alias("x")], "ordered-samples")
+    rows = rows.select(F.col("user_id").alias("clip"), F.col("event_id").alias("seq"), "t", "x")
+    with ordered.keyed_state(spark):
+        found = stream.drained(spark, ordered.ordered_segments(rows, RULES, DELAY), "ordered-segments")
+    return _shown(found.where("not late").select("clip", "t_start", "t_end"))
+
+
+def _for_windows(spark: SparkSession, d: str, name: str) -> DataFrame:
+    rows = _disordered(spark, d, [winner_of(F.col("event_type")).alias("winner")], name)
+    return rows.select("user_id", F.timestamp_micros(F.round(F.col("t") * 1_000_000).cast("long")).alias("at"), "winner")
+
+
+@query
+def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
+    """Wins of each customer and day."""
+    return stream.drained(spark, windows.window_counts(_for_windows(spark, d, "tumbling-events"), "user_id", "1 day", delay=DELAY), "tumbling")
+
+
+@query
+def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
+    """Wins by two days, of which one begins each day."""
+    rows = _for_windows(spark, d, "sliding-events").withColumn("all", F.lit(0))
+    return stream.drained(spark, windows.window_counts(rows, "all", "2 days", "1 day", DELAY), "sliding").drop("all")
+
+
+@query
+def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Wins of each customer in events that follow each other within eight hours."""
+    return stream.drained(spark, windows.session_counts(_for_windows(spark, d, "session-events"), "user_id", "8 hours", DELAY), "sessions")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

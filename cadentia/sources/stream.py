@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +39,19 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return stream.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def files_in_turn(spark: SparkSession, parts: Iterable[DataFrame], name: str) -> DataFrame:
+    """A stream that takes what each of ``parts`` holds, one after the other: written as files that are read one by one, in the order of their times.
+
+    A last part with a row far in the future is an end mark: the watermark passes all rows before it, and timers for them run.
+    """
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    schema = None
+    for part in parts:
+        part.write.mode("append").parquet(at)
+        schema = part.schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(at)
+
+
 def drained(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     """Process what is there now and return all output rows."""
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

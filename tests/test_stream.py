@@ -3,8 +3,12 @@
 import random
 
 import pandas as pd
+import pyspark.sql
+from cadentia.operators import score
+from cadentia.operators.segments import Rules
 from cadentia.plans.queries import queries
-from cadentia.streaming import replay
+from cadentia.sources import stream
+from cadentia.streaming import ordered, replay
 
 ROOT = "/root/testdata/sf0.001"
 
@@ -24,3 +28,37 @@ def test_order_by_runs(monkeypatch):
         monkeypatch.setattr(replay, "RUN_ROWS", most)
         assert [tuple(r) for r in replay._in_order(iter(frames), ["ts", "seq"])] == sorted(rows, key=lambda r: (r[1], r[0]))
         assert [tuple(r) for r in replay._in_order(iter(frames), ["ts"])] == sorted(rows, key=lambda r: r[1])
+
+
+def _collected(spark, parts, schema, operator):
+    rows = stream.files_in_turn(spark, [spark.createDataFrame(p, schema).coalesce(1) for p in parts], "test-parts")
+    with ordered.keyed_state(spark):
+        return [tuple(r) for r in stream.drained(spark, operator(rows), "test-ordered").collect()]
+
+
+def test_silence_closes_without_a_sample_and_late_rows_come_out(spark):
+    rules = Rules(high=0.5, low=0.2, max_gap=2.0, min_dur=0.5)
+    parts = [
+        [(1, 2, 1.0, 0.3), (1, 1, 0.0, 0.9), (1, 3, 1.5, None)],  # disordered, with a gap in the signal
+        [(2, 4, 100.0, 0.9)],
+        [(1, 5, 5.0, 0.9), (2, 6, 101.0, 0.9), (2, 7, 103.5, 0.9)],  # 5.0 is behind the watermark of 90
+        [(3, 8, 200.0, 0.1)],
+    ]
+    found = _collected(spark, parts, "clip long, seq long, t double, x double", lambda rows: ordered.ordered_segments(rows, rules, "10 seconds"))
+    # 101.0 and 103.5 are farther apart than the gap; what starts at 103.5 is too short.
+    assert sorted(found, key=str) == sorted([(1, None, None, False, 0.0, 1.0), (1, 5, 5.0, True, None, None), (2, None, None, False, 100.0, 101.0)], key=str)
+
+
+def test_any_order_of_arrival_gives_the_batch_timeline(spark):
+    rng = random.Random(11)
+    rows = [(m, k, float(rng.randint(0, 300)), rng.choice(["player_a", "player_b"])) for m in (1, 2) for k in range(150)]
+    want = sorted(map(str, score.timeline(spark.createDataFrame(rows, "match_id long, seq long, ts double, winner string"), 3).collect()))
+    for seed in (1, 2):
+        shuffled = random.Random(seed).sample(rows, len(rows))
+        parts = [shuffled[:100], shuffled[100:110], shuffled[110:], [(-1, -1, 1e6, None)]]
+        found = _collected(spark, parts, "match_id long, seq long, ts double, winner string", lambda rows: ordered.ordered_timeline(rows, 3, "400 seconds"))
+        assert not any(r[3] for r in found)
+        assert sorted(str(pyspark.sql.Row(**dict(zip(_TIMELINE, (*r[:3], *r[4:]), strict=True)))) for r in found) == want
+
+
+_TIMELINE = ["match_id", "seq", "ts", "set_number", "score_a", "score_b", "sets_a", "sets_b", "is_finished", "winner"]
