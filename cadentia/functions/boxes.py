@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -17,84 +16,67 @@ NESTED_KEYS = ["roi", "table", "bbox", "rect", "region", "crop", "area"]
 BOX = "struct<x:int,y:int,w:int,h:int>"
 
 
-def _with(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f of a value that is worked out once, however often f uses it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def _whole(v: Column) -> Column:
     """A JSON number or numeric string rounded half to even; null for anything else."""
-    return F.bround(F.try_variant_get(v, "$", "double")).cast("int")
+    return F.bround(F.try_variant_get(v, "$", "double")).try_cast("int")
 
 
 def _sized(x: Column, y: Column, w: Column, h: Column) -> Column:
-    return F.when((w > 0) & (h > 0), F.struct(x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h")))
+    return F.when(x.isNotNull() & y.isNotNull() & (w > 0) & (h > 0), F.struct(x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h")))
 
 
 def _corners(left: Column, top: Column, right: Column, bottom: Column) -> Column:
     return _sized(left, top, right - left, bottom - top)
 
 
-def _field(v: Column, key: str) -> Column:
-    return F.try_variant_get(v, f"$.{key}", "variant")
-
-
-def _listed(v: Column) -> Column:
-    numbers = F.transform(F.try_variant_get(v, "$", "array<variant>"), _whole)
-    return _with(numbers, lambda a: F.when(F.size(a) == 4, F.coalesce(_sized(*_four(a)), _corners(*_four(a)))))
-
-
-def _polygon(v: Column) -> Column:
-    def along(name: str, k: int) -> Column:
-        values = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda p: F.coalesce(_whole(F.try_variant_get(p, f"$.{name}", "variant")), _whole(F.try_variant_get(p, f"$[{k}]", "variant"))))
-        return F.filter(values, lambda x: x.isNotNull())
-
-    xs, ys = along("x", 0), along("y", 1)
-    return _with(F.array(xs, ys), lambda p: _corners(F.array_min(F.get(p, F.lit(0))), F.array_min(F.get(p, F.lit(1))), F.array_max(F.get(p, F.lit(0))), F.array_max(F.get(p, F.lit(1)))))
+_ENCODINGS = [(keys, _sized) for keys in XYWH_KEYS] + [(keys, _corners) for keys in LTRB_KEYS]
+_FIELDS = sorted({k for keys, _ in _ENCODINGS for k in keys})
+_KNOWN = ", ".join(f"`{k}` variant" for k in [*_FIELDS, *POLYGON_KEYS])
 
 
-def _four(a: Column) -> list[Column]:
-    return [F.get(a, F.lit(k)) for k in range(4)]
-
-
-def _made(v: Column, keys: tuple[str, ...], make: Callable[..., Column]) -> Column:
-    return _with(F.array(*(_whole(_field(v, k)) for k in keys)), lambda a: make(*_four(a)))
-
-
-def _keyed(v: Column) -> tuple[Column, Column]:
-    """Box of the first set of keys that the object has all of, valid or not; and whether there is one."""
-    cases = [(keys, _sized) for keys in XYWH_KEYS] + [(keys, _corners) for keys in LTRB_KEYS]
-    has = [reduce(lambda a, b: a & b, (_field(v, k).isNotNull() for k in keys)) for keys, _ in cases]
-    box = reduce(lambda rest, case: F.when(case[0], _made(v, *case[1])).otherwise(rest), reversed(list(zip(has, cases, strict=True))), F.lit(None).cast(BOX))
-    return box, reduce(lambda a, b: a | b, has)
+def node_columns(node: Column) -> dict[str, Column]:
+    """What a JSON text is as a rectangle: columns for three projections in a row, so that each value is worked out once.
 
+    The first reads the text (keys that are there, known fields, list), the second rounds, the last gives ``direct``: whether it has
+    all the keys of an encoding and so is judged by these alone, and ``box``.
+    """
+    text = F.trim(node)
+    is_object = F.startswith(text, F.lit("{"))
+    return {"present": F.when(is_object, F.json_object_keys(text)), "known": F.when(is_object, F.from_json(text, _KNOWN)), "listed": F.when(F.startswith(text, F.lit("[")), F.from_json(text, "array<variant>"))}
 
-def _paths(depth: int) -> list[str]:
-    """Where a rectangle may be nested: each name before what is inside it."""
-    return ["$"] + [f"$.{k}{rest[1:]}" for k in NESTED_KEYS if depth for rest in _paths(depth - 1)]
 
+def rounded_fields() -> dict[str, Column]:
+    """Second projection: numbers of the known fields, of a list of four, and of the first polygon that has a box."""
+    numbers = F.struct(*[_whole(F.col(f"known.`{k}`")).alias(k) for k in _FIELDS])
+    four = F.when(F.size("listed") == 4, F.transform("listed", _whole))
+    return {"numbers": F.when(F.col("known").isNotNull(), numbers), "four": four, "corners": F.coalesce(*[_polygon(F.col(f"known.`{k}`")) for k in POLYGON_KEYS])}
 
-def parse_box(json: Column, depth: int = 2) -> Column:
-    """A rectangle from JSON text in any of the usual encodings, as a struct; null where there is none.
 
-    Lists of four are xywh first and corners if that is no valid box. An object with the keys of an encoding
-    is judged by that alone, otherwise by its polygons. Where that gives nothing, the usual nested names are
-    tried in order, ``depth`` levels deep; names inside a nested object that is no valid box are tried as well.
-    """
-    return _with(F.try_parse_json(json), lambda v: _located(v, depth))
+def judged_box() -> dict[str, Column]:
+    """Last projection: direct and box."""
+    has = [reduce(lambda a, b: a & b, (F.array_contains("present", k) for k in keys)) for keys, _ in _ENCODINGS]
+    direct = F.coalesce(reduce(lambda a, b: a | b, has), F.lit(False))
+    keyed = reduce(lambda rest, case: F.when(case[0], case[1][1](*[F.col(f"numbers.`{k}`") for k in case[1][0]])).otherwise(rest), reversed(list(zip(has, _ENCODINGS, strict=True))), F.lit(None).cast(BOX))
+    of_four = [F.get("four", F.lit(k)) for k in range(4)]
+    return {"direct": direct, "box": F.when(direct, keyed).otherwise(F.coalesce(_sized(*of_four), _corners(*of_four), F.col("corners"))).cast(BOX)}
 
 
-def _located(v: Column, depth: int) -> Column:
-    # Few of the places are there; only those are parsed.
-    places = F.filter(F.array(*[F.try_variant_get(v, path, "variant") for path in _paths(depth)]), lambda p: p.isNotNull())
-    found = F.filter(F.transform(places, _parsed), lambda b: b.isNotNull())
-    box, keyed = _keyed(v)
-    return F.when(F.coalesce(keyed, F.lit(False)), box).otherwise(F.get(found, F.lit(0)))
+def _polygon(v: Column) -> Column:
+    """The box around a list of points, objects or lists, without coordinates that are no numbers."""
+    points = F.try_variant_get(v, "$", "array<variant>")
+    along = lambda name, k: F.transform(points, lambda p: F.coalesce(_whole(F.try_variant_get(p, f"$.{name}", "variant")), _whole(F.try_variant_get(p, f"$[{k}]", "variant"))))
+    xs, ys = along("x", 0), along("y", 1)  # of which the least and greatest pass over nulls
+    return _corners(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
 
 
-def _parsed(v: Column) -> Column:
-    box, keyed = _keyed(v)
-    return F.coalesce(_listed(v), F.when(keyed, box).otherwise(F.coalesce(*[_polygon(_field(v, k)) for k in POLYGON_KEYS])))
+def inner_nodes(node: Column) -> Column:
+    """Objects and lists in an object as structs of ``place`` and ``node`` (text): the usual names first, then all values in the order in which they are written."""
+    text = F.trim(node)
+    texts, kinds = F.from_json(text, "map<string,string>"), F.from_json(text, "map<string,variant>")
+    names = F.array(*map(F.lit, NESTED_KEYS))
+    listed = F.transform(F.map_entries(texts), lambda e, i: F.struct(F.coalesce(F.nullif(F.array_position(names, e["key"]), F.lit(0)), i + 1 + len(NESTED_KEYS)).cast("int").alias("place"), e["value"].alias("node"), F.schema_of_variant(F.try_element_at(kinds, e["key"])).alias("kind")))
+    inside = F.filter(listed, lambda c: F.startswith(c["kind"], F.lit("OBJECT")) | F.startswith(c["kind"], F.lit("ARRAY")))
+    return F.when(F.startswith(text, F.lit("{")), F.transform(inside, lambda c: F.struct(c["place"].alias("place"), c["node"].alias("node"))))
 
 
 def clamped(x: Column, y: Column, w: Column, h: Column, frame_w: Column, frame_h: Column) -> list[Column]:
@@ -146,9 +128,9 @@ def area_confidence(area_ratio: Column) -> Column:
     return F.least(F.greatest((area_ratio - 0.03) / 0.20, F.lit(0.0)), F.lit(1.0))
 
 
-def near_table(x: Column, y: Column, w: Column, h: Column, tx: Column, ty: Column, tw: Column, th: Column, margin: int = 250) -> Column:
-    """Whether a box overlaps the table widened by a margin on all sides."""
-    return (x < tx + tw + margin) & (x + w > tx - margin) & (y < ty + th + margin) & (y + h > ty - margin)
+def near_table(x: Column, w: Column, tx: Column, tw: Column, margin: int = 250) -> Column:
+    """Whether a box is beside or before a table: no farther than the margin from it sideways, at any height."""
+    return (x < tx + tw + margin) & (x + w > tx - margin)
 
 
 def large_enough(w: Column, h: Column, frame_w: float, frame_h: float) -> Column:

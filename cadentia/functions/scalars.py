@@ -85,3 +85,12 @@ def is_low(compression: Column, most: float = 0.39) -> Column:
 def sample_times(base: Column, n: int = 6, step: float = 2.0) -> Column:
     """The first n times at which a clip is looked at, from base on and never before its start; six at most."""
     return F.array(*[F.greatest(F.lit(0.0), base) if k == 0 else base + k * step for k in range(min(n, 6))])
+
+
+def shown_float(x: Column) -> Column:
+    """A double as texts of errors show it: shortest digits, with a point, and an exponent only below 0.0001 and from 10^16 on."""
+    text = x.cast("string")
+    plain = F.regexp_replace(F.regexp_replace(text.try_cast("decimal(38,20)").cast("string"), "0+$", ""), r"\.$", ".0")
+    power = F.get(F.split(text, "E"), F.lit(1)).try_cast("int")
+    short = F.concat(F.regexp_replace(F.get(F.split(text, "E"), F.lit(0)), r"\.0$", ""), F.when(power < 0, "e-").otherwise("e+"), F.format_string("%02d", F.abs(power)))
+    return F.when(~F.contains(text, F.lit("E")), text).when((F.abs(x) >= 1e-4) & (F.abs(x) < 1e16), plain).otherwise(short)

@@ -1,7 +1,8 @@
 """DuckDB SQL for the rows of ``queries``. Folds are recursive CTEs, row by row, where Spark uses windows or a stream."""
 
+from cadentia.functions.boxes import LTRB_KEYS, NESTED_KEYS, POLYGON_KEYS, XYWH_KEYS
 from cadentia.operators.signal import gauss_weights
-from cadentia.plans.rules import GT_RULES, LEAST_IOU, RULES
+from cadentia.plans.rules import BOX_FORMS, CORRECTION_FORMS, GT_RULES, LEAST_IOU, RULES
 
 _EVENTS = """ev as (
   select user_id as match_id, event_id as seq, epoch_us(ts) / 1e6::double as ts, value,
@@ -168,6 +169,62 @@ _POINTS = """pt as (
          case o_orderstatus when 'F' then 'player_a' when 'O' then 'player_b' else 'unknown' end as winner, round(o_orderkey % 101 / 100.0::double, 2) as confidence from orders)"""
 _BOXES = """bx as (
   select l_orderkey as clip, (l_linenumber::bigint * 1000000 + l_partkey) * 1000 + l_suppkey % 1000 as seq, (l_partkey * 7 % 1400)::int as x, (l_suppkey * 11 % 800)::int as y, l_quantity::int * 9 + 20 as w, l_quantity::int * 3 + 10 as h, round(l_discount * 10, 2) as score from lineitem)"""
+
+def _filled(forms: list[str], number: str, values: dict[str, str]) -> str:
+    text = "[" + ", ".join("'" + f.replace("'", "''") + "'" for f in forms) + f"][{number} % {len(forms)} + 1]"
+    for k, v in values.items():
+        text = f"replace({text}, '{{{k}}}', ({v})::varchar)"
+    return text
+
+
+def _number(text: str) -> str:
+    return f"round_even(try_cast({text} as double), 0)::int"
+
+
+def _field(k: str) -> str:
+    return _number(f"node->>'{k}'")
+
+
+def _valid(x: str, y: str, w: str, h: str) -> str:
+    return f"case when {x} is not null and {y} is not null and {w} > 0 and {h} > 0 then {{'x': {x}, 'y': {y}, 'w': {w}, 'h': {h}}} end"
+
+
+def _between(x0: str, y0: str, x1: str, y1: str) -> str:
+    return _valid(x0, y0, f"({x1} - {x0})", f"({y1} - {y0})")
+
+
+def _around(k: str) -> str:
+    """The box of a polygon in a field."""
+    points = f"case when json_type(node->'{k}') = 'ARRAY' then from_json(node->'{k}', '[\"JSON\"]') end"
+    along = lambda name, place: f"list_filter(list_transform({points}, lambda p: {_number(f'case when json_type(p) = {chr(39)}OBJECT{chr(39)} then p->>{chr(39)}{name}{chr(39)} else p->>{place} end')}), lambda v: v is not null)"
+    xs, ys = along("x", 0), along("y", 1)
+    return _between(f"list_min({xs})", f"list_min({ys})", f"list_max({xs})", f"list_max({ys})")
+
+
+_HAS = [(keys, _valid if keys in XYWH_KEYS else _between) for keys in (*XYWH_KEYS, *LTRB_KEYS)]
+_ALL_OF = ["list_has_all(json_keys(node), ['" + "', '".join(keys) + "'])" for keys, _ in _HAS]
+_BOX_OF = "case when json_type(node) = 'ARRAY' and json_array_length(node) = 4 then coalesce({}, {}) when json_type(node) <> 'OBJECT' then null {} else coalesce({}) end".format(
+    _valid(*(_number(f"node->>{k}") for k in range(4))),
+    _between(*(_number(f"node->>{k}") for k in range(4))),
+    " ".join(f"when {has} then {make(*map(_field, keys))}" for has, (keys, make) in zip(_ALL_OF, _HAS, strict=True)),
+    ", ".join(map(_around, POLYGON_KEYS)),
+)
+_ROI = f"""with recursive {_BOXES},
+js as (select clip, seq, x, y, w, h, {_filled(BOX_FORMS, "seq", {"x": "x", "y": "y", "w": "w", "h": "h", "r": "x + w", "b": "y + h"})} as j from bx),
+nodes as (
+  select clip, seq, x, y, w, h, j::json as node, '' as path from js where json_valid(j)
+  union all
+  select clip, seq, x, y, w, h, node->key as node, path || printf('%08d', coalesce(list_position([{", ".join(f"'{k}'" for k in NESTED_KEYS)}], key), k + 9)) as path
+  from (select *, unnest(json_keys(node)) as key, unnest(range(len(json_keys(node))))::int as k from nodes where json_type(node) = 'OBJECT' and not ({" or ".join(_ALL_OF)}))),
+found as (select clip, seq, x, y, w, h, path, {_BOX_OF} as box from nodes),
+firsts as (select clip, seq, x, y, w, h, arg_min(box, path) as box from found where box is not null group by all)
+select bx.clip, bx.seq, box.x as bx, box.y as by, box.w as bw, box.h as bh from bx left join firsts using (clip, seq, x, y, w, h)"""
+_CORRECTIONS = f"""with t as (select o_custkey::varchar as path, o_orderkey as seq, {_filled(CORRECTION_FORMS, "o_orderkey", {"key": "o_orderkey", "status": "o_orderstatus", "day": "o_orderkey % 28 + 1"})}::json as j from orders),
+c as (select path, seq, unnest(from_json(j, '["JSON"]')) as c, unnest(range(json_array_length(j)::bigint))::int as place from t),
+f as (select *, unnest(json_keys(c->'changes')) as field from c)
+select path, seq, place, coalesce(c->>'at', '') as at, coalesce(c->>'by', '') as by, coalesce(c->>'note', '') as note, field,
+       case when json_type(c->'changes'->field) = 'OBJECT' then c->'changes'->field->>'from' end as before, case when json_type(c->'changes'->field) = 'OBJECT' then c->'changes'->field->>'to' end as after from f"""
+
 _IOU = "case when {i} > 0 then {i} / ({w} * {h} + {nw} * {nh} - {i})::double else 0 end"
 
 
@@ -293,13 +350,13 @@ select epoch_us(min(ts)) as from_us, epoch_us(max(ts) + interval 8 hours) as to_
     "sample_times": """with k as (select unnest(range(6))::int as k), t as (select event_id, k, case when k = 0 then greatest(0, value - 5) else value - 5 + k * 2 end as a from events, k)
       select event_id, k, round(a, 6) as at_time, round(a, 6) / 100 < 0.39::double as low from t""",
     "draft_errors": f"""with {_POINTS}, n as (select *, row_number() over (partition by clip order by seq) - 1 as k, lag(t_start) over (partition by clip order by seq) as before from pt)
-      select clip, k::int as seq, 'Point ' || k || ': Invalid time range' as message from n where t_start < 0 or t_end <= t_start
+      select clip, k::int as seq, 'Point ' || k || ': Invalid time range (' || t_start || ' -> ' || t_end || ')' as message from n where t_start < 0 or t_end <= t_start
       union all select clip, k::int, 'Point ' || k || ': Non-monotonic timestamps (start before previous end)' from n where t_start < coalesce(before, -1)""",
     "key_times": f"with {_POINTS} select clip, seq, 0 as k, (t_start + t_end) / 2 as at_time from pt union all select clip, seq, 1, t_end - 0.5 from pt union all select clip, seq, 2, t_end from pt",
     "roi_clamp": f"with {_BOXES}, c as (select *, greatest(0, least(x, 1279)) as cx, greatest(0, least(y, 719)) as cy from bx) select clip, seq, cx as x, cy as y, greatest(1, least(w, 1280 - cx)) as w, greatest(1, least(h, 720 - cy)) as h from c",
     "play_zone": f"with {_BOXES}, z as (select *, greatest(0, x - trunc(w * 0.25)::int) as zx, greatest(0, y - h) as zy from bx) select clip, seq, zx as zone_x, zy as zone_y, least(1280 - zx, w + trunc(w * 0.5)::int) as zone_w, least(720 - zy, h + trunc(h * 1.2::double)::int) as zone_h from z",
     "box_iou": f"""with {_BOXES}, n as (select *, lead(x) over v as nx, lead(y) over v as ny, lead(w) over v as nw, lead(h) over v as nh from bx window v as (partition by clip order by seq))
-      select clip, seq, round({_overlap(*'xywh', 'nx', 'ny', 'nw', 'nh')}, 6) as iou, x < nx + nw + 100 and x + w > nx - 100 and y < ny + nh + 100 and y + h > ny - 100 as near from n where nx is not null""",
+      select clip, seq, round({_overlap(*'xywh', 'nx', 'ny', 'nw', 'nh')}, 6) as iou, x < nx + nw + 100 and x + w > nx - 100 as near from n where nx is not null""",
     "box_priors": f"with {_BOXES} select clip, seq, round({_ASPECT}, 6) as aspect, round({_CENTRE}, 6) as centre, round(least(greatest((w * h / 921600.0::double - 0.03::double) / 0.20::double, 0), 1), 6) as area from bx where w >= 192 and h >= 43.2",
     "box_ranks": f"""with {_BOXES}, p as (select *, {_CENTRE} as c, {_ASPECT} as s from bx where seq % 4 <> 0)
       select clip, seq, round(greatest(0, least(1, s * 1.6::double)) * 0.4::double + c * 0.4::double + greatest(0, least(1, w * h / 921600.0::double * 6)) * 0.1::double + score * 0.1::double, 6) as detection,
@@ -308,7 +365,8 @@ select epoch_us(min(ts)) as from_us, epoch_us(max(ts) + interval 8 hours) as to_
       r as (select *, {_overlap(*'xywh', 'mx', 'my', 'mw', 'mh')} * 0.25 + {_CENTRE} * 0.25 + score * 0.25 + {_ASPECT} * 0.25 as rk from m),
       b as (select *, row_number() over (partition by clip order by rk desc, seq) as place, greatest(0, y - round_even(h * 0.02::double, 0)::int) as top from r)
       select clip, seq, x, top as y, w, least(720 - top, h + y - top) as h from b where place = 1""",
-    "roi_parse": f"with {_BOXES} select clip, seq, case when ok then x end as bx, case when ok then y end as by, case when ok then w end as bw, case when ok then h end as bh from (select *, seq % 7 <> 5 and seq % 7 <> 6 as ok from bx)",
+    "roi_parse": _ROI,
+    "corrections": _CORRECTIONS,
     "json_props": "select event_type, count(*) as n, count(props->>'$.k') as with_k, round(sum((props->>'$.k')::double), 3) as sum_k from events group by event_type",
     "time_format": "select event_id, lpad((floor(value * 60)::bigint // 60)::varchar, greatest(2, length((floor(value * 60)::bigint // 60)::varchar))::int, '0') || ':' || lpad((floor(value * 60)::bigint % 60)::varchar, 2, '0') as shown, 'pt_' || lpad(event_id::varchar, greatest(4, length(event_id::varchar))::int, '0') as point_id from events",
     "label_normalize": "select event_id, case when event_id % 5 = 0 then 'unknown' when event_id % 3 in (0, 1) then 'player_a' else 'player_b' end as label from events",

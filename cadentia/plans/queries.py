@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadentia.functions import boxes, scalars
-from cadentia.operators import consensus, evaluate, events, score, segments, signal
+from cadentia.operators import consensus, evaluate, events, rectangles, score, segments, signal
 from cadentia.plans import oracles
-from cadentia.plans.rules import GT_RULES, LEAST_IOU, RULES
+from cadentia.plans.rules import BOX_FORMS, CORRECTION_FORMS, GT_RULES, LEAST_IOU, RULES
 from cadentia.sources import drafts, stream
 from cadentia.sources.tables import epoch_micros, known_events, match_events, seconds, table, winner_of
 from cadentia.sources.tables import signal as sampled
@@ -348,7 +348,7 @@ def box_iou(spark: SparkSession, d: str) -> DataFrame:
     """Overlap of each box with the next one of its clip."""
     order = Window.partitionBy("clip").orderBy("seq")
     b = _boxes(spark, d).select("*", *[F.lead(c).over(order).alias(f"n{c}") for c in "xywh"]).where("nx is not null")
-    return rounded(b.select("clip", "seq", boxes.box_iou(*_c("x", "y", "w", "h", "nx", "ny", "nw", "nh")).alias("iou"), boxes.near_table(*_c("x", "y", "w", "h", "nx", "ny", "nw", "nh"), 100).alias("near")), "iou")
+    return rounded(b.select("clip", "seq", boxes.box_iou(*_c("x", "y", "w", "h", "nx", "ny", "nw", "nh")).alias("iou"), boxes.near_table(*_c("x", "w", "nx", "nw"), 100).alias("near")), "iou")
 
 
 @query
@@ -381,16 +381,26 @@ def box_consensus(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def roi_parse(spark: SparkSession, d: str) -> DataFrame:
-    """JSON rectangles of every encoding, built from line items, and the boxes read from them."""
-    b = _boxes(spark, d)
-    x, y, w, h = (F.col(c) for c in "xywh")
-    forms = [
-        F.to_json(F.struct(x, y, w, h)), F.to_json(F.struct(x.alias("left"), y.alias("top"), (x + w).alias("right"), (y + h).alias("bottom"))), F.to_json(F.array(x, y, w, h)),
-        F.to_json(F.struct(F.struct(x.alias("x1"), y.alias("y1"), (x + w).alias("x2"), (y + h).alias("y2")).alias("bbox"))), F.to_json(F.struct(F.array(F.array(x, y), F.array(x + w, y), F.array(x + w, y + h)).alias("points"))),
-        F.to_json(F.struct(x, y, (-w).alias("w"), h)), F.lit("not json"),
-    ]
-    json = F.element_at(F.array(*forms), (F.col("seq") % len(forms) + 1).cast("int"))
-    return b.select("clip", "seq", boxes.parse_box(json, 1).alias("b")).select("clip", "seq", F.col("b.x").alias("bx"), F.col("b.y").alias("by"), F.col("b.w").alias("bw"), F.col("b.h").alias("bh"))
+    """JSON texts with the boxes of line items in every encoding, at several depths, and the boxes found in them."""
+    b = _boxes(spark, d).withColumns({"r": F.col("x") + F.col("w"), "b": F.col("y") + F.col("h")})
+    found = rectangles.find_boxes(b, _filled(BOX_FORMS, F.col("seq"), {k: F.col(k) for k in "xywhrb"}), ["clip", "seq", *"xywh"])  # numbers of items repeat
+    return found.select("clip", "seq", *[F.col(f"box.{k}").alias(f"b{k}") for k in "xywh"])
+
+
+def _filled(forms: list[str], number: Column, values: dict[str, Column]) -> Column:
+    """One of the forms in turn, with its places filled."""
+    text = F.element_at(F.array(*map(F.lit, forms)), (number % len(forms) + 1).cast("int"))
+    for k, v in values.items():
+        text = F.replace(text, F.lit("{" + k + "}"), v.cast("string"))
+    return text
+
+
+@query
+def corrections(spark: SparkSession, d: str) -> DataFrame:
+    """Changed fields in the corrections of orders as points, decoded from JSON texts."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("path"), F.col("o_orderkey").alias("seq"), _filled(CORRECTION_FORMS, F.col("o_orderkey"), {"key": F.col("o_orderkey"), "status": F.col("o_orderstatus"), "day": F.col("o_orderkey") % 28 + 1}).alias("text"))
+    points = o.select("path", "seq", F.from_json("text", drafts.CORRECTIONS).alias("corrections"))
+    return drafts.changed_fields(points).select("path", "seq", "place", "at", "by", "note", "field", F.try_variant_get("value", "$.from", "string").alias("before"), F.try_variant_get("value", "$.to", "string").alias("after"))
 
 
 @query

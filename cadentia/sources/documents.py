@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadentia.functions.boxes import BOX, parse_box
+from cadentia.operators.rectangles import find_boxes
 from cadentia.operators.score import exported
+from cadentia.sources.stream import written
 
 
 def write_boxes(boxes: DataFrame, path: str) -> None:
@@ -15,9 +16,10 @@ def write_boxes(boxes: DataFrame, path: str) -> None:
 
 
 def read_boxes(spark: SparkSession, path: str) -> DataFrame:
-    """clip and box of JSON lines in any encoding of rectangles; the box is null where there is none."""
-    lines = spark.read.text(path)
-    return lines.select(F.get_json_object("value", "$.clip").alias("clip"), parse_box(F.col("value")).cast(BOX).alias("box"))
+    """clip and box of JSON lines in any encoding of rectangles, at any depth; the box is null where there is none."""
+    lines = written(spark, spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), "value"), "box-lines")
+    found = find_boxes(lines, F.col("value"), ["line"])
+    return lines.select("line", F.get_json_object("value", "$.clip").alias("clip")).join(found, "line").select("clip", "box")
 
 
 def motion_documents(events: DataFrame, meta: DataFrame) -> DataFrame:

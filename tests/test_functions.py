@@ -4,24 +4,32 @@ import json
 
 import pytest
 from cadentia.functions import boxes, scalars
-from cadentia.operators import evaluate, events
+from cadentia.operators import evaluate, events, rectangles
 from cadentia.sources import drafts
 from pyspark.sql import functions as F
 
 
-@pytest.mark.parametrize(
-    ("text", "box"),
-    [
-        ('{"x":1,"y":2,"w":3,"h":4}', (1, 2, 3, 4)), ('{"x":0.5,"y":1.5,"width":2.5,"height":"4"}', (0, 2, 2, 4)), ('{"left":1,"top":2,"right":5,"bottom":9}', (1, 2, 4, 7)),
-        ("[10,20,5,0]", None), ("[1,2,5,-1]", None), ("[5,6,4,9]", (5, 6, 4, 9)), ("[10,20,30,0]", None), ('{"x1":1,"y1":1,"x2":3,"y2":4}', (1, 1, 2, 3)), ('{"x":1,"y":2,"w":0,"h":4,"roi":[1,2,3,4]}', None),
-        ('{"points":[[1,2],[5,2],["a",9],{"x":3,"y":7}]}', (1, 2, 4, 7)), ('{"table":{"bbox":[1,2,3,4]}}', (1, 2, 3, 4)), ('{"roi":{"q":1},"rect":[0,0,2,2]}', (0, 0, 2, 2)), ("nonsense", None), ("[1,2,3]", None), (None, None),
-    ],
-)
-def test_parse_box(spark, text, box):
-    if text == "[1,2,5,-1]":
-        box = None  # neither a size nor a corner
-    got = spark.createDataFrame([(text,)], "j string").select(boxes.parse_box(F.col("j"), 2).alias("b")).first().b
-    assert (tuple(got) if got else None) == box
+BOXES = [
+    ('{"x":1,"y":2,"w":3,"h":4}', (1, 2, 3, 4)), ('{"x":0.5,"y":1.5,"width":2.5,"height":"4"}', (0, 2, 2, 4)), ('{"left":1,"top":2,"right":5,"bottom":9}', (1, 2, 4, 7)), ('{"left":1,"top":2,"width":5,"height":9}', (1, 2, 5, 9)),
+    ('{"l":1,"t":2,"r":5,"b":9}', (1, 2, 4, 7)), ("[10,20,5,0]", None), ("[1,2,5,-1]", None), ("[5,6,4,9]", (5, 6, 4, 9)), ("[10,20,30,0]", None), ("[5,6,-4,9]", None), ("[5,6,7,null]", None), ('{"x1":1,"y1":1,"x2":3,"y2":4}', (1, 1, 2, 3)),
+    ('{"x":1,"y":2,"w":0,"h":4,"roi":[1,2,3,4]}', None), ('{"x":null,"y":1,"w":2,"h":3}', None), ('{"x":null,"y":1,"w":2,"h":3,"roi":[1,2,3,4]}', None), ('{"x":1e30,"y":1,"w":2,"h":3}', None), ('{"x":"NaN","y":1,"w":2,"h":3}', None),
+    ('{"points":[[1,2],[5,2],["a",9],{"x":3,"y":7}]}', (1, 2, 4, 7)), ('{"points":[[1,2]],"poly":[[0,0],[2,2]]}', (0, 0, 2, 2)), ('{"points":[[1,2]],"area":[0,0,2,2]}', (0, 0, 2, 2)), ('{"polygon":"none","vertices":[{"x":"1","y":1},{"x":4,"y":3},[]]}', (1, 1, 3, 2)),
+    ('{"table":{"bbox":[1,2,3,4]}}', (1, 2, 3, 4)), ('{"roi":{"q":1},"rect":[0,0,2,2]}', (0, 0, 2, 2)), ('{"roi":{"x":1,"y":2,"w":-3,"h":4,"bbox":[1,2,3,4]}}', None), ('{"roi":{"x":1,"y":2,"w":-3,"h":4},"q":[1,2,3,4]}', (1, 2, 3, 4)),
+    ('{"z":[9,9,9,9],"a":[1,1,1,1],"bbox":{"deep":{"deeper":{"deepest":{"l":0,"t":0,"r":2,"b":2}}}}}', (0, 0, 2, 2)), ('{"z":[9,9,9,9],"a":[1,1,1,1]}', (9, 9, 9, 9)), ('{"foo":{"x":1,"y":2,"w":3,"h":4}}', (1, 2, 3, 4)),
+    ('{"z":{"y":{"x":[3,3,3,3]}},"a":[1,1,1,1]}', (3, 3, 3, 3)), ('{"a":"{\\"x\\":1,\\"y\\":2,\\"w\\":3,\\"h\\":4}"}', None), ('{"a":[[1,2,3,4]]}', None), ('{"a":' * 30 + "[1,2,3,4]" + "}" * 30, (1, 2, 3, 4)),
+    ("nonsense", None), ('{"x":1,', None), ("[1,2,3]", None), ("", None), ("7", None), (None, None),
+]
+
+
+def test_boxes_at_any_depth(spark):
+    rows = spark.createDataFrame([(k, text) for k, (text, _) in enumerate(BOXES)], "k long, j string")
+    got = {r.k: r.box and tuple(r.box) for r in rectangles.find_boxes(rows, F.col("j"), ["k"]).collect()}
+    assert got == {k: box for k, (_, box) in enumerate(BOXES)}
+
+
+def test_near_table_looks_sideways_only(spark):
+    rows = spark.createDataFrame([(0, 10), (640, 10), (-60, 10), (660, 10), (-261, 10), (1, 1)], "x int, w int")
+    assert [r.n for r in rows.select(boxes.near_table(F.col("x"), F.col("w"), F.lit(100), F.lit(300)).alias("n")).collect()] == [True, True, True, False, False, True]
 
 
 def test_scalars(spark):
@@ -76,7 +84,7 @@ def test_drafts(spark, tmp_path):
     assert errors["good.json"] == [] and len(errors["bad.json"]) == 3
     p = drafts.draft_points(d.where("path like '%good%'"))
     assert sorted((r.seq, r.winner, r.best_of) for r in p.collect()) == [(0, "player_a", 5), (1, "unknown", 5), (2, "unknown", 5)]
-    assert sorted(r.message for r in drafts.point_errors(p).collect()) == ["Point 1: Invalid time range", "Point 2: Non-monotonic timestamps (start before previous end)"]
+    assert sorted(r.message for r in drafts.point_errors(p).collect()) == ["Point 1: Invalid time range (5.0 -> 2.0)", "Point 2: Non-monotonic timestamps (start before previous end)"]
     assert drafts.score_events(p).count() == 1
     with pytest.raises(ValueError):
         drafts.write_drafts(d.drop("strict_errors"), str(tmp_path / "out"))
