@@ -9,11 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadentia.functions.scalars import shown_float
+
 PLAYERS = ("player_a", "player_b")
 SET_POINTS, SET_LEAD = 11, 2
 
@@ -140,11 +143,117 @@ def timeline(events: DataFrame, best_of: int = 5, by_time: bool = True) -> DataF
     return replay(events, best_of, by_time).drop("closed_a", "closed_b")
 
 
+#: What a replay starts from: points of the open set, sets won, and the winner of a match that is over.
+SEED = "match_id long, p_a int, p_b int, s_a int, s_b int, winner string, last_ts double"
+
+
+def replay_by_sets(events: DataFrame, best_of: int = 5, seeds: DataFrame | None = None) -> DataFrame:
+    """What ``replay`` returns, by windows over each match: at most ``best_of`` rounds, each of which finds where the next set ends.
+
+    With running counts of both players' points, a set ends at the first event after the last end that has points and lead
+    enough. All windows share one partitioning and order, so there is one exchange and no row passes through Python.
+    ``seeds`` (see ``SEED``) has states to go on from; matches without one begin at the start. A winner other than the two players is an error,
+    and so is an event before the time of its match's state.
+    """
+    need = needed_sets(best_of)
+    rows = events.select("match_id", "seq", "ts", "winner")
+    start = {"p_a": F.lit(0), "p_b": F.lit(0), "s_a": F.lit(0), "s_b": F.lit(0), "won": F.lit(None).cast("string"), "last_ts": F.lit(None).cast("double")}
+    if seeds is None:
+        rows = rows.select("*", *[c.alias(k) for k, c in start.items()])
+    else:
+        held = seeds.select("match_id", "p_a", "p_b", "s_a", "s_b", F.col("winner").alias("won"), "last_ts")
+        rows = rows.join(held, "match_id", "left").select("match_id", "seq", "ts", "winner", *[F.coalesce(F.col(k), c).alias(k) for k, c in start.items()])
+    match = Window.partitionBy("match_id")
+    so_far = match.orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    is_a = F.when(F.col("winner") == PLAYERS[0], 1).when(F.col("winner") == PLAYERS[1], 0).otherwise(F.raise_error(F.concat(F.lit("unknown winner: "), F.coalesce("winner", F.lit("null")))))
+    is_a = F.when(F.col("ts") < F.col("last_ts"), F.raise_error(F.lit("time goes back from the state of the match"))).otherwise(is_a)
+    rows = rows.withColumn("is_a", is_a.cast("int"))
+    # Points as if no set had ended, those of the state's open set included.
+    rows = rows.select("*", F.row_number().over(match.orderBy("ts", "seq")).alias("rn"), F.sum("is_a").over(so_far).cast("int").alias("n_a"))
+    rows = rows.withColumn("n_b", (F.col("rn") - F.col("n_a") + F.col("p_b")).cast("int")).withColumn("n_a", (F.col("n_a") + F.col("p_a")).cast("int"))
+    ended = "struct<rn: int, n_a: int, n_b: int>"
+    rows = rows.withColumns({"end0": F.when(F.col("won").isNull(), F.struct(F.lit(0).alias("rn"), F.lit(0).alias("n_a"), F.lit(0).alias("n_b"))).cast(ended), "a0": F.col("s_a"), "b0": F.col("s_b")})
+    for k in range(1, best_of + 1):
+        before = F.col(f"end{k - 1}")
+        a, b = F.col("n_a") - before["n_a"], F.col("n_b") - before["n_b"]
+        closes = (F.col("rn") > before["rn"]) & (F.greatest(a, b) >= SET_POINTS) & (F.abs(a - b) >= SET_LEAD)
+        goes_on = (F.col(f"a{k - 1}") < need) & (F.col(f"b{k - 1}") < need)
+        rows = rows.withColumn(f"end{k}", F.min(F.when(closes & goes_on, F.struct("rn", "n_a", "n_b"))).over(match))
+        end = F.col(f"end{k}")
+        by_a = (end["n_a"] - before["n_a"] > end["n_b"] - before["n_b"]).cast("int")
+        rows = rows.withColumns({f"a{k}": F.when(end.isNull(), F.col(f"a{k - 1}")).otherwise(F.col(f"a{k - 1}") + by_a), f"b{k}": F.when(end.isNull(), F.col(f"b{k - 1}")).otherwise(F.col(f"b{k - 1}") + 1 - by_a)})
+    # Per row: the last end up to it; a set that ends the match stays open to view.
+    here, base, final, closed = [], F.col("end0"), F.lit(None).cast(ended), F.lit(None).cast("struct<a: int, b: int>")
+    for k in range(1, best_of + 1):
+        end, before = F.col(f"end{k}"), F.col(f"end{k - 1}")
+        over = (F.col(f"a{k}") >= need) | (F.col(f"b{k}") >= need)
+        reached = F.coalesce(end["rn"] <= F.col("rn"), F.lit(False))
+        here.append((k, reached))
+        base = F.when(reached & ~over, end).otherwise(base)
+        final = F.when(reached & over, end).otherwise(final)
+        closed = F.when(end["rn"] == F.col("rn"), F.struct((end["n_a"] - before["n_a"]).alias("a"), (end["n_b"] - before["n_b"]).alias("b"))).otherwise(closed)
+    won_sets = lambda side, seed: reduce(lambda rest, k: F.when(k[1], F.col(f"{side}{k[0]}")).otherwise(rest), here, F.col(seed))
+    rows = rows.select("match_id", "seq", "ts", "p_a", "p_b", "won", "n_a", "n_b", base.alias("base"), final.alias("final"), closed.alias("closed"), won_sets("a", "s_a").alias("sets_a"), won_sets("b", "s_b").alias("sets_b"))
+    done = F.col("final").isNotNull() | F.col("won").isNotNull()
+    score = lambda n, p: F.when(F.col("won").isNotNull(), F.col(p)).otherwise(F.coalesce(F.col("final")[n], F.col(n)) - F.col("base")[n]).cast("int")
+    winner = F.coalesce("won", F.when(F.col("final").isNotNull(), F.when(F.col("sets_a") >= need, PLAYERS[0]).otherwise(PLAYERS[1])))
+    return rows.select(
+        "match_id", "seq", "ts", (F.col("sets_a") + F.col("sets_b") + F.when(done, 0).otherwise(1)).cast("int").alias("set_number"), score("n_a", "p_a").alias("score_a"), score("n_b", "p_b").alias("score_b"),
+        F.col("sets_a").cast("int").alias("sets_a"), F.col("sets_b").cast("int").alias("sets_b"), done.alias("is_finished"), winner.alias("winner"), F.col("closed.a").alias("closed_a"), F.col("closed.b").alias("closed_b"),
+    )
+
+
 def set_results(events: DataFrame, best_of: int = 5) -> DataFrame:
     """match_id, set_no, points of both and the winner of each completed set."""
-    closed = replay(events, best_of).where("closed_a is not null")
-    number = F.row_number().over(Window.partitionBy("match_id").orderBy("ts", "seq")).cast("int")
-    return closed.select("match_id", number.alias("set_no"), F.col("closed_a").alias("points_a"), F.col("closed_b").alias("points_b"), F.when(F.col("closed_a") > F.col("closed_b"), PLAYERS[0]).otherwise(PLAYERS[1]).alias("set_winner"))
+    closed = replay_by_sets(events, best_of).where("closed_a is not null")
+    return closed.select("match_id", (F.col("sets_a") + F.col("sets_b")).alias("set_no"), F.col("closed_a").alias("points_a"), F.col("closed_b").alias("points_b"), F.when(F.col("closed_a") > F.col("closed_b"), PLAYERS[0]).otherwise(PLAYERS[1]).alias("set_winner"))
+
+
+STATE_VERSION = "1.0"
+STATES = "match_id long, schema_version string, best_of int, sets array<struct<player_a: int, player_b: int, winner: string>>, winner string, is_finished boolean, last_ts double"
+
+
+def match_states(events: DataFrame, best_of: int = 5, states: DataFrame | None = None) -> DataFrame:
+    """The state of each match after its events, as it is saved (see ``STATES``): all sets in order, the last one open unless the match is over.
+
+    ``states`` has earlier ones that the events follow; those of matches without new events pass as they are.
+    """
+    rows = replay_by_sets(events, best_of, states and seeds_of(states, best_of))
+    order = F.struct("ts", "seq")
+    done = F.struct("ts", "seq", F.col("closed_a").alias("a"), F.col("closed_b").alias("b"))
+    ended = rows.groupBy("match_id").agg(F.max_by(F.struct("score_a", "score_b", "is_finished", "winner", "ts"), order).alias("last"), F.array_sort(F.collect_list(F.when(F.col("closed_a").isNotNull(), done))).alias("closed"))
+    by = lambda a, b: F.when(a > b, PLAYERS[0]).otherwise(PLAYERS[1])
+    closed = F.transform("closed", lambda c: _set(c["a"], c["b"], by(c["a"], c["b"])))
+    open_set = F.when(F.col("last.is_finished"), F.array().cast(f"array<{_SET}>")).otherwise(F.array(_set(F.col("last.score_a"), F.col("last.score_b"), F.lit(None))))
+    if states is None:
+        sets, kept = F.concat(closed, open_set), None
+    else:
+        ended = ended.join(states.select("match_id", F.filter("sets", lambda s: s["winner"].isNotNull()).alias("earlier"), F.col("is_finished").alias("was_over")), "match_id", "left")
+        sets = F.concat(F.coalesce("earlier", F.array().cast(f"array<{_SET}>")), closed, open_set)
+        kept = states.join(rows.select("match_id").distinct(), "match_id", "left_anti")
+    out = ended.select("match_id", F.lit(STATE_VERSION).alias("schema_version"), F.lit(best_of).alias("best_of"), sets.alias("sets"), "last.winner", "last.is_finished", F.col("last.ts").alias("last_ts"))
+    return out if kept is None else out.unionByName(kept.select(*out.columns))
+
+
+def seeds_of(states: DataFrame, best_of: int) -> DataFrame:
+    """What a replay goes on from, of saved states; the state of another kind of match is an error."""
+    last = F.try_element_at("sets", F.lit(-1))
+    won = lambda player: F.size(F.filter("sets", lambda s: s["winner"] == player))
+    checked = F.when(F.col("best_of") == best_of, F.col("match_id")).otherwise(F.raise_error(F.concat(F.lit("a state of best of "), F.col("best_of").cast("string"))))
+    points = lambda side: F.coalesce(last[side], F.lit(0)).alias(f"p_{side[-1]}")
+    return states.select(checked.alias("match_id"), points("player_a"), points("player_b"), won(PLAYERS[0]).alias("s_a"), won(PLAYERS[1]).alias("s_b"), "winner", "last_ts")
+
+
+def resumed(events: DataFrame, states: DataFrame, best_of: int = 5) -> DataFrame:
+    """Snapshots after each of the events that follow saved states: what ``timeline`` of all events has for these."""
+    return replay_by_sets(events, best_of, seeds_of(states, best_of)).drop("closed_a", "closed_b")
+
+
+def order_errors(events: DataFrame) -> DataFrame:
+    """match_id, seq, ts, before and message of events whose time lies before that of the event that came before, by seq. Equal times are none."""
+    before = F.lag("ts").over(Window.partitionBy("match_id").orderBy("seq"))
+    found = events.select("match_id", "seq", "ts", before.alias("before")).where("ts < before")
+    return found.withColumn("message", F.concat(F.lit("Events must be chronologically ordered: "), shown_float(F.col("ts")), F.lit(" after "), shown_float(F.col("before"))))
 
 
 _SET = "struct<player_a: int, player_b: int, winner: string>"

@@ -282,6 +282,14 @@ ORACLES: dict[str, str] = {
     "segments_split": f"with recursive {_SPLIT} select clip, round(t_start, 6) as t_start, round(t_end, 6) as t_end, i_start, i_end, array_to_string(flags, '|') as flags from sp",
     "segments_final": f"with recursive {_FINAL}",
     "stream_segments": f"with recursive {_SIGNAL}, lv as (select clip, idx, t, least(v / 100, 1) as x from sg), {_rules('lv', 'x', RULES, 'hs', False)} select clip, round(t_start, 6) as t_start, round(t_end, 6) as t_end from hs",
+    "score_timeline_sets": _timeline(5),
+    "score_resumed": _timeline(3) + " and ts >= epoch_us(timestamp '2024-01-15') / 1e6::double",
+    "match_states": f"""with recursive {_replay(5)},
+c as (select match_id, string_agg(closed_a || '-' || closed_b || '-' || case when closed_a > closed_b then 'player_a' else 'player_b' end, '|' order by rn) as done from st where closed_a is not null group by match_id),
+l as (select * from (select *, row_number() over (partition by match_id order by rn desc) as back from st where rn > 0) where back = 1)
+select l.match_id, 5 as best_of, concat_ws('|', done, case when winner is null then score_a || '-' || score_b end) as sets, winner, winner is not null as is_finished from l left join c using (match_id)""",
+    "order_errors": f"""with {_EVENTS}, b as (select match_id, seq, ts, lag(ts) over (partition by match_id order by seq) as before from ev)
+select *, 'Events must be chronologically ordered: ' || ts || ' after ' || before as message from b where ts < before""",
     "stream_ordered_score": _timeline(3).replace("from events)", "from events where not (event_id % 41 = 0 and ts < timestamp '2024-01-15'))").replace("select match_id, seq, ts, set_number", "select match_id, seq, ts, false as late, set_number")
     + """ union all
   select user_id, event_id, epoch_us(ts) / 1e6::double, true, null, null, null, null, null, null, null

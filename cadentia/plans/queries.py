@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,7 +12,7 @@ from cadentia.functions import boxes, scalars
 from cadentia.operators import consensus, evaluate, events, rectangles, score, segments, signal
 from cadentia.plans import oracles
 from cadentia.plans.rules import BOX_FORMS, CORRECTION_FORMS, GT_RULES, LEAST_IOU, RULES
-from cadentia.sources import drafts, stream
+from cadentia.sources import documents, drafts, stream
 from cadentia.sources.tables import epoch_micros, known_events, match_events, seconds, table, winner_of
 from cadentia.sources.tables import signal as sampled
 from cadentia.streaming import ordered, windows
@@ -60,6 +61,38 @@ def score_timeline_bo5(spark: SparkSession, d: str) -> DataFrame:
     return score.timeline(known_events(_events(spark, d)), 5)
 
 
+@query
+def score_timeline_sets(spark: SparkSession, d: str) -> DataFrame:
+    """The same timeline as score_timeline_bo5, set by set in windows."""
+    return score.replay_by_sets(known_events(_events(spark, d)), 5).drop("closed_a", "closed_b")
+
+
+@query
+def score_resumed(spark: SparkSession, d: str) -> DataFrame:
+    """Snapshots of the second half of January from states saved at its middle, as JSON, and read again."""
+    events = known_events(_events(spark, d))
+    middle = seconds(F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"))
+    at = f"{stream.shared_dir(spark)}/states-{uuid.uuid4().hex}"
+    documents.write_states(score.match_states(events.where(F.col("ts") < middle), 3), at)
+    return score.resumed(events.where(F.col("ts") >= middle), documents.read_states(spark, at), 3)
+
+
+@query
+def match_states(spark: SparkSession, d: str) -> DataFrame:
+    """The sets of each match after January, reached in two steps, as text."""
+    events = known_events(_events(spark, d))
+    middle = seconds(F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"))
+    half = stream.written(spark, score.match_states(events.where(F.col("ts") < middle), 5), "states")
+    states = score.match_states(events.where(F.col("ts") >= middle), 5, half)
+    shown = F.concat_ws("|", F.transform("sets", lambda s: F.concat_ws("-", s["player_a"], s["player_b"], s["winner"])))
+    return states.select("match_id", "best_of", shown.alias("sets"), "winner", "is_finished")
+
+
+@query
+def order_errors(spark: SparkSession, d: str) -> DataFrame:
+    return score.order_errors(match_events(_events(spark, d)))
+
+
 @query
 def set_results(spark: SparkSession, d: str) -> DataFrame:
     return score.set_results(known_events(_events(spark, d)), 3)

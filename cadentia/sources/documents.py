@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadentia.operators.rectangles import find_boxes
-from cadentia.operators.score import exported
+from cadentia.operators.score import STATES, exported
 from cadentia.sources.stream import written
 
 
@@ -44,6 +44,21 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("match_id", F.monotonically_increasing_id().alias("seq"), F.col("timestamp").alias("ts"), "winner")
 
 
+def write_states(states: DataFrame, path: str) -> None:
+    """Match states as JSON lines (see ``score.STATES``)."""
+    states.write.option("ignoreNullFields", False).json(path)
+
+
+def read_states(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(STATES).json(path)
+
+
+def read_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """path and document (VARIANT) of each file of JSON, whatever it holds; a file that is no JSON has a null document."""
+    files = spark.read.option("wholetext", True).text(path)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("document"))
+
+
 def write_report(clips: DataFrame, overall: DataFrame, least_iou: float, path: str) -> None:
     """A report as two sets of JSON lines: ``aggregate`` is one line, ``clips`` has one for each clip, however many there are."""
     detection = F.struct(*[F.col(c) for c in ("tp", "fp", "fn")], *[F.col(f"micro_{c}").alias(c) for c in ("precision", "recall", "f1")])
