@@ -8,19 +8,21 @@ merged trie gives the kept terms in that order: sums of differences for all pair
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from itertools import batched, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadentia.llm.common import small_or_plain, text_slices, written
 
 LEAST_DOCUMENTS, TOP = 30, 50
-#: Leaves of a task's tries before they are given out, leaves of a merged trie that are walked together, sources that are compared with as many at once.
-MOST_LEAVES, CHUNK, TILE = 150_000, 4096, 256
+#: Bytes of texts that are counted together, leaves of a task's tries before they are given out, leaves of a merged trie that are walked together, sources that are compared with as many at once.
+MOST_BYTES, MOST_LEAVES, CHUNK, TILE = 1 << 24, 300_000, 4096, 256
 #: Added to each count; steps of a thousand in the billion that shares are parts of.
 PRIOR, STEPS = 5, 3
 
@@ -32,8 +34,17 @@ _FOUND = "lang string, source string, part string, item string, value long"
 _LETTERS = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
 
 
-def terms_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().translate(_LETTERS).split()
+def terms_of(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The terms of all texts in a row, and the number of each one's text."""
+    parts = [t.encode("utf-8", "surrogatepass").lower().translate(_LETTERS) for t in texts]
+    ends = np.cumsum([len(p) + 1 for p in parts])
+    data = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
+    letter = data != 0x20
+    edges = np.flatnonzero(np.diff(letter, prepend=False))
+    starts, stops = edges[::2], edges[1::2]
+    offsets = np.concatenate(([0], np.cumsum(stops - starts)))
+    terms = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data[letter])])
+    return terms, np.searchsorted(ends, starts, "right")
 
 
 class Node:
@@ -45,84 +56,133 @@ class Node:
         self.label, self.kids = label, None
         self.documents, self.counts = 0, None  # of the term that ends here
 
-    def put(self, kid: Node) -> Node:
-        if self.kids is None:
-            self.kids = {}
-        self.kids[kid.label[0]] = kid
-        return kid
-
 
 class Trie:
     """Terms with their number of documents and how often each source has them."""
 
     def __init__(self):
-        self.root, self.leaves = Node(b""), 0
-
-    def _end_of(self, term: bytes) -> Node:
-        """The node at which a term ends, made if need be; an edge that the term leaves halfway is parted."""
-        node, i = self.root, 0
-        while i < len(term):
-            kid = node.kids and node.kids.get(term[i])
-            if kid is None:
-                return node.put(Node(term[i:]))
-            label = kid.label
-            if term.startswith(label, i):
-                node, i = kid, i + len(label)
+        self.root = Node(b"")
+        self.ends: dict[bytes, Node] = {}  # where each term ends, so that only new ones walk
+
+    @property
+    def leaves(self) -> int:
+        return len(self.ends)
+
+    def put(self, terms: Iterable[bytes]) -> None:
+        """Make the nodes at which terms end, given in their order: a term goes on from where it leaves the path of the one before. An edge that it leaves halfway is parted."""
+        path = [(b"", self.root)]
+        for term in terms:
+            if term in self.ends:
                 continue
-            k = 1
-            while i + k < len(term) and label[k] == term[i + k]:
-                k += 1
-            between = node.put(Node(label[:k]))
-            kid.label = label[k:]
-            between.put(kid)
-            node, i = between, i + k
-        return node
-
-    def add(self, term: bytes, documents: int, source: str, count: int) -> None:
-        end = self._end_of(term)
-        if end.counts is None:
-            end.counts = {}
-            self.leaves += 1
-        end.documents += documents
-        end.counts[source] = end.counts.get(source, 0) + count
+            while not term.startswith(path[-1][0]):
+                path.pop()
+            before, node = path[-1]
+            i, n = len(before), len(term)
+            while i < n:
+                kids = node.kids
+                if kids is None:
+                    kids = node.kids = {}
+                first = term[i]
+                kid = kids.get(first)
+                if kid is None:
+                    node = kids[first] = Node(term[i:])
+                    i = n
+                else:
+                    label = kid.label
+                    if term.startswith(label, i):
+                        node = kid
+                        i += len(label)
+                    else:
+                        k = 1
+                        while i + k < n and label[k] == term[i + k]:
+                            k += 1
+                        node = kids[first] = Node(label[:k])
+                        kid.label = label[k:]
+                        node.kids = {label[k]: kid}
+                        i += k
+                path.append((term[:i], node))
+            node.counts = {}
+            self.ends[term] = node
+
+    def merge(self, terms: list[bytes], documents: Iterable[int], counts: Iterable[Iterable[tuple[str, int]]]) -> None:
+        """Add leaves, in order of their terms: documents, and how often each of some sources has the term."""
+        self.put(terms)
+        ends = self.ends
+        for term, n, of_sources in zip(terms, documents, counts, strict=True):
+            end = ends[term]
+            end.documents += n
+            held = end.counts
+            for source, c in of_sources:
+                held[source] = held.get(source, 0) + c
 
     def walk(self) -> Iterator[tuple[bytes, Node]]:
         """Terms and their leaves in the order of their bytes."""
         stack = [(b"", self.root)]
         while stack:
-            before, node = stack.pop()
-            term = before + node.label
+            term, node = stack.pop()
             if node.counts is not None:
                 yield term, node
-            for first in sorted(node.kids or (), reverse=True):
-                stack.append((term, node.kids[first]))
-
-
-def _counted(most_leaves: int):
-    def leaves(tries: dict[str, Trie]) -> Iterator[pa.RecordBatch]:
-        for lang, trie in tries.items():
-            rows = [(lang, term, n.documents, list(n.counts), list(n.counts.values())) for term, n in trie.walk()]
-            for k in range(0, len(rows), 10_000):
-                yield _batch(rows[k : k + 10_000], _LEAVES_SCHEMA)
-
+            if node.kids:
+                for _, kid in sorted(node.kids.items(), reverse=True):
+                    stack.append((term + kid.label, kid))
+
+
+def _leaf_batch(lang: str, terms: pa.Array, documents: pa.Array, sizes: np.ndarray, sources: pa.Array, counts: pa.Array) -> pa.RecordBatch:
+    """Leaves, of which each has its number of sources; sources and counts are those of all of them."""
+    ends = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(ends, x) for x in (sources, counts)]
+    return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(terms)), terms.cast(pa.binary()), documents, *lists], schema=_LEAVES_SCHEMA)
+
+
+def _walked(lang: str, trie: Trie) -> Iterator[pa.RecordBatch]:
+    for part in batched(trie.walk(), 20_000):
+        nodes = [n for _, n in part]
+        sources, counts = (pa.array([x for n in nodes for x in of(n.counts)], t) for of, t in ((dict.keys, pa.string()), (dict.values, pa.int64())))
+        yield _leaf_batch(lang, pa.array([t for t, _ in part], pa.binary()), pa.array([n.documents for n in nodes], pa.int64()), np.array([len(n.counts) for n in nodes]), sources, counts)
+
+
+def _into_trie(trie: Trie, lang: str, texts: list[str], sources: list[str]) -> Iterator[pa.RecordBatch]:
+    """Count the terms of texts of one language. A term that one of them has is given out as a leaf by itself, the others go into the trie."""
+    terms, owner = terms_of(texts)
+    if not len(terms):
+        return
+    coded = terms.dictionary_encode()
+    ids, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+    names = sorted(set(sources))
+    number = {s: k for k, s in enumerate(names)}
+    place = np.array([number[s] for s in sources])
+    counts = np.bincount(ids * len(names) + place[owner], minlength=len(words) * len(names)).reshape(len(words), len(names))
+    pairs = np.sort(owner * len(words) + ids)
+    documents = np.bincount(pairs[np.diff(pairs, prepend=-1) != 0] % len(words), minlength=len(words))
+    one = np.flatnonzero(documents == 1)
+    where = counts[one].argmax(1)
+    of_one = pa.array(counts[one, where], pa.int64())
+    yield _leaf_batch(lang, words.take(pa.array(one)), pa.array(np.ones(len(one), np.int64)), np.ones(len(one), np.int64), pa.array(names, pa.string()).take(pa.array(where)), of_one)
+    more = words.take(pa.array(np.flatnonzero(documents > 1)))
+    order = np.flatnonzero(documents > 1)[pc.sort_indices(more).to_numpy()]
+    rows, columns = np.nonzero(counts[order])
+    pairs = list(zip([names[c] for c in columns.tolist()], counts[order][rows, columns].tolist(), strict=True))
+    ends = np.searchsorted(rows, np.arange(len(order) + 1)).tolist()
+    trie.merge(words.take(pa.array(order)).to_pylist(), documents[order].tolist(), (pairs[a:b] for a, b in pairwise(ends)))
+
+
+def _counted(most_leaves: int, most_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Leaves of the tries of a task's texts."""
         tries: dict[str, Trie] = defaultdict(Trie)
-        for part, texts in text_slices(batches, "text", 1 << 21):
-            counts: dict[tuple[str, str], tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
+        for part, texts in text_slices(batches, "text", most_bytes):
+            by_lang = defaultdict(lambda: ([], []))
             for text, lang, source in zip(texts, part.column("lang").to_pylist(), part.column("source").to_pylist(), strict=True):
-                words = terms_of(text)
-                often, documents = counts[lang, source]
-                often.update(words)
-                documents.update(set(words))
-            for (lang, source), (often, documents) in counts.items():
-                add = tries[lang].add
-                for term, n in often.items():
-                    add(term, documents[term], source, n)
+                by_lang[lang][0].append(text)
+                by_lang[lang][1].append(source)
+            for lang, (mine, sources) in by_lang.items():
+                yield from _into_trie(tries[lang], lang, mine, sources)
             if sum(t.leaves for t in tries.values()) > most_leaves:
-                yield from leaves(tries)
+                for lang, trie in tries.items():
+                    yield from _walked(lang, trie)
                 tries.clear()
-        yield from leaves(tries)
+        for lang, trie in tries.items():
+            yield from _walked(lang, trie)
 
     return run
 
@@ -143,8 +203,7 @@ def _merged(least_documents: int, chunk: int):
                     out += kept()
                     trie, lang = Trie(), in_lang
                 last = term
-                for k, (source, n) in enumerate(zip(sources, counts, strict=True)):
-                    trie.add(term, 0 if k else documents, source, n)
+                trie.merge([term], [documents], [zip(sources, counts, strict=True)])
             yield _batch(out, _KEPT_SCHEMA)
         yield _batch(kept(), _KEPT_SCHEMA)
 
@@ -232,8 +291,10 @@ def source_divergence(spark: SparkSession, docs: DataFrame, least_documents: int
     table gives no rows. Other columns are ignored. ``most_leaves``, ``chunk`` and ``tile`` change what is held at once, not the result. Lists of the sources of one language are held in one row, as the result has a row for each two of them.
     """
     rows = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("text", "lang", "source")])
-    leaves = written(spark, rows.mapInArrow(_counted(most_leaves), _LEAVES), "divergence-leaves")
-    ranges = leaves.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term")
+    leaves = written(spark, rows.mapInArrow(_counted(most_leaves, MOST_BYTES if most_leaves >= MOST_LEAVES else 200), _LEAVES), "divergence-leaves")
+    # Most terms are rare; rows of these go before the tries of a range are merged. The window has the partitioning and order of the ranges.
+    ranges = leaves.repartitionByRange("lang", "term").withColumn("in_all", F.sum("documents").over(Window.partitionBy("lang", "term")))
+    ranges = ranges.where(F.col("in_all") >= least_documents).drop("in_all").sortWithinPartitions("lang", "term")
     kept = written(spark, ranges.mapInArrow(_merged(least_documents, chunk), _KEPT), "divergence-kept")
 
     counts = kept.select("lang", F.explode(F.arrays_zip(F.flatten("sources").alias("source"), F.flatten("counts").alias("n"))).alias("c")).groupBy("lang", "c.source").agg(F.sum("c.n").alias("n"))
