@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadentia.sources.stream import written
+
 
 def refractory(s: DataFrame, threshold: float, gap: float, value: str = "v") -> DataFrame:
     """clip, t and value of samples at or above the threshold, each at least ``gap`` after the last one given.
@@ -35,6 +37,54 @@ def refractory(s: DataFrame, threshold: float, gap: float, value: str = "v") ->
     return rows.mapInArrow(run, "clip long, idx long, t double, value double")
 
 
+def _hot(s: DataFrame, threshold: float, value: str) -> DataFrame:
+    """clip, idx, t and value of samples at or above the threshold, without the first sample of each clip."""
+    rows = s.select("clip", "idx", "t", F.col(value).cast("double").alias("value"))
+    first = rows.groupBy("clip").agg(F.min("idx").alias("first"))  # partial minima: no task holds a clip
+    rows = rows.where((F.col("value") >= threshold) & ~F.isnan("value")).join(first, "clip")
+    return rows.where(F.col("idx") > F.col("first")).drop("first")
+
+
+def _successors(hot: DataFrame, gap: float) -> DataFrame:
+    """clip, idx and next: the first hot sample at least ``gap`` later, for those that have one.
+
+    Samples (at t) and questions (at t + gap) are dealt by ranges of clip and time. A window in each range finds the next sample; a
+    question that no sample of its range answers takes the first one of the clip's next range that has any.
+    """
+    spark = hot.sparkSession
+    there = hot.select("clip", F.col("t").alias("at"), F.lit(1).alias("there"), "idx")
+    asked = hot.select("clip", (F.col("t") + gap).alias("at"), F.lit(0).alias("there"), "idx")
+    ranges = there.unionByName(asked).repartitionByRange("clip", "at", "there", "idx").withColumn("part", F.spark_partition_id())
+    ranges = written(spark, ranges, "refractory-ranges")
+    ahead = Window.partitionBy("clip", "part").orderBy("at", "there", "idx").rowsBetween(0, Window.unboundedFollowing)
+    found = ranges.withColumn("next", F.first(F.when(F.col("there") == 1, F.col("idx")), ignorenulls=True).over(ahead)).where("there = 0")
+    # One row for each range that a clip lies in.
+    firsts = ranges.groupBy("clip", "part").agg(F.min(F.when(F.col("there") == 1, F.struct("at", "idx"))).alias("first"))
+    later = F.first("first.idx", ignorenulls=True).over(Window.partitionBy("clip").orderBy("part").rowsBetween(1, Window.unboundedFollowing))
+    found = found.join(firsts.select("clip", "part", later.alias("later")), ["clip", "part"])
+    return found.select("clip", "idx", F.coalesce("next", "later").alias("next")).where("next is not null")
+
+
+def refractory_by_jumps(s: DataFrame, threshold: float, gap: float, value: str = "v") -> DataFrame:
+    """What ``refractory`` finds, for clips too long for one task: a clip's samples are spread over all of them.
+
+    Each hot sample points at the next one that it would let through. Those reached from a clip's first hot sample are found by pointer
+    doubling: after k rounds the first 2^k are known, and pointers span 2^k steps; so the rounds grow with the logarithm of the number of
+    events found. Needs times in the order of idx; a time plus the gap should be exact.
+    """
+    spark = s.sparkSession
+    hot = written(spark, _hot(s, threshold, value), "refractory-hot")
+    jumps = written(spark, _successors(hot, gap), "refractory-jumps")
+    reached = hot.groupBy("clip").agg(F.min_by("idx", F.struct("t", "idx")).alias("idx"))
+    while True:
+        more = written(spark, reached.join(jumps, ["clip", "idx"]).select("clip", F.col("next").alias("idx")), "refractory-reached")
+        if more.isEmpty():
+            return hot.join(reached, ["clip", "idx"]).select("clip", "idx", "t", "value")
+        reached = written(spark, reached.unionByName(more), "refractory-reached")
+        twice = jumps.select("clip", F.col("idx").alias("from"), F.col("next").alias("idx")).join(jumps, ["clip", "idx"])
+        jumps = written(spark, twice.select("clip", F.col("from").alias("idx"), "next"), "refractory-jumps")
+
+
 def majority(votes: DataFrame, key: str, vote: str) -> DataFrame:
     """key, winner and consensus: the most frequent vote and its share; unknown and 0 if two are equally frequent."""
     counts = votes.groupBy(key, vote).agg(F.count("*").alias("n"))

@@ -15,8 +15,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadentia.functions.scalars import shown_float
-
 PLAYERS = ("player_a", "player_b")
 SET_POINTS, SET_LEAD = 11, 2
 
@@ -60,6 +58,13 @@ class Score:
         return closed
 
 
+def load_errors(events: DataFrame) -> DataFrame:
+    """match_id, seq and message of events that a load refuses: without a time, or won by none of the players."""
+    message = F.when(F.col("ts").isNull(), F.concat(F.lit("Event "), F.col("seq").cast("string"), F.lit(": no timestamp")))
+    message = message.when(F.coalesce(~F.col("winner").isin(*PLAYERS), F.lit(True)), F.concat(F.lit("Event "), F.col("seq").cast("string"), F.lit(": unknown winner "), F.coalesce("winner", F.lit("null"))))
+    return events.select("match_id", "seq", message.alias("message")).where("message is not null")
+
+
 def load_checks(events: DataFrame) -> DataFrame:
     """match_id, n_events, n_bad and loaded: a match is loaded whole or, with any event that lacks a time or one of the players, not at all."""
     bad = F.col("ts").isNull() | F.coalesce(~F.col("winner").isin(*PLAYERS), F.lit(True))
@@ -253,7 +258,7 @@ def order_errors(events: DataFrame) -> DataFrame:
     """match_id, seq, ts, before and message of events whose time lies before that of the event that came before, by seq. Equal times are none."""
     before = F.lag("ts").over(Window.partitionBy("match_id").orderBy("seq"))
     found = events.select("match_id", "seq", "ts", before.alias("before")).where("ts < before")
-    return found.withColumn("message", F.concat(F.lit("Events must be chronologically ordered: "), shown_float(F.col("ts")), F.lit(" after "), shown_float(F.col("before"))))
+    return found.withColumn("message", F.lit("Event timestamp must be non-decreasing"))  # fixed value: the text of the error
 
 
 _SET = "struct<player_a: int, player_b: int, winner: string>"

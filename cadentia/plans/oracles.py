@@ -288,8 +288,19 @@ ORACLES: dict[str, str] = {
 c as (select match_id, string_agg(closed_a || '-' || closed_b || '-' || case when closed_a > closed_b then 'player_a' else 'player_b' end, '|' order by rn) as done from st where closed_a is not null group by match_id),
 l as (select * from (select *, row_number() over (partition by match_id order by rn desc) as back from st where rn > 0) where back = 1)
 select l.match_id, 5 as best_of, concat_ws('|', done, case when winner is null then score_a || '-' || score_b end) as sets, winner, winner is not null as is_finished from l left join c using (match_id)""",
-    "order_errors": f"""with {_EVENTS}, b as (select match_id, seq, ts, lag(ts) over (partition by match_id order by seq) as before from ev)
-select *, 'Events must be chronologically ordered: ' || ts || ' after ' || before as message from b where ts < before""",
+    "order_errors": """with b as (select o_custkey as match_id, o_orderkey as seq, epoch_us(o_orderdate) / 1e6::double as ts, lag(epoch_us(o_orderdate) / 1e6::double) over (partition by o_custkey order by o_orderkey) as before from orders)
+select *, 'Event timestamp must be non-decreasing' as message from b where ts < before""",
+    "load_errors": f"with {_EVENTS}, {_MIXED} select match_id, seq, 'Event ' || seq || ': unknown winner ' || winner as message from mx where winner = 'unknown'",
+    "published_events": f"with {_EVENTS} select match_id, rn - 1 as place, round(ts, 6) as timestamp, winner from known",
+    # Row by row in order of time, with the time of the last event found.
+    "motion_events_by_jumps": """with recursive h as (
+  select event_id as idx, epoch_us(ts) / 1e6::double as t, value, row_number() over (order by ts, event_id) as k
+  from events where value >= 40 and event_id > (select min(event_id) from events)),
+r as (
+  select k, idx, t, value, t as last, true as found from h where k = 1
+  union all
+  select h.k, h.idx, h.t, h.value, case when h.t - r.last >= 600 then h.t else r.last end, h.t - r.last >= 600 from r join h on h.k = r.k + 1)
+select 1::bigint as clip, idx, round(t, 6) as t, value from r where found""",
     "stream_ordered_score": _timeline(3).replace("from events)", "from events where not (event_id % 41 = 0 and ts < timestamp '2024-01-15'))").replace("select match_id, seq, ts, set_number", "select match_id, seq, ts, false as late, set_number")
     + """ union all
   select user_id, event_id, epoch_us(ts) / 1e6::double, true, null, null, null, null, null, null, null

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Callable
 
@@ -12,7 +13,7 @@ from cadentia.functions import boxes, scalars
 from cadentia.operators import consensus, evaluate, events, rectangles, score, segments, signal
 from cadentia.plans import oracles
 from cadentia.plans.rules import BOX_FORMS, CORRECTION_FORMS, GT_RULES, LEAST_IOU, RULES
-from cadentia.sources import documents, drafts, stream
+from cadentia.sources import documents, drafts, publish, stream
 from cadentia.sources.tables import epoch_micros, known_events, match_events, seconds, table, winner_of
 from cadentia.sources.tables import signal as sampled
 from cadentia.streaming import ordered, windows
@@ -90,7 +91,23 @@ def match_states(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def order_errors(spark: SparkSession, d: str) -> DataFrame:
-    return score.order_errors(match_events(_events(spark, d)))
+    """Orders as events of their customers' matches, in the order of their keys, whose dates go back."""
+    return score.order_errors(table(spark, d, "orders").select(F.col("o_custkey").alias("match_id"), F.col("o_orderkey").alias("seq"), seconds(F.col("o_orderdate")).alias("ts")))
+
+
+@query
+def load_errors(spark: SparkSession, d: str) -> DataFrame:
+    return score.load_errors(_mixed_events(spark, d))
+
+
+@query
+def published_events(spark: SparkSession, d: str) -> DataFrame:
+    """What readers get after a load of known events and one of all events, which has unknown winners and so changes nothing."""
+    root, events = f"{stream.shared_dir(spark)}/published-{uuid.uuid4().hex}", match_events(_events(spark, d))
+    publish.publish(events.where("winner <> 'unknown'"), root, score.load_errors)
+    with contextlib.suppress(ValueError):
+        publish.publish(events, root, score.load_errors)
+    return rounded(score.exported(publish.published(spark, root)), "timestamp")
 
 
 @query
@@ -220,6 +237,14 @@ def motion_events(spark: SparkSession, d: str) -> DataFrame:
     return rounded(found.select("clip", "idx", "t", "value"), "t")
 
 
+@query
+def motion_events_by_jumps(spark: SparkSession, d: str) -> DataFrame:
+    """Motion events of all customers' values as one clip, in order of time, by pointer doubling."""
+    e = _events(spark, d).select(F.lit(1).cast("long").alias("clip"), F.col("event_id").alias("idx"), seconds(F.col("ts")).alias("t"), F.col("value").alias("v"))
+    found = events.refractory_by_jumps(e, 40.0, 600.0)
+    return rounded(found.select("clip", "idx", "t", "value"), "t")
+
+
 # Evaluation
 
 

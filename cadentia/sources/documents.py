@@ -55,7 +55,7 @@ def read_states(spark: SparkSession, path: str) -> DataFrame:
 
 def read_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """path and document (VARIANT) of each file of JSON, whatever it holds; a file that is no JSON has a null document."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("document"))
 
 
