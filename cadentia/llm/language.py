@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadentia.llm.common import in_fold, text_slices
+from cadentia.llm.common import in_fold, small_or_plain, text_slices
 
 #: Lengths of the byte n-grams, and buckets that they are hashed to.
 LENGTHS, BUCKETS = (2, 3, 4), 1 << 16
@@ -124,11 +124,10 @@ class LanguageModel:
 def train(docs: DataFrame, folds: int = 4, held_out: int = 2, rows: int = TRAINING_ROWS) -> LanguageModel:
     """Learn from text and lang of rows outside the held-out fold, at most about ``rows`` of each language."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~in_fold(F.col("doc_id"), folds, held_out))
-    totals = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
-    if not totals:
-        return LanguageModel.trained({})
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, min(1.0, rows / n))]), F.col("lang"))
-    drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30)) < share * float(1 << 30)).select("lang", "text")
+    totals = known.groupBy("lang").agg(F.count("*").alias("n"))
+    drawn = known.join(small_or_plain(totals, totals.count()), "lang")
+    # By id and text, of which one of a kind is learned from: repeated rows don't add to the bound.
+    drawn = drawn.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(9)), F.lit(1 << 30)) < rows / F.col("n") * float(1 << 30)).select("lang", "text").dropDuplicates()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -142,7 +141,7 @@ def train(docs: DataFrame, folds: int = 4, held_out: int = 2, rows: int = TRAINI
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([at.astype("<i4").tobytes()], pa.binary()), pa.array([own[at].astype("<i8").tobytes()], pa.binary())], names=["lang", "at", "n"])
 
     counts: dict[str, np.ndarray] = {}
-    for r in drawn.repartition(6).mapInArrow(count, "lang string, at binary, n binary").collect():
+    for r in drawn.mapInArrow(count, "lang string, at binary, n binary").collect():
         own = counts.setdefault(r["lang"], np.zeros(BUCKETS, np.int64))
         own[np.frombuffer(r["at"], "<i4")] += np.frombuffer(r["n"], "<i8")
     return LanguageModel.trained(counts)
@@ -168,7 +167,7 @@ def identify(spark: SparkSession, docs: DataFrame, folds: int = 4, held_out: int
 
     A null text or one without a letter is 'und' with score 0. If no row can be learned from, all are.
     Null and repeated ids are rows like others (a null id is not held out); an empty table gives no rows;
-    columns other than doc_id, text and lang are ignored, and lang is only learned from.
+    columns other than doc_id, text and lang are ignored, and lang is only learned from. Texts of any length are judged whole.
     """
     model = train(docs, folds, held_out)
     rows = docs.select("doc_id", in_fold(F.col("doc_id"), folds, held_out).alias("held_out"), F.col("text").alias("__text"))

@@ -87,6 +87,7 @@ RESERVED = r"all[^\p{L}\p{N}]+rights[^\p{L}\p{N}]+reserved\b\.?"
 def canonical(text: Column) -> Column:
     """Canonical form of a text; null for null, a single blank pair or empty for a text without letters and digits."""
     out = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    out = F.regexp_replace(out, "\r\n?", "\n")  # line ends of any system
     out = F.regexp_replace(out, DIVIDED, "\n")
     out = F.regexp_replace(out, COPYRIGHT_LINE, "")
     out = F.regexp_replace(out, RESERVED, "")
@@ -121,7 +122,8 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, known: DataFrame | None
 
     ``known`` has license_id and license_text; of several licences with one canonical form the first id in
     code point order counts. A null text has a null digest; a text without letters or digits matches
-    nothing, nor does such a licence text. Repeated rows give repeated rows; other columns are ignored.
+    nothing, nor does such a licence text. Texts of any length are taken whole. Repeated rows give repeated rows; an empty table gives
+    none; other columns are ignored.
     """
     known = known_licenses(spark) if known is None else known
     form = canonical(F.col("license_text"))
@@ -137,6 +139,7 @@ _SQL_RESERVED = "all rights reserved."
 
 def _sql_canonical(text: str) -> str:
     out = f"translate({text}, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    out = f"regexp_replace({out}, '\\r\\n?', chr(10), 'g')"
     out = f"regexp_replace({out}, '{_SQL_COPYRIGHT_LINE}', '', 'g')"
     out = f"replace({out}, '{_SQL_RESERVED}', '')"
     out = f"('  ' || regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', '  ', 'g') || '  ')"

@@ -88,7 +88,7 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS
     doc_id, source, size, source_size, target, taken and copies (times that the document appears, the last
     one maybe in part). Words are runs of characters other than space and 0x09-0x0D; a null text has none.
     Null sources are one source; null ids share one key. Rows of a source with one key (repeated ids) that
-    the cut falls on share its words evenly. An empty table gives no rows. Other columns are ignored.
+    the cut falls on share its words evenly. Texts of any length are counted whole. An empty table gives no rows. Other columns are ignored.
     """
     slim = written(spark, docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _key(F.col("doc_id"), seed).alias("key")), "mix-rows")
     plan, rows = _decided(spark, slim, weights, share, most)
@@ -138,7 +138,7 @@ c as (
          round(e.target - e.epochs * e.source_size)::bigint as rest,
          coalesce(sum(d.size) over (partition by d.source order by d.key, d.doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as earlier
   from d join e on d.source is not distinct from e.source)
-select doc_id, source, size, source_size, round(target, 3) as target,
+select doc_id, source, size, source_size, target,
        (epochs * size + greatest(0, least(size, rest - earlier)))::bigint as taken,
        (epochs + case when rest > earlier and (rest - earlier >= size or rest - earlier > 0) then 1 else 0 end)::int as copies
 from c

@@ -28,7 +28,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(spark, table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "source", "size", "source_size", F.round("target", 3).alias("target"), "taken", "copies")
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "taken", "copies")
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
