@@ -280,6 +280,7 @@ ORACLES: dict[str, str] = {
     "segments_noflush": f"with recursive {_E}, {_rules('en', 'e', RULES, 'hs', False)} {_SHOW} hs",
     "segments_fused": f"with recursive {_E}, {_FUSED}, {_rules('fu', 'x', RULES, 'hs')} {_SHOW} hs",
     "segments_split": f"with recursive {_SPLIT} select clip, round(t_start, 6) as t_start, round(t_end, 6) as t_end, i_start, i_end, array_to_string(flags, '|') as flags from sp",
+    "segments_split_sql": f"with recursive {_SPLIT} select clip, round(t_start, 6) as t_start, round(t_end, 6) as t_end, i_start, i_end, array_to_string(flags, '|') as flags from sp",
     "segments_final": f"with recursive {_FINAL}",
     "stream_segments": f"with recursive {_SIGNAL}, lv as (select clip, idx, t, least(v / 100, 1) as x from sg), {_rules('lv', 'x', RULES, 'hs', False)} select clip, round(t_start, 6) as t_start, round(t_end, 6) as t_end from hs",
     "score_timeline_sets": _timeline(5),
@@ -301,6 +302,11 @@ r as (
   union all
   select h.k, h.idx, h.t, h.value, case when h.t - r.last >= 600 then h.t else r.last end, h.t - r.last >= 600 from r join h on h.k = r.k + 1)
 select 1::bigint as clip, idx, round(t, 6) as t, value from r where found""",
+    "review_in_sql": f"""with {_POINTS}, n as (select *, lead(t_start) over v as n0, lead(t_end) over v as n1 from pt window v as (partition by clip order by t_start, seq))
+select clip, seq, case when confidence >= 0.85 then 'auto' when confidence >= 0.60 then 'review' else 'block' end as bucket, winner = 'unknown' or confidence < 0.85 as needs, 'pt_' || lpad(seq::varchar, greatest(4, length(seq::varchar))::int, '0') as point_id,
+       lpad((floor(t_end - t_start)::bigint // 60)::varchar, 2, '0') || ':' || lpad((floor(t_end - t_start)::bigint % 60)::varchar, 2, '0') as lasts,
+       round(case when least(t_end, n1) > greatest(t_start, n0) then (least(t_end, n1) - greatest(t_start, n0)) / (greatest(t_end, n1) - least(t_start, n0)) else 0 end, 6) as iou,
+       round(case when seq % 3 > 0 then confidence / (seq % 3) else 0 end, 6) as part, winner as label from n""",
     "stream_ordered_score": _timeline(3).replace("from events)", "from events where not (event_id % 41 = 0 and ts < timestamp '2024-01-15'))").replace("select match_id, seq, ts, set_number", "select match_id, seq, ts, false as late, set_number")
     + """ union all
   select user_id, event_id, epoch_us(ts) / 1e6::double, true, null, null, null, null, null, null, null

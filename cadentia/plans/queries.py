@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cadentia.functions import boxes, scalars
+from cadentia.functions import boxes, scalars, sql
 from cadentia.operators import consensus, evaluate, events, rectangles, score, segments, signal
 from cadentia.plans import oracles
 from cadentia.plans.rules import BOX_FORMS, CORRECTION_FORMS, GT_RULES, LEAST_IOU, RULES
@@ -220,6 +220,17 @@ def segments_split(spark: SparkSession, d: str) -> DataFrame:
     return _shown(segments.split(s, segments.hysteresis(s, RULES), RULES).withColumn("flags", F.concat_ws("|", "flags")))
 
 
+@query
+def segments_split_sql(spark: SparkSession, d: str) -> DataFrame:
+    """The same pieces by the table function."""
+    sql.register(spark, RULES)
+    s = stream.written(spark, _conditioned(spark, d), "signal")
+    inside = segments.within(s, segments.hysteresis(s, RULES))
+    inside.createOrReplaceTempView("samples_of_segments")
+    pieces = spark.sql("SELECT * FROM split_segments(TABLE(samples_of_segments) PARTITION BY (clip, i_start) ORDER BY idx)")
+    return _shown(pieces.withColumn("flags", F.concat_ws("|", "flags")))
+
+
 @query
 def segments_final(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_shown(segments.segmented(stream.written(spark, _conditioned(spark, d), "signal"), RULES).withColumn("flags", F.concat_ws("|", "flags"))), "confidence")
@@ -282,7 +293,7 @@ def unmatched_gt(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _clip_metrics(spark: SparkSession, d: str) -> DataFrame:
-    pred, gt = _sides(spark, d)
+    pred, gt = (stream.written(spark, side, "side") for side in _sides(spark, d))  # each is read three times
     return evaluate.clip_metrics(pred, gt, evaluate.matched(evaluate.candidates(pred, gt, LEAST_IOU)))
 
 
@@ -477,6 +488,16 @@ def time_format(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", scalars.minutes_seconds(F.col("value") * 60).alias("shown"), scalars.point_id(F.col("event_id")).alias("point_id"))
 
 
+@query
+def review_in_sql(spark: SparkSession, d: str) -> DataFrame:
+    """Points to review and overlaps of neighbouring ones, in SQL with the library's functions."""
+    sql.register(spark)
+    order = Window.partitionBy("clip").orderBy("t_start", "seq")
+    _points(spark, d).withColumns({"n0": F.lead("t_start").over(order), "n1": F.lead("t_end").over(order)}).createOrReplaceTempView("points_in_sql")
+    return spark.sql("""SELECT clip, seq, review_bucket(confidence) AS bucket, needs_review(winner, confidence) AS needs, point_id(seq) AS point_id, minutes_seconds(t_end - t_start) AS lasts,
+      round(interval_iou(t_start, t_end, n0, n1), 6) AS iou, round(safe_divide(confidence, seq % 3), 6) AS part, label_of('it is ' || upper(winner)) AS label FROM points_in_sql""")
+
+
 @query
 def label_normalize(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.lit("  The winner is "), F.when(F.col("event_id") % 3 == 0, "PLAYER_A ").when(F.col("event_id") % 3 == 1, "player_b, not player_a").otherwise("Player_B"), F.lit("."))

@@ -4,9 +4,11 @@ import random
 
 import numpy as np
 import pytest
+from cadentia.functions import boxes, scalars, sql
 from cadentia.operators import segments, signal
 from cadentia.operators.segments import Rules
 from cadentia.streaming.replay import live_segments
+from pyspark.sql import functions as F
 
 RULES = Rules(high=0.6, low=0.3, max_gap=2.0, min_dur=1.0, long=9.0, split_gap=0.8, split_low_factor=0.9, min_split=2.0, artefact=2.8, tail_first=5.0)
 
@@ -101,6 +103,31 @@ def test_split_confidence_and_merge(frame):
     assert all(x[0] != y[0] or x[2] <= y[1] for x, y in zip(spans, spans[1:], strict=False)) and len(merged) <= len(got)
 
 
+@pytest.mark.parametrize("changes", [{}, {"min_split": 0.5, "min_dur": 0.6}, {"min_split": 4.0, "split_gap": 0.2}, {"long": 2.0, "split_low_factor": 1.5}])
+def test_table_function_splits_like_windows(spark, frame, changes):
+    r = Rules(**{**RULES.__dict__, **changes})
+    sql.register(spark, r)
+    found = segments.hysteresis(frame, r)
+    segments.within(frame, found).createOrReplaceTempView("samples_to_split")
+    got = spark.sql("SELECT * FROM split_segments(TABLE(samples_to_split) PARTITION BY (clip, i_start) ORDER BY idx)").collect()
+    shown = lambda rows: sorted((x.clip, x.i_start, x.i_end, x.t_start, x.t_end, tuple(x.flags)) for x in rows)
+    assert shown(got) == shown(segments.split(frame, found, r).collect()) and len(got) > 20
+    assert spark.sql("SELECT * FROM split_segments(TABLE(SELECT * FROM samples_to_split WHERE false) PARTITION BY (clip, i_start) ORDER BY idx)").count() == 0
+
+
+def test_functions_in_sql_are_those_of_the_library(spark):
+    sql.register(spark)
+    spark.createDataFrame([(0.1, "unknown", 3725.9, 7), (0.6, "player_a", 59.99, 12345), (0.85, "player_b", 0.0, 1), (None, None, None, None)], "c double, w string, t double, n long").createOrReplaceTempView("in_sql")
+    a = spark.sql("SELECT minutes_seconds(t), review_bucket(c), needs_review(w, c), label_of(concat(' x ', upper(w))), safe_divide(t, c - 0.6), interval_iou(0, t, 10, 100), point_id(n) FROM in_sql")
+    c = {k: F.col(k) for k in "cwtn"}
+    b = spark.table("in_sql").select(
+        scalars.minutes_seconds(c["t"]), scalars.review_bucket(c["c"]), scalars.needs_review(c["w"], c["c"]), scalars.label_of(F.concat(F.lit(" x "), F.upper(c["w"]))), scalars.safe_divide(c["t"], c["c"] - 0.6),
+        boxes.interval_iou(F.lit(0.0), c["t"], F.lit(10.0), F.lit(100.0)), scalars.point_id(c["n"]),
+    )
+    assert [tuple(r) for r in a.collect()] == [tuple(r) for r in b.collect()]
+    assert "Python" not in a._jdf.queryExecution().executedPlan().toString()
+
+
 def test_merge_rules(spark):
     def merge(*spans):
         rows = [(1, float(a), float(b), 0.1 * k + 0.4, ["split_long"]) for k, (a, b) in enumerate(spans)]
