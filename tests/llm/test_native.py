@@ -157,6 +157,14 @@ def test_license_wrapped_at_any_width(spark):
     assert len(found) == len(rows) and {r.doc_id for r in found if r.license_id != known[r.doc_id // 1000][0]} == set()
 
 
+@pytest.mark.parametrize("line_end", ["\r", "\r\n", "\n"])
+def test_license_with_line_ends_of_any_system(spark, line_end):
+    known = licenses.known_licenses(spark).collect()
+    rows = [(n, ("Copyright (c) 2020 Some One\n\n" + t).replace("\n", line_end)) for n, (_, t) in enumerate(known)]
+    found = licenses.scan_licenses(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == len(rows) and {r.doc_id for r in found if r.license_id != known[r.doc_id][0]} == set()
+
+
 def test_license_notices(spark):
     mit = licenses.KNOWN[0][1]
     notices = [
