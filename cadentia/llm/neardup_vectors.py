@@ -26,6 +26,8 @@ from cadentia.llm.vectors import unpacked, usable
 THRESHOLD = 0.9
 #: Vectors in a block (about), cells at most, rows that the centres are chosen from at most, blocks in a stripe.
 BLOCK, CELLS, SAMPLE, STRIPE = 2048, 512, 2000, 32
+#: Tasks at most that pairs of blocks are dealt to; a task takes several blocks one after the other.
+MOST_TASKS = 20_000
 #: Largest radius of a tree's levels; each further level has half of it.
 RADII = (0.5, 0.25, 0.125)
 _SLACK = 1e-7
@@ -257,6 +259,17 @@ def near_duplicate_vectors(spark: SparkSession, embeddings: DataFrame, threshold
     return joined.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
+def near_blocks(blocks_of: DataFrame, near: DataFrame, blocks: int) -> DataFrame:
+    """a, b and step: pairs of blocks (b, cell) whose cells are near each other (a_cell, b_cell; at most the square of ``CELLS``), each once, a block with itself included.
+
+    Of the two orders of a pair the one counts in which b is within the half of all blocks that follow a in a circle, ``step`` places on.
+    """
+    half = blocks // 2
+    pairs = blocks_of.select(F.col("b").alias("a"), F.col("cell").alias("a_cell")).join(F.broadcast(near), "a_cell").join(blocks_of.withColumnRenamed("cell", "b_cell"), "b_cell")
+    pairs = pairs.withColumn("step", F.pmod(F.col("b") - F.col("a"), F.lit(blocks)))
+    return pairs.where((F.col("step") <= half) & ((F.col("step") < blocks - half) | (F.col("a") < half))).select("a", "b", "step")
+
+
 def _links(spark: SparkSession, points: DataFrame, centres: np.ndarray, n: int, dim: int, threshold: float) -> DataFrame:
     """point, links and root of what each task finds."""
     centre_of = spark.sparkContext.broadcast(centres)
@@ -290,17 +303,12 @@ def _links(spark: SparkSession, points: DataFrame, centres: np.ndarray, n: int,
     near = names[np.argwhere(apart - radius[:, None] - radius <= far + 1e-6)].tolist()
     packs = written(spark, _packed_blocks(placed.withColumn("own", block), dim), "cover-blocks")
     blocks_of = packs.select(F.col("own").alias("b"), "cell")
-    # Block a meets the half of all blocks that follow it in a circle, as far as their cells are near.
-    half = blocks // 2
-    steps = F.explode(F.sequence(F.lit(0), F.lit(half))).alias("step")
-    tiles = blocks_of.select(F.col("b").alias("a"), F.col("cell").alias("a_cell"), steps).where((F.col("step") < blocks - half) | (F.col("a") < half))
-    tiles = tiles.withColumn("b", F.pmod(F.col("a") + F.col("step"), F.lit(blocks)).cast("int")).join(blocks_of.withColumnRenamed("cell", "b_cell"), "b")
-    tiles = tiles.join(F.broadcast(spark.createDataFrame(near, "a_cell int, b_cell int")), ["a_cell", "b_cell"])
+    tiles = near_blocks(packs.select(F.col("own").alias("b"), "cell"), spark.createDataFrame(near, "a_cell int, b_cell int"), blocks)
     tiles = tiles.withColumn("stripe", F.floor(F.col("step") / STRIPE).cast("int")).select("a", "b", "stripe", "step")
     columns = ["own", "n", "dim", "ids", "matrix", "weight", "nets"]
     held = tiles.select("a", "stripe").distinct().join(packs.select(F.col("own").alias("a"), *columns), "a").withColumn("step", F.lit(-1))
     shown = tiles.join(packs.select(F.col("own").alias("b"), *columns), "b").select("a", "stripe", "step", *columns)
-    work = held.select("a", "stripe", "step", *columns).unionByName(shown).repartition(max(blocks, 12), "a", "stripe").sortWithinPartitions("a", "stripe", "step")
+    work = held.select("a", "stripe", "step", *columns).unionByName(shown).repartition(min(max(blocks, 12), MOST_TASKS), "a", "stripe").sortWithinPartitions("a", "stripe", "step")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, tree, links = None, None, Links()
