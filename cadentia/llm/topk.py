@@ -26,6 +26,8 @@ SCALE, K, QUERY_STEP = 64.0, 20, 20
 BLOCK, QUERIES, STRIPE, CHUNK = 2048, 4096, 64, 512
 #: Rows that the rotation is fitted on at most, and the share of their squared length that leading axes hold.
 SAMPLE, LEADING = 2000, 0.6
+#: Tasks at most that blocks of queries and stripes are dealt to; a task takes several of these one after the other.
+MOST_TASKS = 20_000
 _EXACT, _LONG = 2.0**53, 2**63 - 1
 
 
@@ -136,6 +138,21 @@ class Search:
         return pa.RecordBatch.from_arrays([pa.array(self.ids[q], pa.int64()), pa.array(c, pa.int64()), pa.array([int(min(max(v, -(2.0**63)), 2.0**63 - 1024)) for v in s.tolist()], pa.int64())], names=["query_id", "vec_id", "score"])
 
 
+def reached_pairs(candidates: DataFrame, queries: DataFrame, stripes: int) -> DataFrame:
+    """block, q and stripe: which blocks of candidates (block, length) meet which blocks of queries (block, needed): those that their longest vector is long enough for.
+
+    Blocks of queries are numbered by what they need, so what a block of candidates reaches is a beginning of them, whose end one
+    sort of both kinds' lengths, one row a block, tells. There are as many rows as pairs that meet.
+    """
+    ranked = queries.select(F.col("block").alias("q"), "needed", F.row_number().over(Window.orderBy("needed", "block")).alias("place"))
+    asked = ranked.select(F.col("needed").alias("at"), F.lit(0).alias("side"), F.lit(None).cast("int").alias("block"))
+    long = candidates.select((F.col("length") * (1 + 1e-8) + 1e-8).alias("at"), F.lit(1).alias("side"), "block")
+    so_far = Window.orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
+    met = asked.unionByName(long).withColumn("reach", F.sum(1 - F.col("side")).over(so_far)).where("side = 1 and reach > 0")
+    met = met.select("block", F.explode(F.sequence(F.lit(1), F.col("reach").cast("int"))).alias("place")).join(ranked, "place")
+    return met.select("block", "q", F.pmod("block", F.lit(stripes)).cast("int").alias("stripe"))
+
+
 def top_inner_products(spark: SparkSession, embeddings: DataFrame, k: int = K, query_step: int = QUERY_STEP, scale: float = SCALE) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` other vectors of largest inner product for every query.
 
@@ -180,15 +197,10 @@ def top_inner_products(spark: SparkSession, embeddings: DataFrame, k: int = K, q
 
     queries = written(spark, queries.mapInArrow(with_bars, "block int, n int, dim int, ids binary, matrix binary, bar binary, needed double"), "topk-queries")
     columns = ["side", "block", "n", "dim", "ids", "matrix", "bar"]
-    # A number and a length for each block of queries; a block of candidates goes where its longest vector is long enough.
-    asking = queries.select("block", "needed").orderBy("block").collect()
-    length = F.col("length") * (1 + 1e-8) + 1e-8
-    reached = F.filter(F.sequence(F.lit(0), F.lit(len(asking) - 1)), lambda i: F.get(F.lit([r["needed"] for r in asking]).cast("array<double>"), i) <= length) if asking else F.lit([]).cast("array<int>")
-    dealt = queries.withColumn("side", F.lit(0)).select(*columns, F.col("block").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe"))
-    offered = candidates.withColumn("side", F.lit(1)).withColumn("bar", F.lit(None).cast("binary"))
-    offered = offered.select(*columns, F.explode(reached).alias("i")).withColumn("q", F.get(F.lit([r["block"] for r in asking]).cast("array<int>"), F.col("i")))
-    offered = offered.select(*columns, "q", F.pmod("block", F.lit(stripes)).cast("int").alias("stripe"))
-    tasks = dealt.unionByName(offered).repartition(max(1, len(asking)) * stripes, "q", "stripe").sortWithinPartitions("q", "stripe", "side", "block")
+    pairs = written(spark, reached_pairs(candidates, queries, stripes), "topk-pairs")
+    dealt = pairs.select("q", "stripe").distinct().join(queries.withColumn("q", F.col("block")), "q").select(F.lit(0).alias("side"), *columns[1:], "q", "stripe")
+    offered = candidates.join(pairs, "block").select(F.lit(1).alias("side"), *columns[1:6], F.lit(None).cast("binary").alias("bar"), "q", "stripe")
+    tasks = dealt.unionByName(offered).repartition(min(query_blocks * stripes, MOST_TASKS), "q", "stripe").sortWithinPartitions("q", "stripe", "side", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, search, over = None, None, False

@@ -115,6 +115,20 @@ def test_top_k(spark, monkeypatch, block):
     assert sorted((r.query_id, r.rank, r.vec_id) for r in topk.top_inner_products(spark, few).collect()) == [(0, 1, 21), (0, 2, 20), (20, 1, 21), (20, 2, 0)]
 
 
+def test_rows_of_block_pairs_are_those_that_meet(spark):
+    """Descriptors grow with the pairs that meet, not with all pairs: ten times the blocks of separate cells give ten times the rows."""
+    for blocks in (1, 2, 7, 40, 400):
+        cell = [b // 4 for b in range(blocks)]
+        near = [(c, c) for c in sorted(set(cell))] + [(0, 1), (1, 0)] * (blocks > 4)
+        found = neardup_vectors.near_blocks(spark.createDataFrame(list(enumerate(cell)), "b int, cell int"), spark.createDataFrame(near, "a_cell int, b_cell int"), blocks).collect()
+        want = {frozenset((a, b)) for a in range(blocks) for b in range(blocks) if (cell[a], cell[b]) in near}
+        assert len(found) == len(want) == len({frozenset((r.a, r.b)) for r in found}) and {frozenset((r.a, r.b)) for r in found} == want
+        assert len(found) <= 3 * blocks + 16 and all(r.step == (r.b - r.a) % blocks for r in found)
+    lengths, needs = [9.0, 7.0, 7.0, 2.0, 0.0], [(5, 8.0), (6, 7.0), (9, float("-inf")), (11, 100.0)]
+    met = topk.reached_pairs(spark.createDataFrame(list(enumerate(lengths)), "block int, length double"), spark.createDataFrame(needs, "block int, needed double"), 2).collect()
+    assert sorted((r.block, r.q) for r in met) == sorted((b, q) for b, length in enumerate(lengths) for q, need in needs if need <= length) and all(r.stripe == r.block % 2 for r in met)
+
+
 def test_top_k_needs_no_short_blocks(spark, monkeypatch):
     """With lengths far apart, the bars of the longest vectors rule out most blocks; results stay exact."""
     monkeypatch.setattr(topk, "BLOCK", 32)
