@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadentia.functions.boxes import aspect_prior, box_iou, centre_prior
+from cadentia.functions.boxes import aspect_prior, box_iou, centre_prior, recovery_rank
 
 
 def ranked_boxes(boxes: DataFrame, frame_w: float, frame_h: float) -> DataFrame:
@@ -23,3 +23,45 @@ def consensus_boxes(boxes: DataFrame, frame_w: int, frame_h: int, expand_top: fl
     up = F.greatest(F.lit(0), F.col("y") - F.bround(F.col("h") * expand_top).cast("int"))
     best = best.withColumn("top", up)
     return best.select("clip", "seq", "x", F.col("top").alias("y"), "w", F.least(F.lit(frame_h) - F.col("top"), F.col("h") + F.col("y") - F.col("top")).alias("h"))
+
+
+# Fixed values of the rule for boxes that a detector cut off at a side.
+LEAST_ASPECT, LEAST_WIDER, LEAST_BETTER_SHAPE, MOST_WORSE_SCORE, CLEARLY = 2.95, 0.20, 0.08, 0.04, 1.10
+EDGE_PIXELS, EDGE_SHARE = 6, 0.02
+
+
+def sides_to_repair(x: Column, w: Column, h: Column, dx: Column, dw: Column, left_score: Column, right_score: Column) -> tuple[Column, Column]:
+    """Whether the left and the right side of a refined box look cut off: the box is too narrow for a table and ends where the detector's box does.
+
+    Where it ends at both sides, the one with the clearly stronger continuation counts, or both if neither is.
+    """
+    slack = F.greatest(F.lit(EDGE_PIXELS), (dw * EDGE_SHARE).cast("int"))
+    at_left, at_right = F.abs(x - dx) <= slack, F.abs((x + w) - (dx + dw)) <= slack
+    narrow = w / F.greatest(F.lit(1.0), h.cast("double")) < LEAST_ASPECT
+    more_left, more_right = left_score > right_score * CLEARLY, right_score > left_score * CLEARLY
+    return narrow & at_left & (~at_right | more_left | ~more_right), narrow & at_right & (~at_left | ~more_left)
+
+
+def recovered(detections: DataFrame, repairs: DataFrame, frame_w: int, frame_h: int, cx: float = 0.5, cy: float = 0.55) -> DataFrame:
+    """clip, seq, x, y, w, h, score and side of each detection: the refined box, or the one of a repaired side that replaces it.
+
+    detections: clip, seq, the refined box x, y, w, h and its score, the detector's dx and dw, and how well the table goes on at
+    either side, left_score and right_score. repairs: clip, seq, side (left or right), x, y, w, h and score of boxes refined in a search that
+    reaches farther to a side. A repair counts if its side is to be repaired, it is wider and better in shape, and its score is not much
+    worse; of those that rank above the refined box the first in rank is taken, the left one if ranks are equal. Detections without
+    such a repair stay as they are, with a null side.
+    """
+    rank = lambda x, y, w, h, score: recovery_rank(aspect_prior(w, h), score, centre_prior(x, y, w, h, frame_w, frame_h, cx, cy))
+    aspect = lambda w, h: w / F.greatest(F.lit(1.0), h.cast("double"))
+    own = [F.col(c) for c in ("x", "y", "w", "h", "score")]
+    left, right = sides_to_repair(F.col("x"), F.col("w"), F.col("h"), F.col("dx"), F.col("dw"), F.col("left_score"), F.col("right_score"))
+    rows = detections.select("clip", "seq", *own, left.alias("left"), right.alias("right"), rank(*own).alias("own_rank"))
+    offered = repairs.select("clip", "seq", "side", *[c.alias(f"r_{n}") for c, n in zip(own, ("x", "y", "w", "h", "score"), strict=True)])
+    r = [F.col(f"r_{n}") for n in ("x", "y", "w", "h", "score")]
+    wanted = (F.col("side") == "left") & F.col("left") | (F.col("side") == "right") & F.col("right")
+    wider = aspect(r[2], r[3]) > F.greatest(F.lit(LEAST_ASPECT), aspect(F.col("w"), F.col("h")) + LEAST_WIDER)
+    better = (aspect_prior(r[2], r[3]) >= aspect_prior(F.col("w"), F.col("h")) + LEAST_BETTER_SHAPE) & (r[4] >= F.col("score") - MOST_WORSE_SCORE)
+    both = rows.join(offered, ["clip", "seq"], "left").withColumn("rank", rank(*r))
+    taken = F.when(wanted & wider & better & (F.col("rank") > F.col("own_rank")), F.struct("rank", (F.col("side") == "left").alias("is_left"), *[c.alias(n) for c, n in zip(r, ("x", "y", "w", "h", "score"), strict=True)], "side"))
+    best = both.groupBy("clip", "seq").agg(F.max(taken).alias("best"), F.first(F.struct("x", "y", "w", "h", "score")).alias("own"))
+    return best.select("clip", "seq", *[F.coalesce(F.col(f"best.{c}"), F.col(f"own.{c}")).alias(c) for c in ("x", "y", "w", "h", "score")], F.col("best.side").alias("side"))

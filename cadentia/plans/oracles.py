@@ -390,6 +390,24 @@ select epoch_us(min(ts)) as from_us, epoch_us(max(ts) + interval 8 hours) as to_
       r as (select *, {_overlap(*'xywh', 'mx', 'my', 'mw', 'mh')} * 0.25 + {_CENTRE} * 0.25 + score * 0.25 + {_ASPECT} * 0.25 as rk from m),
       b as (select *, row_number() over (partition by clip order by rk desc, seq) as place, greatest(0, y - round_even(h * 0.02::double, 0)::int) as top from r)
       select clip, seq, x, top as y, w, least(720 - top, h + y - top) as h from b where place = 1""",
+    "recovered_boxes": f"""with li as (
+  select l_orderkey as clip, l_orderkey * 10 + l_linenumber as seq, (l_partkey * 7 % 900)::int as x, (l_suppkey * 11 % 600)::int as y, trunc(l_quantity * 8 + 60)::int as w, trunc(l_quantity * 3 + 20)::int as h,
+         round(l_discount * 5, 2) as score, round(l_tax * 5, 2) as ls, round(l_discount * 4, 2) as rs
+  from (select l_orderkey, l_linenumber, min(l_partkey) as l_partkey, min(l_suppkey) as l_suppkey, min(l_quantity) as l_quantity, min(l_discount) as l_discount, min(l_tax) as l_tax from lineitem group by all)),
+b as (select *, x - (seq % 3 * 4)::int as dx, w + (seq % 5 * 4)::int as dw, trunc(w * (1 + seq % 4) / 4)::int as more, round(score - seq % 3 * 0.03::double, 2) as rscore from li),
+t as (select *, abs(x - dx) <= greatest(6, trunc(dw * 0.02::double)::int) as at_left, abs(x + w - dx - dw) <= greatest(6, trunc(dw * 0.02::double)::int) as at_right, w / greatest(1, h)::double < 2.95 as narrow, {_ASPECT} as shape, {_CENTRE} as centre from b),
+s as (select *, narrow and case when at_left and at_right then case when ls > rs * 1.1::double then true when rs > ls * 1.1::double then false else true end else at_left end as left_side,
+             narrow and case when at_left and at_right then case when ls > rs * 1.1::double then false else true end else at_right end as right_side from t),
+o as (select clip, seq, shape * 0.55 + score * 0.2::double + centre * 0.25 as own_rank, shape as own_shape, score as own_score, w / greatest(1, h)::double as own_aspect, left_side, right_side from s),
+r as (
+  select clip, seq, 0 as k, 'left' as side, greatest(0, x - more) as x, y, w + more as w, h, rscore as score from s where left_side
+  union all select clip, seq, 1, 'right', x, y, w + more, h, rscore from s where right_side),
+q as (select *, {_ASPECT} * 0.55 + score * 0.2::double + {_CENTRE} * 0.25 as rank, {_ASPECT} as shape from r),
+f as (
+  select q.*, row_number() over (partition by q.clip, q.seq order by q.rank desc, k) as place from q join o on q.clip = o.clip and q.seq = o.seq
+  where w / greatest(1, h)::double > greatest(2.95::double, own_aspect + 0.2::double) and shape >= own_shape + 0.08::double and score >= own_score - 0.04::double and rank > own_rank)
+select b.clip, b.seq, coalesce(f.x, b.x) as x, coalesce(f.y, b.y) as y, coalesce(f.w, b.w) as w, coalesce(f.h, b.h) as h, round(coalesce(f.score, b.score), 6) as score, f.side
+from b left join f on f.clip = b.clip and f.seq = b.seq and f.place = 1""",
     "roi_parse": _ROI,
     "corrections": _CORRECTIONS,
     "json_props": "select event_type, count(*) as n, count(props->>'$.k') as with_k, round(sum((props->>'$.k')::double), 3) as sum_k from events group by event_type",

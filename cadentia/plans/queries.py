@@ -448,6 +448,21 @@ def box_consensus(spark: SparkSession, d: str) -> DataFrame:
     return consensus.consensus_boxes(_boxes(spark, d), FRAME_W, FRAME_H)
 
 
+@query
+def recovered_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as detections that may be cut off at a side, and boxes of repaired searches that are wider by a part of them."""
+    seq = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    li = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("clip"), seq.alias("seq")).agg(*[F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax")])  # numbers repeat
+    n = lambda c, m, k: (F.col(c) * k % m).cast("int")
+    w, h = (F.col("l_quantity") * 8 + 60).cast("int"), (F.col("l_quantity") * 3 + 20).cast("int")
+    b = li.select("clip", "seq", n("l_partkey", 900, 7).alias("x"), n("l_suppkey", 600, 11).alias("y"), w.alias("w"), h.alias("h"), F.round(F.col("l_discount") * 5, 2).alias("score"), F.round(F.col("l_tax") * 5, 2).alias("left_score"), F.round(F.col("l_discount") * 4, 2).alias("right_score"))
+    b = stream.written(spark, b.withColumns({"dx": F.col("x") - (F.col("seq") % 3 * 4).cast("int"), "dw": F.col("w") + (F.col("seq") % 5 * 4).cast("int")}), "detections")
+    wider = (F.col("w") * (1 + F.col("seq") % 4) / 4).cast("int")
+    score = F.round(F.col("score") - F.col("seq") % 3 * 0.03, 2)
+    repairs = [b.select("clip", "seq", F.lit(side).alias("side"), x.cast("int").alias("x"), "y", (F.col("w") + wider).alias("w"), "h", score.alias("score")) for side, x in (("left", F.greatest(F.lit(0), F.col("x") - wider)), ("right", F.col("x")))]
+    return rounded(consensus.recovered(b, repairs[0].unionByName(repairs[1]), FRAME_W, FRAME_H), "score")
+
+
 @query
 def roi_parse(spark: SparkSession, d: str) -> DataFrame:
     """JSON texts with the boxes of line items in every encoding, at several depths, and the boxes found in them."""
