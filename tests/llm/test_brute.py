@@ -2,14 +2,19 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 from functools import cache
 from math import exp, log
 
+import corpus_pipeline
+import public_tokenizers
 import pytest
-from cadentia.llm import language, urls
+from cadentia.llm import language, toxicity, urls
 from cadentia.llm.common import table
-from cadentia.llm.queries import op5_url_filter
+from cadentia.llm.queries import op5_url_filter, op7_toxicity
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 SF = "/root/testdata/sf0.001"
 
@@ -98,3 +103,112 @@ def test_language_by_loops(spark):
         if ranked[1] - ranked[0] > 1e-3:
             assert r.lang_pred == model.languages[costs.index(ranked[0])]
     assert re.fullmatch(r"\w+", found[0].lang_pred)
+
+
+def test_toxicity_by_loops(spark):
+    """The query's scores from the definitions, word by word: evidence and thresholds are the model's, all else is worked out here."""
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    model = toxicity.train(docs, labels)
+    assert model.filters and len(model.thresholds) > 1
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    rows = op7_toxicity(spark, SF).collect()
+    assert len(rows) == len(texts)
+
+    @cache
+    def vector(word):
+        """Bucket of the word itself, and the sum of the vectors of the word and its beginnings."""
+        hashes, _ = toxicity.prefix_hashes([word], toxicity.NOT_ALNUM, toxicity.PREFIXES)
+        slots = [int(h) % toxicity.SLOTS for h in hashes[:, 0]]
+        known = [1 + (int(h) >> 32) % (toxicity.BUCKETS - 1) if int(model.known[slot]) == int(h) else 0 for h, slot in zip(hashes[:, 0], slots, strict=True)]
+        return known[0], [sum(float(model.embedding[b, d]) for b in known) for d in range(toxicity.LENGTH)]
+
+    nothing = [len(toxicity.PREFIXES) * float(x) + float(x) for x in model.embedding[0]]
+    checked = 0
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == (r.score >= 0.5)
+        words = re.findall(rb"[a-z0-9\x80-\xff]+", texts[r.doc_id].encode().lower())
+        if len(words) > 150:
+            continue
+        checked += 1
+        found = [vector(w.decode()) for w in words]
+        x = [v for _, v in found] + [nothing] * max(toxicity.WIDTHS)
+        logit = model.offset
+        for w in toxicity.WIDTHS:
+            for f in range(toxicity.FILTERS):
+                peak = max(sum(x[i + k][d] * float(model.filters[w][k, d, f]) for k in range(w) for d in range(toxicity.LENGTH)) for i in range(len(words) + 1))
+                logit += max(0.0, peak + float(model.bias[w][f])) * float(model.out[(w - 1) * toxicity.FILTERS + f])
+        votes = Counter(int(model.language_of[b]) for b, _ in found if model.language_of[b] >= 0)
+        top = max(votes.values(), default=0)
+        guess = min(x for x in votes if votes[x] == top) if votes else -1
+        assert r.score == pytest.approx(1 / (1 + exp(-(logit - float(model.thresholds[guess])))), abs=1e-3), (r.doc_id, guess)
+    assert checked > 30
+
+
+def mixed(rows):
+    """doc_id and how often the mix takes it whole, of rows (doc_id, source, size)."""
+    size = Counter()
+    for _, source, n in rows:
+        size[source] += n
+    names = sorted(size, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: float((5, 2, 1)[k % 3]) for k, s in enumerate(names)}
+    target, left, free = {}, 1.5 * sum(size.values()), set(names)
+    while free:
+        level = left / sum(weight[s] for s in free)
+        full = {s for s in free if level * weight[s] >= 2 * size[s]}
+        if not full:
+            target |= {s: level * weight[s] for s in free}
+            break
+        target |= {s: 2.0 * size[s] for s in full}
+        left -= sum(2.0 * size[s] for s in full)
+        free -= full
+    out = []
+    for s in names:
+        epochs = int(target[s] // size[s]) if size[s] else 0
+        rest, before = round(target[s] - epochs * size[s]), 0
+        for doc_id, _, n in sorted((r for r in rows if r[1] == s), key=lambda r: hashlib.md5(f"{r[0]}:mix-1".encode()).hexdigest()):
+            out += [doc_id] * (epochs + (before < rest))
+            before += n
+    return Counter(out)
+
+
+def test_pipeline_by_loops(spark):
+    """What every stage of the pipeline keeps, from the decisions of its models and the definitions of the other stages."""
+    docs = table(spark, SF, "documents")
+    rows = {r.doc_id: r for r in docs.collect()}
+    judged = {r.doc_id for r in language.identify(spark, docs).collect() if r.lang_pred != "und" and not r.ambiguous}
+    left = docs.where(F.col("doc_id").isin(*judged))
+    harmless = {r.doc_id for r in toxicity.score_toxicity(spark, left, table(spark, SF, "labels")).collect() if r.score < 0.5}
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in rows[i].text or "")) for i in harmless}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
+    group = {i: i for i in harmless}
+
+    def top(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for a in sorted(sets):
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                group[y] = x
+    kept = [i for i in sorted(harmless) if top(i) == i]
+    copies = mixed([(i, rows[i].source, len(re.findall(r"[^\x20\x09-\x0D]+", rows[i].text or ""))) for i in kept])
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    library.no_truncation()
+    library.no_padding()
+    want = Counter()
+    for i, n in copies.items():
+        ids = library.encode(rows[i].text or "", add_special_tokens=False).ids
+        want[i, len(ids), hashlib.sha256(b"".join(t.to_bytes(4, "little") for t in ids)).hexdigest()] = n
+    got = Counter((r.doc_id, r.n_tokens, r.ids_sha256) for r in corpus_pipeline.run(spark, SF).collect())
+    assert got == +want and len(kept) < len(harmless) < len(rows)
+
+
+def test_pipeline_runs_on_odd_rows_and_empty_tables(spark, odd_docs, no_docs, tmp_path):
+    for name, docs in (("odd", odd_docs), ("none", no_docs)):
+        at = f"{tmp_path}/{name}"
+        docs.write.parquet(f"{at}/documents.parquet")
+        table(spark, SF, "labels").write.parquet(f"{at}/labels.parquet")
+        rows = corpus_pipeline.run(spark, at).collect()
+        assert all(len(r.ids) == r.n_tokens for r in rows) and (name == "odd" or not rows)
