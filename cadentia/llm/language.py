@@ -126,13 +126,18 @@ def train(docs: DataFrame, folds: int = 4, held_out: int = 2, rows: int = TRAINI
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~in_fold(F.col("doc_id"), folds, held_out))
     totals = known.groupBy("lang").agg(F.count("*").alias("n"))
     drawn = known.join(small_or_plain(totals, totals.count()), "lang")
-    # By id and text, of which one of a kind is learned from: repeated rows don't add to the bound.
-    drawn = drawn.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(9)), F.lit(1 << 30)) < rows / F.col("n") * float(1 << 30)).select("lang", "text").dropDuplicates()
+    # By id and text, of which one of a kind is learned from: repeated rows meet in one task and don't add to the bound.
+    key = F.xxhash64("doc_id", "text", F.lit(9))
+    drawn = drawn.where(F.pmod(key, F.lit(1 << 30)) < rows / F.col("n") * float(1 << 30)).select("lang", "text", key.alias("key")).repartition("key")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
+        seen: set[tuple[str, int]] = set()
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for lang, text, key in zip(*(batch.column(c).to_pylist() for c in ("lang", "text", "key")), strict=True):
+                if (lang, key) in seen:
+                    continue
+                seen.add((lang, key))
                 own = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
                 for bucket in gram_buckets([text])[0]:
                     own += np.bincount(bucket, minlength=BUCKETS)
