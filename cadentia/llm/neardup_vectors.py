@@ -6,8 +6,8 @@ each level with half the radius of the one above, and for each node the true dis
 Two trees are traversed together from the top: a pair of nodes is dropped when the centres are farther
 apart than the threshold and both radii, taken whole when even the farthest points must be near enough, and
 else replaced by the pairs of their children; single points at the end are compared exactly. The same
-bounds first drop pairs of cells. A block is compared with about half of the others, each pair once or, for
-a block with itself, in both directions.
+bounds first drop pairs of cells. Each pair of blocks is compared once or, for a block with itself, in both
+directions. A task takes a pair of groups of blocks, so a block moves once for each group that it meets, not for each block.
 """
 
 from __future__ import annotations
@@ -24,8 +24,10 @@ from cadentia.llm.components import Union, connected_components
 from cadentia.llm.vectors import unpacked, usable
 
 THRESHOLD = 0.9
-#: Vectors in a block (about), cells at most, rows that the centres are chosen from at most, blocks in a stripe.
-BLOCK, CELLS, SAMPLE, STRIPE = 2048, 512, 2000, 32
+#: Vectors in a block (about), cells at most, rows that the centres are chosen from at most.
+BLOCK, CELLS, SAMPLE = 2048, 512, 2000
+#: Groups that blocks are dealt to, as long as a group's matrices stay within so many bytes: a task holds one group.
+GROUPS, HELD_BYTES = 12, 64 << 20
 #: Tasks at most that pairs of blocks are dealt to; a task takes several blocks one after the other.
 MOST_TASKS = 20_000
 #: Largest radius of a tree's levels; each further level has half of it.
@@ -270,6 +272,22 @@ def near_blocks(blocks_of: DataFrame, near: DataFrame, blocks: int) -> DataFrame
     return pairs.where((F.col("step") <= half) & ((F.col("step") < blocks - half) | (F.col("a") < half))).select("a", "b", "step")
 
 
+def group_size(blocks: int, dim: int) -> int:
+    """Blocks in a group: a share of all, as far as their matrices may be held by one task."""
+    return max(1, min(-(-blocks // GROUPS), HELD_BYTES // (BLOCK * max(dim, 1) * 8)))
+
+
+def grouped_tiles(tiles: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """left, right, own and others of the blocks that a pair of groups holds (``others`` is null) and of those shown to it, with the blocks that each is compared with.
+
+    tiles: from ``near_blocks``. A block is in each of the two once for each group that has a block near it.
+    """
+    lower, upper = F.least("a", "b"), F.greatest("a", "b")
+    tiles = tiles.select((lower / size).cast("int").alias("left"), (upper / size).cast("int").alias("right"), lower.alias("lower"), upper.alias("upper"))
+    held = tiles.select("left", "right", F.col("lower").alias("own"), F.lit(None).cast("array<int>").alias("others")).distinct()
+    return held, tiles.groupBy("left", "right", F.col("upper").alias("own")).agg(F.sort_array(F.collect_list("lower")).alias("others"))
+
+
 def _links(spark: SparkSession, points: DataFrame, centres: np.ndarray, n: int, dim: int, threshold: float) -> DataFrame:
     """point, links and root of what each task finds."""
     centre_of = spark.sparkContext.broadcast(centres)
@@ -303,25 +321,30 @@ def _links(spark: SparkSession, points: DataFrame, centres: np.ndarray, n: int,
     near = names[np.argwhere(apart - radius[:, None] - radius <= far + 1e-6)].tolist()
     packs = written(spark, _packed_blocks(placed.withColumn("own", block), dim), "cover-blocks")
     blocks_of = packs.select(F.col("own").alias("b"), "cell")
-    tiles = near_blocks(packs.select(F.col("own").alias("b"), "cell"), spark.createDataFrame(near, "a_cell int, b_cell int"), blocks)
-    tiles = tiles.withColumn("stripe", F.floor(F.col("step") / STRIPE).cast("int")).select("a", "b", "stripe", "step")
+    tiles = near_blocks(blocks_of, spark.createDataFrame(near, "a_cell int, b_cell int"), blocks)
+    size = group_size(blocks, dim)
     columns = ["own", "n", "dim", "ids", "matrix", "weight", "nets"]
-    held = tiles.select("a", "stripe").distinct().join(packs.select(F.col("own").alias("a"), *columns), "a").withColumn("step", F.lit(-1))
-    shown = tiles.join(packs.select(F.col("own").alias("b"), *columns), "b").select("a", "stripe", "step", *columns)
-    work = held.select("a", "stripe", "step", *columns).unionByName(shown).repartition(min(max(blocks, 12), MOST_TASKS), "a", "stripe").sortWithinPartitions("a", "stripe", "step")
+    held, shown = (t.join(packs.select(*columns), "own") for t in grouped_tiles(tiles, size))
+    groups = -(-blocks // size)
+    work = held.select("left", "right", "others", *columns).unionByName(shown.select("left", "right", "others", *columns))
+    work = work.repartition(min(max(groups * (groups + 1) // 2, 12), MOST_TASKS), "left", "right").sortWithinPartitions("left", "right", F.col("others").isNotNull(), "own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, tree, links = None, None, Links()
+        key, trees, links = None, {}, Links()
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
                 ids, matrix = unpacked(row, dim)
-                other = CoverTree(ids, matrix, np.frombuffer(row["weight"], "<f8"), np.frombuffer(row["nets"], "<i4").reshape(len(RADII), -1))
-                if (row["a"], row["stripe"]) != key:
+                tree = CoverTree(ids, matrix, np.frombuffer(row["weight"], "<f8"), np.frombuffer(row["nets"], "<i4").reshape(len(RADII), -1))
+                if (row["left"], row["right"]) != key:
                     if links.counts:
                         yield links.result()
-                    key, tree, links = (row["a"], row["stripe"]), other, Links()
+                    key, trees, links = (row["left"], row["right"]), {}, Links()
+                if row["others"] is None:
+                    trees[row["own"]] = tree
                 else:
-                    links.compare(tree, other, threshold, row["own"] == row["a"])
+                    for other in row["others"]:
+                        links.compare(trees[other], tree, threshold, row["own"] == other)
         if links.counts:
             yield links.result()
 

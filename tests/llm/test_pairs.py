@@ -129,6 +129,20 @@ def test_rows_of_block_pairs_are_those_that_meet(spark):
     assert sorted((r.block, r.q) for r in met) == sorted((b, q) for b, length in enumerate(lengths) for q, need in needs if need <= length) and all(r.stripe == r.block % 2 for r in met)
 
 
+def test_moved_blocks_grow_with_blocks(spark):
+    """All blocks near each other: a block moves once for each group, and each pair is compared once."""
+    for blocks in (1, 5, 40, 120):
+        size = neardup_vectors.group_size(blocks, 64)
+        tiles = neardup_vectors.near_blocks(spark.range(blocks).selectExpr("int(id) as b", "0 as cell"), spark.createDataFrame([(0, 0)], "a_cell int, b_cell int"), blocks)
+        held, shown = (t.collect() for t in neardup_vectors.grouped_tiles(tiles, size))
+        assert len(held) + len(shown) <= (neardup_vectors.GROUPS + 1) * blocks
+        pairs = [(other, r.own) for r in shown for other in r.others]
+        assert sorted(pairs) == [(a, b) for a in range(blocks) for b in range(a, blocks)]
+        there = {(r.left, r.right, r.own) for r in held}
+        assert all((r.left, r.right, other) in there for r in shown for other in r.others)
+    assert neardup_vectors.group_size(10_000, 64) == 64 and neardup_vectors.group_size(10_000, 100_000) == 1
+
+
 def test_top_k_needs_no_short_blocks(spark, monkeypatch):
     """With lengths far apart, the bars of the longest vectors rule out most blocks; results stay exact."""
     monkeypatch.setattr(topk, "BLOCK", 32)
