@@ -62,3 +62,25 @@ def test_any_order_of_arrival_gives_the_batch_timeline(spark):
 
 
 _TIMELINE = ["match_id", "seq", "ts", "set_number", "score_a", "score_b", "sets_a", "sets_b", "is_finished", "winner"]
+
+
+def test_parts_of_many_files_are_one_batch_each(spark):
+    """Matches share few calls of the state, however many there are, and a part's files are taken at once; late rows and scores stay those of each match."""
+    calls = []
+    rng = random.Random(4)
+    rows = [(m, 100 * m + k, float(rng.randint(0, 300)), rng.choice(["player_a", "player_b"])) for m in range(40) for k in range(20)]
+    late = [(7, 9001, 1.0, "player_a"), (39, 9002, 2.0, None)]
+    schema = "match_id long, seq long, ts double, winner string"
+    parts = [spark.createDataFrame(p, schema).repartition(n) for p, n in ((rows[:400], 6), (rows[400:] + [(-1, -1, 1e6, "player_a")], 5), (late, 2), ([(-2, -2, 1e7, "player_a")], 1))]
+
+    def live(stream_rows):
+        calls.append(1)
+        return ordered.ordered_timeline(stream_rows, 3, "400 seconds", groups=3)
+
+    with ordered.keyed_state(spark):
+        found = [tuple(r) for r in stream.drained_in_turn(spark, parts, live, "test-in-turn").collect()]
+    assert len(calls) == len(parts) and ordered.groups_for(6_000_000) == 732
+    assert sorted(r[:4] for r in found if r[3]) == [(7, 9001, 1.0, True), (39, 9002, 2.0, True)]
+    want = sorted(map(str, score.timeline(spark.createDataFrame(rows, schema), 3).collect()))
+    got = [r for r in found if not r[3] and r[0] >= 0]
+    assert sorted(str(pyspark.sql.Row(**dict(zip(_TIMELINE, (*r[:3], *r[4:]), strict=True)))) for r in got) == want
