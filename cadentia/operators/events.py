@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,15 +46,15 @@ def _hot(s: DataFrame, threshold: float, value: str) -> DataFrame:
     return rows.where(F.col("idx") > F.col("first")).drop("first")
 
 
-def _successors(hot: DataFrame, gap: float) -> DataFrame:
-    """clip, idx and next: the first hot sample at least ``gap`` later, for those that have one.
+def _successors(hot: DataFrame, gap: float, since: str = "t") -> DataFrame:
+    """clip, idx and next: the first hot sample at least ``gap`` later than ``since``, for those that have one.
 
-    Samples (at t) and questions (at t + gap) are dealt by ranges of clip and time. A window in each range finds the next sample; a
+    Samples (at t) and questions (at since + gap) are dealt by ranges of clip and time. A window in each range finds the next sample; a
     question that no sample of its range answers takes the first one of the clip's next range that has any.
     """
     spark = hot.sparkSession
     there = hot.select("clip", F.col("t").alias("at"), F.lit(1).alias("there"), "idx")
-    asked = hot.select("clip", (F.col("t") + gap).alias("at"), F.lit(0).alias("there"), "idx")
+    asked = hot.select("clip", (F.col(since) + gap).alias("at"), F.lit(0).alias("there"), "idx")
     ranges = there.unionByName(asked).repartitionByRange("clip", "at", "there", "idx").withColumn("part", F.spark_partition_id())
     ranges = written(spark, ranges, "refractory-ranges")
     ahead = Window.partitionBy("clip", "part").orderBy("at", "there", "idx").rowsBetween(0, Window.unboundedFollowing)
@@ -65,24 +66,79 @@ def _successors(hot: DataFrame, gap: float) -> DataFrame:
     return found.select("clip", "idx", F.coalesce("next", "later").alias("next")).where("next is not null")
 
 
+def _by_range(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.Table]]:
+    """clip, part and rows of each clip's part of a range, of rows sorted by these."""
+    held: list[pa.RecordBatch] = []
+    for batch in rows:
+        clip, part = batch.column("clip").to_numpy(), batch.column("part").to_numpy()
+        cuts = np.flatnonzero((np.diff(clip) != 0) | (np.diff(part) != 0)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            if hi == lo:
+                continue
+            if held and (held[0].column("clip")[0].as_py(), held[0].column("part")[0].as_py()) != (clip[lo], part[lo]):
+                yield held[0].column("clip")[0].as_py(), held[0].column("part")[0].as_py(), pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield held[0].column("clip")[0].as_py(), held[0].column("part")[0].as_py(), pa.Table.from_batches(held)
+
+
+def _ways_through(ranges: DataFrame, gap: float) -> DataFrame:
+    """clip, part, idx and t of the samples at which a range can be entered, and ``leaves``: the time from which the next sample after the range is looked for.
+
+    What was found last before a range is before its first sample, so a range is entered within a gap of that, or at the first sample after.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for clip, part, rows in _by_range(batches):
+            t = rows.column("t").to_numpy()
+            after = np.searchsorted(t, t + gap)
+            leaves = t + gap
+            # Each sample points at a later one: where that is known to leave, so does this.
+            for i in range(len(t) - 1, -1, -1):
+                if after[i] < len(t):
+                    leaves[i] = leaves[after[i]]
+            n = min(after[0] + 1, len(t))
+            yield pa.RecordBatch.from_arrays([pa.array([clip] * n, pa.int64()), pa.array([part] * n, pa.int32()), rows.column("idx").slice(0, n).combine_chunks(), pa.array(t[:n]), pa.array(leaves[:n])], names=["clip", "part", "idx", "t", "leaves"])
+
+    return ranges.mapInArrow(run, "clip long, part int, idx long, t double, leaves double")
+
+
 def refractory_by_jumps(s: DataFrame, threshold: float, gap: float, value: str = "v") -> DataFrame:
     """What ``refractory`` finds, for clips too long for one task: a clip's samples are spread over all of them.
 
-    Each hot sample points at the next one that it would let through. Those reached from a clip's first hot sample are found by pointer
-    doubling: after k rounds the first 2^k are known, and pointers span 2^k steps; so the rounds grow with the logarithm of the number of
-    events found. Needs times in the order of idx; a time plus the gap should be exact.
+    Hot samples are dealt to ranges of clip and time. Each range is walked backwards once, which tells for every sample at which it can be
+    entered where the way through it leaves. Those few samples point at ones of later ranges, and which of them are reached from a clip's
+    first hot sample is found by pointer doubling, in as many rounds as the logarithm of the number of ranges. Then each range is walked from
+    where it is entered. Needs times in the order of idx; a time plus the gap should be exact. A task holds one range.
     """
     spark = s.sparkSession
-    hot = written(spark, _hot(s, threshold, value), "refractory-hot")
-    jumps = written(spark, _successors(hot, gap), "refractory-jumps")
-    reached = hot.groupBy("clip").agg(F.min_by("idx", F.struct("t", "idx")).alias("idx"))
+    hot = _hot(s, threshold, value)
+    ranges = hot.repartitionByRange("clip", "t", "idx").withColumn("part", F.spark_partition_id())
+    ranges = written(spark, ranges.select("clip", "part", "idx", "t", "value"), "refractory-ranges")
+    whole = ranges.repartition("clip", "part").sortWithinPartitions("clip", "part", "t", "idx")
+    ways = written(spark, _ways_through(whole, gap), "refractory-ways")
+    jumps = written(spark, _successors(ways, 0.0, "leaves"), "refractory-jumps")
+    reached = ways.groupBy("clip").agg(F.min_by("idx", F.struct("t", "idx")).alias("idx"))
     while True:
         more = written(spark, reached.join(jumps, ["clip", "idx"]).select("clip", F.col("next").alias("idx")), "refractory-reached")
         if more.isEmpty():
-            return hot.join(reached, ["clip", "idx"]).select("clip", "idx", "t", "value")
+            break
         reached = written(spark, reached.unionByName(more), "refractory-reached")
         twice = jumps.select("clip", F.col("idx").alias("from"), F.col("next").alias("idx")).join(jumps, ["clip", "idx"])
         jumps = written(spark, twice.select("clip", F.col("from").alias("idx"), "next"), "refractory-jumps")
+    entered = ways.join(reached, ["clip", "idx"]).groupBy("clip", "part").agg(F.min("t").alias("from_t"), F.min_by("idx", "t").alias("from_idx"))
+    walked = ranges.join(entered, ["clip", "part"]).where("t > from_t or t = from_t and idx >= from_idx").select("clip", "part", "idx", "t", "value")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, rows in _by_range(batches):
+            t, found, i = rows.column("t").to_numpy(), [], 0
+            while i < len(t):
+                found.append(i)
+                i = int(np.searchsorted(t, t[i] + gap))
+            yield from rows.take(pa.array(found)).select(["clip", "idx", "t", "value"]).combine_chunks().to_batches()
+
+    return walked.repartition("clip", "part").sortWithinPartitions("clip", "part", "t", "idx").mapInArrow(walk, "clip long, idx long, t double, value double")
 
 
 def majority(votes: DataFrame, key: str, vote: str) -> DataFrame:

@@ -96,6 +96,23 @@ def test_one_clip_is_spread_over_tasks(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_pointers_are_only_of_samples_at_which_a_range_is_entered(spark, monkeypatch):
+    """Tables of the rounds grow with the ranges and what lies within a gap of their beginnings, not with the samples."""
+    sizes, kept = {}, events.written
+
+    def measured(spark, df, name):
+        out = kept(spark, df, name)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(events, "written", measured)
+    rows = [(clip, idx, float(idx // 2 + clip), 9.0) for clip in (1, 2) for idx in range(6_000)]
+    s = spark.createDataFrame(rows, "clip long, idx long, t double, v double").repartition(3)
+    got = sorted(map(tuple, events.refractory_by_jumps(s, 9.0, 3.0).collect()))
+    assert got == sorted(map(tuple, events.refractory(s, 9.0, 3.0).collect())) and len(got) > 1_900
+    assert sizes["refractory-jumps"] < 400 and sizes["refractory-reached"] < 100
+
+
 def test_a_load_is_published_whole_or_not_at_all(spark, tmp_path):
     root = f"{tmp_path}/table"
     good, bad = ([(1, 0, 0.0, "player_a"), (1, 1, 1.0, w)] for w in ("player_b", "nobody"))
