@@ -142,6 +142,17 @@ def test_markov_model_sums_to_one_and_separates():
     assert c.score("www.good999.org/en/7") > c.threshold > c.score("ads.bad999.net/track/7?id=7")
 
 
+def test_all_decided_addresses_train_the_models(spark):
+    """More than 6,000 of a verdict: every one counts, and the threshold is that of all that are held back."""
+    rows = [(i, f"http://a{i}.org/fr/{i}") for i in range(7_000)] + [(7_000 + i, f"http://b{i}.net/x/{i}") for i in range(6_500)] + [(20_000, "http://c.com/fr/1")]
+    got = {r.page_id: r for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    ordered = lambda verdict: sorted({r.host + r.path for r in got.values() if r.rule and r.verdict == verdict}, key=lambda a: hashlib.md5(a.encode()).hexdigest())
+    want = urls.UrlClassifier(ordered("allow"), ordered("block"))
+    for k in (0, 6_999, 7_000, 20_000):
+        assert abs(got[k].llr - want.score(got[k].host + got[k].path)) < 1e-9
+    assert all(r.model_verdict == ("allow" if r.llr >= want.threshold else "block") for r in got.values() if abs(r.llr - want.threshold) > 1e-9)
+
+
 def wrapped(text, width):
     """The text with the lines of each paragraph filled anew; notices and short lines stay on their own."""
     out = []
