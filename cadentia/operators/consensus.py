@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +31,8 @@ def consensus_boxes(boxes: DataFrame, frame_w: int, frame_h: int, expand_top: fl
 # Fixed values of the rule for boxes that a detector cut off at a side.
 LEAST_ASPECT, LEAST_WIDER, LEAST_BETTER_SHAPE, MOST_WORSE_SCORE, CLEARLY = 2.95, 0.20, 0.08, 0.04, 1.10
 EDGE_PIXELS, EDGE_SHARE = 6, 0.02
+#: Ranks nearer than this differ at most by rounding.
+SAME_RANK = 1e-12
 
 
 def sides_to_repair(x: Column, w: Column, h: Column, dx: Column, dw: Column, left_score: Column, right_score: Column) -> tuple[Column, Column]:
@@ -62,6 +67,34 @@ def recovered(detections: DataFrame, repairs: DataFrame, frame_w: int, frame_h:
     wider = aspect(r[2], r[3]) > F.greatest(F.lit(LEAST_ASPECT), aspect(F.col("w"), F.col("h")) + LEAST_WIDER)
     better = (aspect_prior(r[2], r[3]) >= aspect_prior(F.col("w"), F.col("h")) + LEAST_BETTER_SHAPE) & (r[4] >= F.col("score") - MOST_WORSE_SCORE)
     both = rows.join(offered, ["clip", "seq"], "left").withColumn("rank", rank(*r))
-    taken = F.when(wanted & wider & better & (F.col("rank") > F.col("own_rank")), F.struct("rank", (F.col("side") == "left").alias("is_left"), *[c.alias(n) for c, n in zip(r, ("x", "y", "w", "h", "score"), strict=True)], "side"))
-    best = both.groupBy("clip", "seq").agg(F.max(taken).alias("best"), F.first(F.struct("x", "y", "w", "h", "score")).alias("own"))
+    taken = wanted & wider & better & (F.col("rank") > F.col("own_rank"))
+    offer = F.struct("rank", *[c.alias(n) for c, n in zip(r, ("x", "y", "w", "h", "score"), strict=True)], "side")
+    sides = both.groupBy("clip", "seq").agg(*[F.max(F.when(taken & (F.col("side") == s), offer)).alias(s) for s in ("left", "right")], F.first(F.struct("x", "y", "w", "h", "score")).alias("own"))
+    near = F.abs(F.col("left.rank") - F.col("right.rank")) < SAME_RANK
+    left_first = _left_ranks_first(frame_w, frame_h, cx, cy)(*[F.when(near, F.col(f"{s}.{n}")) for s in ("left", "right") for n in ("x", "y", "w", "h", "score")])
+    left_wins = F.when(near, left_first).otherwise(F.col("right").isNull() | (F.col("left.rank") >= F.col("right.rank")))
+    best = sides.withColumn("best", F.when(F.col("left").isNotNull() & left_wins, F.col("left")).otherwise(F.col("right")))
     return best.select("clip", "seq", *[F.coalesce(F.col(f"best.{c}"), F.col(f"own.{c}")).alias(c) for c in ("x", "y", "w", "h", "score")], F.col("best.side").alias("side"))
+
+
+def _left_ranks_first(frame_w: int, frame_h: int, cx: float, cy: float):
+    """Whether the first of two boxes ranks no lower than the second, by the C library's ``exp`` and ``pow``, as in databases; null boxes pass.
+
+    Repairs to the left and to the right often mirror each other about the centre, where the last digit decides, and that of the JVM's own ``exp`` differs.
+    """
+
+    def rank(x: float, y: float, w: float, h: float, score: float) -> float:
+        shape = math.exp(-math.pow((w / max(1.0, h) - 3.2) / 0.85, 2))
+        off = math.pow(((x + w / 2.0) / frame_w - cx) / 0.35, 2) + math.pow(((y + h / 2.0) / frame_h - cy) / 0.28, 2)
+        left, right = x / frame_w, (x + w) / frame_w
+        edge = 0.20 if left < 0.03 or right > 0.97 else 0.55 if left < 0.06 or right > 0.94 else 1.0
+        return shape * 0.55 + score * 0.20 + min(max(math.exp(-off) * edge, 0.0), 1.0) * 0.25
+
+    @F.pandas_udf("boolean")
+    def left_first(lx: pd.Series, ly: pd.Series, lw: pd.Series, lh: pd.Series, ls: pd.Series, rx: pd.Series, ry: pd.Series, rw: pd.Series, rh: pd.Series, rs: pd.Series) -> pd.Series:
+        out = pd.Series(False, index=lx.index)
+        for i in lx.index[lx.notna()]:
+            out[i] = rank(*(float(v[i]) for v in (lx, ly, lw, lh, ls))) >= rank(*(float(v[i]) for v in (rx, ry, rw, rh, rs)))
+        return out
+
+    return left_first

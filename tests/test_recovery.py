@@ -61,3 +61,19 @@ def test_recovery_against_a_loop(spark):
     )
     got = {r.seq: ((r.x, r.y, r.w, r.h), r.score, r.side) for r in rows.collect()}
     assert got == want and {w[2] for w in want.values()} == {None, "left", "right"}
+
+
+def test_repairs_that_mirror_each_other_rank_as_the_c_library_has_it(spark):
+    """Left and right repairs at one distance from the centre, whose ranks differ by rounding alone, as ``exp`` of databases and of Python gives them."""
+    detections, repairs, want = [], [], {}
+    for k in range(600):
+        box = (466, k, 348, 128)
+        offers = {"left": ((379, k, 435, 128), 0.25), "right": ((466, k, 435, 128), 0.25)}
+        detections.append((1, k, *box, 0.25, 466, 348, 0.2, 0.2))
+        repairs += [(1, k, side, *b, s) for side, (b, s) in offers.items()]
+        want[k] = choose((box, 0.25, 466, 348, 0.2, 0.2), offers)
+    rows = consensus.recovered(
+        spark.createDataFrame(detections, "clip long, seq long, x int, y int, w int, h int, score double, dx int, dw int, left_score double, right_score double"),
+        spark.createDataFrame(repairs, "clip long, seq long, side string, x int, y int, w int, h int, score double"), W, H,
+    )
+    assert {r.seq: ((r.x, r.y, r.w, r.h), r.score, r.side) for r in rows.collect()} == want and {w[2] for w in want.values()} >= {"left", "right"}
