@@ -3,26 +3,29 @@
 Words (runs of ASCII letters and digits and of bytes beyond ASCII, A-Z lower-cased) and their first bytes
 are hashed to a table of embeddings if training saw them often enough; all others share one. A word's
 vector is the sum of its own and those of its beginnings. Filters over one, two and three words are
-max-pooled over the whole text and weighed by a logistic layer. For each language a threshold is calibrated
-on held-back training rows and moved to 0.5. The language is guessed from the text's own common words, so a
+max-pooled over the whole text and weighed by a logistic layer. All labelled rows of the training folds are
+learned from: words and their evidence are counted in tasks; parts of the rows then train copies of the model, which are averaged after each round.
+For each language a threshold is calibrated on held-back training rows and moved to 0.5. The language is guessed from the text's own common words, so a
 score depends on nothing but the text.
 """
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadentia.llm.common import in_fold, small_or_plain, text_slices
+from cadentia.llm.common import in_fold, text_slices, written
 from cadentia.llm.words import NOT_ALNUM, prefix_hashes
 
-#: Training rows of either label at most, and the longest text learned from, in characters.
-TOXIC_ROWS, OTHER_ROWS, LONGEST = 1_200, 2_400, 40_000
+#: Rows and characters of a part of the training rows, about, and rounds after which parts are averaged if there are several.
+PART_ROWS, PART_CHARS, ROUNDS = 3_000, 24_000_000, 3
 #: Slots of the word table, buckets and length of embeddings, widths of filters and filters of each width.
 SLOTS, BUCKETS, LENGTH, WIDTHS, FILTERS = 1 << 20, 1 << 15, 12, (1, 2, 3), 6
 #: Bytes of the beginnings of a word that have vectors of their own.
@@ -33,6 +36,8 @@ LEAST_SHARE = 0.015
 STEPS, BATCH = 300, 64
 #: Filters of each width that begin with the evidence of single words.
 INFORMED = 2
+#: Steps of a logit in which thresholds are looked for, and steps of a parameter in which parts are added up, so that sums have no order.
+CUTS, UNITS = 256, 1 << 30
 _GAP = max(WIDTHS) - 1
 
 
@@ -56,21 +61,14 @@ class ToxicityModel:
         hit = self.known[hashes & np.uint64(SLOTS - 1)] == hashes
         return np.where(hit, 1 + (hashes >> np.uint64(32)) % np.uint64(BUCKETS - 1), 0).astype(np.int64)
 
-    def learn_words(self, hashes: list[np.ndarray], languages: list[int], n_languages: int, least: float) -> None:
-        """Keep what enough texts have; where two share a slot, the more frequent one."""
-        words, texts = np.unique(np.concatenate([np.unique(h) for h in hashes]), return_counts=True)
-        words, texts = words[texts >= least], texts[texts >= least]
-        order = np.argsort(texts, kind="stable")
+    def learn_words(self, words: np.ndarray, texts: np.ndarray, by_language: np.ndarray, sizes: np.ndarray) -> None:
+        """Keep these words, which so many texts have; where two share a slot, the more frequent one. by_language: texts of each language (rows) that have the word whole."""
+        order = np.lexsort((words, texts))
         self.known[words[order] & np.uint64(SLOTS - 1)] = words[order]
-        words = words[self.known[words & np.uint64(SLOTS - 1)] == words]
-        if n_languages and len(words):
-            share = np.zeros((n_languages, len(words)))
-            size = np.bincount(languages, minlength=n_languages)
-            for h, lang in zip(hashes, languages, strict=True):
-                own = np.unique(h[0])
-                share[lang, np.searchsorted(words, own[np.isin(own, words)])] += 1
-            share /= np.maximum(size, 1)[:, None]
-            second = np.sort(share, 0)[-2] if n_languages > 1 else np.zeros(len(words))
+        kept = self.known[words & np.uint64(SLOTS - 1)] == words
+        words, share = words[kept], by_language[:, kept] / np.maximum(sizes, 1)[:, None]
+        if len(sizes) and len(words):
+            second = np.sort(share, 0)[-2] if len(sizes) > 1 else np.zeros(len(words))
             clear = (share.max(0) > 0.2) & (second < 0.25 * share.max(0))
             self.language_of[self.buckets(words[clear])] = share.argmax(0)[clear]
 
@@ -119,49 +117,58 @@ class ToxicityModel:
         return _sigmoid(logit - self.thresholds[guess])
 
 
-def _evidence(ids: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Of each bucket the log-odds of toxic texts to have it, less their standard error; 0 where it speaks against or not clearly."""
-    seen = np.zeros((2, BUCKETS))
-    for row, label in zip(ids, y.astype(int), strict=True):
-        seen[label, np.unique(row)] += 1
-    more = np.log((seen[1] + 0.5) / (y.sum() + 1)) - np.log((seen[0] + 0.5) / (len(y) - y.sum() + 1))
-    lower = np.maximum(more - np.sqrt(1 / (seen[1] + 0.5) + 1 / (seen[0] + 0.5)), 0)
-    lower[0] = 0  # words never seen, and gaps
-    return lower.astype(np.float32)
-
-
-def trained(texts: list[str], labels: list[int], langs: list[str | None], seed: int = 3) -> ToxicityModel:
-    """Fit a model; without rows of both labels it gives every text a score near the label there is, or 0."""
-    model = ToxicityModel()
-    y = np.array(labels, np.float32)
-    if len(set(labels)) < 2:
-        model.offset = 10.0 if labels and labels[0] else -10.0
-        return model
-    names = sorted({x for x in langs if x})
-    lang = [names.index(x) if x else 0 for x in langs]
-    hashes = []
+def _hashed(texts: list[str]) -> list[np.ndarray]:
+    found = []
     for i in range(0, len(texts), 200):
         h, b = prefix_hashes(texts[i : i + 200], NOT_ALNUM, PREFIXES)
-        hashes += [h[:, lo:hi] for lo, hi in zip(b[:-1], b[1:], strict=True)]
-    model.learn_words(hashes, lang, len(names), max(3.0, LEAST_SHARE * sum(labels)))
+        found += [h[:, lo:hi] for lo, hi in zip(b[:-1], b[1:], strict=True)]
+    return found
+
+
+def _word_counts(hashes: list[np.ndarray], langs: list[int]) -> pd.DataFrame:
+    """word, lang and n: in how many of these texts a word is, by language; beginnings of words have -1 for it."""
+    found = []
+    for lang in sorted({-1, *langs}):
+        rows = [np.unique(h[1:]) for h in hashes] if lang < 0 else [np.unique(h[0]) for h, x in zip(hashes, langs, strict=True) if x == lang]
+        words, n = np.unique(np.concatenate(rows), return_counts=True)
+        found.append(pd.DataFrame({"word": words.view(np.int64), "lang": lang, "n": n}))
+    return pd.concat(found)
+
+
+def _seen(model: ToxicityModel, hashes: list[np.ndarray], labels: list[int]) -> np.ndarray:
+    """How many texts of either label have each bucket."""
+    seen = np.zeros((2, BUCKETS), np.int64)
+    for h, label in zip(hashes, labels, strict=True):
+        seen[label, np.unique(np.append(model.buckets(h), 0))] += 1
+    return seen
+
+
+def _prepare(model: ToxicityModel, seen: np.ndarray, toxic: int, other: int, seed: int = 3) -> None:
+    """Parameters to begin with. One dimension begins as what the fitted rows say of a word by itself, and some filters of each width begin by reading it.
+
+    That is the log-odds of toxic texts to have a bucket, less their standard error; 0 where it speaks against or not clearly.
+    """
     rng = np.random.default_rng(seed)
     model.embedding = rng.normal(0, 0.3, (BUCKETS, LENGTH)).astype(np.float32)
     model.filters = {w: rng.normal(0, 0.4 / np.sqrt(w), (w, LENGTH, FILTERS)).astype(np.float32) for w in WIDTHS}
     model.bias = {w: np.zeros(FILTERS, np.float32) for w in WIDTHS}
     model.out = rng.normal(0, 0.3, len(WIDTHS) * FILTERS).astype(np.float32)
     model.offset = 0.0
-    ids = [np.concatenate((model.buckets(h), np.zeros((len(h), _GAP + 1), np.int64)), axis=1).astype(np.int32) for h in hashes]
-    back = np.arange(len(texts)) % 5 == 0
-    # One dimension begins as what the fitted rows say of a word by itself, and some filters of each width begin by reading it.
-    model.embedding[:, 0] = _evidence([i for i, b in zip(ids, back, strict=True) if not b], y[~back])
+    more = np.log((seen[1] + 0.5) / (toxic + 1)) - np.log((seen[0] + 0.5) / (other + 1))
+    lower = np.maximum(more - np.sqrt(1 / (seen[1] + 0.5) + 1 / (seen[0] + 0.5)), 0)
+    lower[0] = 0  # words never seen, and gaps
+    model.embedding[:, 0] = lower
     for w in WIDTHS:
         model.filters[w][:, :, :INFORMED] = 0
         model.filters[w][:, 0, :INFORMED] = 1
         model.out[(w - 1) * FILTERS : (w - 1) * FILTERS + INFORMED] = 0.5
-    held_back = [h for h, b in zip(hashes, back, strict=True) if b]
-    del hashes
-    fit = np.flatnonzero(~back)
-    weight = np.where(y > 0, 0.5 / max(y[fit].mean(), 1e-6), 0.5 / max(1 - y[fit].mean(), 1e-6))
+
+
+def _fit(model: ToxicityModel, hashes: list[np.ndarray], y: np.ndarray, share: float, passes: int, seed: object) -> None:
+    """Go over these texts so many times; both labels weigh the same if ``share`` of all rows is toxic."""
+    ids = [np.concatenate((model.buckets(h), np.zeros((len(h), _GAP + 1), np.int64)), axis=1).astype(np.int32) for h in hashes]
+    weight = np.where(y > 0, 0.5 / max(share, 1e-6), 0.5 / max(1 - share, 1e-6))
+    rng = np.random.default_rng(seed)
     state: dict[object, list[np.ndarray]] = {}
     squares = np.full(BUCKETS, 1e-6, np.float32)
 
@@ -172,13 +179,12 @@ def trained(texts: list[str], labels: list[int], langs: list[str | None], seed:
         v += 0.001 * (grad * grad - v)
         value -= rate * (m / (1 - 0.9 ** t[0])) / (np.sqrt(v / (1 - 0.999 ** t[0])) + 1e-8)
 
-    offset = np.zeros(1, np.float32)
-    batches = max(1, len(fit) // BATCH)
-    for _ in range(-(-STEPS // batches)):
-        for chunk in np.array_split(rng.permutation(fit), batches):
+    offset = np.array([model.offset], np.float32)
+    for _ in range(passes):
+        for chunk in np.array_split(rng.permutation(len(ids)), max(1, len(ids) // BATCH)):
             all_ids = np.concatenate([ids[i] for i in chunk], axis=1)
             begins = np.concatenate(([0], np.cumsum([ids[i].shape[1] for i in chunk])))
-            x = model.embedding[all_ids].sum(0)
+            x = sum(model.embedding[row] for row in all_ids)
             peaks, best = [], []
             for w in WIDTHS:
                 n = len(x) - w + 1
@@ -209,46 +215,184 @@ def trained(texts: list[str], labels: list[int], langs: list[str | None], seed:
             squares[used] += (grad * grad).mean(1)
             model.embedding[used] -= 0.05 * grad / np.sqrt(squares[used])[:, None]
     model.offset = float(offset[0])
-    _calibrate(model, held_back, y[back], len(names))
-    return model
 
 
-def _calibrate(model: ToxicityModel, hashes: list[np.ndarray], y: np.ndarray, n_languages: int) -> None:
-    """For each language the logit of least error on these rows, held back from training, where both labels have some; the one for all rows elsewhere."""
-    model.thresholds = np.zeros(n_languages + 1)
-    begins = np.concatenate(([0], np.cumsum([h.shape[1] for h in hashes])))
-    logit, guess = model.logits(np.concatenate(hashes, axis=1), begins)
+def _cut_counts(model: ToxicityModel, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Guessed language and step of the logit of each text."""
+    logit, guess = model.logits(*prefix_hashes(texts, NOT_ALNUM, PREFIXES))
+    return guess, np.floor(np.clip(logit, -1e6, 1e6) * CUTS).astype(np.int64)
+
+
+def _calibrate(model: ToxicityModel, counts: pd.DataFrame, n_languages: int) -> None:
+    """For each language the logit of least error on rows held back from training, where both labels have some; the one for all rows elsewhere. counts: guess, step, yes and no, numbers of rows."""
+    thresholds = np.zeros(n_languages + 1)
 
-    def best(rows: np.ndarray) -> float | None:
-        yes, no = np.sort(logit[rows & (y > 0)]), np.sort(logit[rows & (y == 0)])
-        if len(yes) < 10 or len(no) < 10:
+    def best(rows: pd.DataFrame) -> float | None:
+        steps = rows.groupby("step")[["yes", "no"]].sum().sort_index()
+        yes, no, at = steps["yes"].to_numpy(), steps["no"].to_numpy(), steps.index.to_numpy()
+        if yes.sum() < 10 or no.sum() < 10:
             return None
-        cuts = np.unique(np.concatenate((yes, no)))
-        cuts = (cuts[1:] + cuts[:-1]) / 2 if len(cuts) > 1 else cuts
-        errors = np.searchsorted(yes, cuts) / len(yes) + (len(no) - np.searchsorted(no, cuts)) / len(no)
+        cuts = (at[1:] + at[:-1] + 1) / 2 / CUTS if len(at) > 1 else (at + 0.5) / CUTS
+        missed = np.cumsum(yes)[: len(cuts)] if len(at) > 1 else np.zeros(1)
+        passed = no.sum() - np.cumsum(no)[: len(cuts)] if len(at) > 1 else no
+        errors = missed / yes.sum() + passed / no.sum()
         good = cuts[errors <= errors.min() + 1e-9]
         # Nearer to the toxic ones, since most texts are not.
         return float(good[0] + 2 * good[-1]) / 3
 
-    common = best(np.ones(len(y), bool))
+    common = best(counts)
     common = 0.0 if common is None else common
     for x in range(-1, n_languages):
-        own = best(guess == x) if x >= 0 else None
-        model.thresholds[x] = common if own is None else own
+        own = best(counts[counts["guess"] == x]) if x >= 0 else None
+        thresholds[x] = common if own is None else own
+    model.thresholds = thresholds
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -> ToxicityModel:
-    """Learn from a bounded number of labelled ids outside the held-out fold, those of smallest hash of either label, and one text of each, of ``LONGEST`` characters at most."""
+def _learned_words(model: ToxicityModel, counts: pd.DataFrame, sizes: np.ndarray) -> None:
+    """counts: word, texts, and l0, l1, ... by language."""
+    words = counts["word"].to_numpy(np.int64).view(np.uint64)
+    by_language = np.array([counts[f"l{i}"].to_numpy(float) for i in range(len(sizes))]).reshape(len(sizes), len(words))
+    model.learn_words(words, counts["texts"].to_numpy(np.int64), by_language, sizes)
+
+
+def _least(toxic: int) -> float:
+    return max(3.0, LEAST_SHARE * toxic)
+
+
+def _one_label(label: int | None) -> ToxicityModel:
+    """Gives every text a score near the label there is, or 0."""
+    return ToxicityModel(offset=10.0 if label else -10.0)
+
+
+def trained(texts: list[str], labels: list[int], langs: list[str | None], seed: int = 3) -> ToxicityModel:
+    """A model of a few texts in memory, fitted as one part."""
+    if len(set(labels)) < 2:
+        return _one_label(labels[0] if labels else None)
+    model, y = ToxicityModel(), np.array(labels)
+    names = sorted({x for x in langs if x})
+    lang = [names.index(x) if x else 0 for x in langs]
+    hashes = _hashed(texts)
+    counts = _word_counts(hashes, lang)
+    wide = pd.DataFrame({"texts": counts.groupby("word")["n"].sum(), **{f"l{i}": counts[counts["lang"] == i].set_index("word")["n"] for i in range(len(names))}}).fillna(0).reset_index(names="word")
+    _learned_words(model, wide[wide["texts"] >= _least(sum(labels))], np.bincount(lang, minlength=len(names))[: len(names)])
+    back = np.arange(len(texts)) % 5 == 0
+    fit = [h for h, b in zip(hashes, back, strict=True) if not b]
+    _prepare(model, _seen(model, fit, y[~back]), int(y[~back].sum()), int((1 - y[~back]).sum()), seed)
+    _fit(model, fit, y[~back], y[~back].mean(), -(-STEPS // max(1, len(fit) // BATCH)), seed)
+    guess, step = _cut_counts(model, [t for t, b in zip(texts, back, strict=True) if b])
+    _calibrate(model, pd.DataFrame({"guess": guess, "step": step, "yes": y[back], "no": 1 - y[back]}), len(names))
+    return model
+
+
+def _parameters(model: ToxicityModel) -> np.ndarray:
+    """Parameters other than embeddings in one row."""
+    return np.concatenate([*[model.filters[w].ravel() for w in WIDTHS], *[model.bias[w] for w in WIDTHS], model.out, [model.offset]])
+
+
+def _set_parameters(model: ToxicityModel, values: np.ndarray) -> None:
+    shapes = [*[model.filters[w].shape for w in WIDTHS], *[model.bias[w].shape for w in WIDTHS], model.out.shape]
+    ends = np.cumsum([np.prod(s) for s in shapes])
+    found = [values[e - np.prod(s) : e].reshape(s).astype(np.float32) for s, e in zip(shapes, ends, strict=True)]
+    model.filters, model.bias, model.out = dict(zip(WIDTHS, found, strict=False)), dict(zip(WIDTHS, found[len(WIDTHS) :], strict=False)), found[-1]
+    model.offset = float(values[ends[-1]])
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, folds: int, held_out: int) -> DataFrame:
+    """doc_id, toxic, text and lang of every labelled id outside the held-out fold that has a text, and whether it is held back: one text of an id, however often it is repeated."""
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"), folds, held_out))
-    usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = [usable.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(n) for v, n in ((1, TOXIC_ROWS), (0, OTHER_ROWS))]
-    both = chosen[0].unionByName(chosen[1]).select(F.col("doc_id").alias("label_id"), "toxic")
-    texts = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & (F.length("text") <= LONGEST))
-    texts = texts.join(small_or_plain(both, TOXIC_ROWS + OTHER_ROWS), F.col("doc_id") == F.col("label_id"))
-    # One text of an id, however often it is repeated.
-    one = F.min_by(F.struct("text", "lang"), F.struct(F.xxhash64("text"), "text", "lang")).alias("one")
-    rows = texts.groupBy("doc_id", "toxic").agg(one).select("doc_id", "one.text", "one.lang", "toxic").toArrow().sort_by("doc_id").to_pydict()
-    return trained(rows["text"], rows["toxic"], rows["lang"])
+    usable = usable.groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").alias("toxic")).where(F.col("toxic").isin(0, 1))
+    texts = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull()).join(usable, F.col("doc_id") == F.col("label_id"))
+    one = F.min(F.struct(F.xxhash64("text"), "text", "lang")).alias("one")
+    back = (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(5)) == 0).alias("back")
+    return texts.groupBy("doc_id", "toxic").agg(one).select("doc_id", F.col("toxic").cast("int").alias("toxic"), "one.text", "one.lang", back)
+
+
+def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -> ToxicityModel:
+    """Learn from all labelled ids outside the held-out fold, and one whole text of each. What the driver gets grows with the words that a share of the texts have, not with the texts."""
+    spark = docs.sparkSession
+    rows = written(spark, training_rows(docs, labels, folds, held_out), "toxicity-texts")
+    totals = rows.groupBy("lang", "toxic", "back").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).toPandas()
+    if totals["toxic"].nunique() < 2:
+        return _one_label(int(totals["toxic"].iloc[0]) if len(totals) else None)
+    names = sorted({x for x in totals["lang"] if x})
+    number = {x: i for i, x in enumerate(names)}
+    totals["lang"] = [number.get(x, 0) for x in totals["lang"]]
+    fitted = totals[~totals["back"]]
+    toxic, other = (int(fitted.loc[fitted["toxic"] == v, "n"].sum()) for v in (1, 0))
+    model = ToxicityModel()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pd.DataFrame] = []
+
+        def summed() -> pd.DataFrame:
+            return pd.concat(held).groupby(["word", "lang"], as_index=False)["n"].sum()
+
+        for part, texts in text_slices(batches, "text", 1 << 20):
+            held.append(_word_counts(_hashed(texts), [number.get(x, 0) for x in part.column("lang").to_pylist()]))
+            if len(held) > 16:
+                held = [summed()]
+                if len(held[0]) > 1 << 20:
+                    yield pa.RecordBatch.from_pandas(held.pop(), preserve_index=False)
+        if held:
+            yield pa.RecordBatch.from_pandas(summed(), preserve_index=False)
+
+    words = rows.select("text", "lang").mapInArrow(counted, "word long, lang long, n long").groupBy("word")
+    words = words.agg(F.sum("n").alias("texts"), *[F.sum(F.when(F.col("lang") == i, F.col("n")).otherwise(0)).alias(f"l{i}") for i in range(len(names))])
+    _learned_words(model, words.where(F.col("texts") >= _least(int(totals.loc[totals["toxic"] == 1, "n"].sum()))).toPandas(), totals.groupby("lang")["n"].sum().reindex(range(len(names)), fill_value=0).to_numpy())
+
+    shared = spark.sparkContext.broadcast(model)
+
+    def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, BUCKETS), np.int64)
+        for part, texts in text_slices(batches, "text"):
+            seen += _seen(shared.value, _hashed(texts), part.column("toxic").to_pylist())
+        at = np.flatnonzero(seen.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[0, at]), pa.array(seen[1, at])], names=["bucket", "n0", "n1"])
+
+    found = rows.where("not back").select("text", "toxic").mapInArrow(evidence, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
+    seen = np.zeros((2, BUCKETS), np.int64)
+    seen[:, found["bucket"]] = found[["n0", "n1"]].to_numpy().T
+    _prepare(model, seen, toxic, other)
+    if toxic and other:
+        _fit_in_parts(spark, model, rows.where("not back"), toxic, toxic + other, int(fitted["chars"].sum()))
+    model.thresholds = np.zeros(len(names) + 1)
+    final = spark.sparkContext.broadcast(model)
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_slices(batches, "text"):
+            guess, step = _cut_counts(final.value, texts)
+            yield pa.RecordBatch.from_arrays([pa.array(guess), pa.array(step), part.column("toxic")], names=["guess", "step", "toxic"])
+
+    steps = rows.where("back").select("text", "toxic").mapInArrow(judged, "guess long, step long, toxic int").groupBy("guess", "step").agg(F.sum("toxic").alias("yes"), F.sum(1 - F.col("toxic")).alias("no"))
+    _calibrate(model, steps.toPandas(), len(names))
+    return model
+
+
+def _fit_in_parts(spark: SparkSession, model: ToxicityModel, rows: DataFrame, toxic: int, n: int, chars: int) -> None:
+    """Train ``model`` on all rows: parts of them, drawn by id, each go on from the same parameters, whose mean over the parts that changed them begins the next round."""
+    parts = max(1, -(-n // PART_ROWS), -(-chars // PART_CHARS))
+    rounds = 1 if parts == 1 else ROUNDS
+    passes = max(1, -(-STEPS // (rounds * parts * max(1, n // parts // BATCH))))
+    columns = [f"e{i}" for i in range(LENGTH)]
+    dealt = rows.select("doc_id", "text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(parts)).alias("part"))
+    for r in range(rounds):
+        shared = spark.sparkContext.broadcast(model)
+
+        def fit(part: pa.Table) -> pa.Table:
+            part = part.sort_by("doc_id")
+            own = copy.deepcopy(shared.value)
+            _fit(own, _hashed(part.column("text").to_pylist()), part.column("toxic").to_numpy(), toxic / n, passes, (3, r))
+            at = np.flatnonzero((own.embedding != shared.value.embedding).any(1))
+            rest = _parameters(own)
+            rest = np.append(rest, np.zeros(-len(rest) % LENGTH)).reshape(-1, LENGTH)
+            values = np.rint(np.concatenate((own.embedding[at].astype(float), rest)) * UNITS).astype(np.int64)
+            return pa.table({"at": np.concatenate((at, -1 - np.arange(len(rest)))), **dict(zip(columns, values.T, strict=True))})
+
+        sums = dealt.groupBy("part").applyInArrow(fit, "at long, " + ", ".join(f"{c} long" for c in columns)).groupBy("at").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in columns]).toPandas()
+        means = sums[columns].to_numpy() / sums[["n"]].to_numpy() / UNITS
+        at = sums["at"].to_numpy()
+        model.embedding[at[at >= 0]] = means[at >= 0]
+        _set_parameters(model, means[at < 0][np.argsort(-at[at < 0])].ravel())
 
 
 def _scored(spark: SparkSession, rows: DataFrame, model: ToxicityModel) -> DataFrame:

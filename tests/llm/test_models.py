@@ -80,6 +80,23 @@ def test_toxicity_learns(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r.predicted == 0 for r in found)
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
+    """Texts of any length, and any number of parts; reruns agree."""
+    monkeypatch.setattr(toxicity, "PART_ROWS", 100, raising=False)
+    rows = labelled(500, 5)
+    ids = [i for i in range(500, 600) if zlib.crc32(str(i).encode()) % 5][:6]
+    rows += [(i, "the inger " * 4_200 + "farbeyond", "en", 1) for i in ids]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string").repartition(7)
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    models = [toxicity.train(docs, labels) for _ in range(2)]
+    hashes, _ = toxicity.prefix_hashes(["farbeyond"], toxicity.NOT_ALNUM, toxicity.PREFIXES)
+    assert (models[0].buckets(hashes) > 0).all() and models[0].scores(["the ing farbeyond and ou"])[0] > 0.5
+    assert np.array_equal(models[0].embedding, models[1].embedding) and np.array_equal(models[0].thresholds, models[1].thresholds)
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0]
+    assert np.mean([(s >= 0.5) == r[3] for s, r in zip(models[0].scores([r[1] for r in held]), held, strict=True)]) > 0.9
+    assert toxicity.training_rows(docs, labels, 5, 0).count() == len(rows) - len(held)
+
+
 def test_toxicity_odd(spark, odd_docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     some = spark.createDataFrame([(None, 1, 1), (1, None, None), (2, 1, 0), (3, 1, 1), (3, 1, 0), (4, 1, 0), (5, 1, 1), (9, 0, 1), (7, 0, 0)], "doc_id long, quality int, toxic int")
