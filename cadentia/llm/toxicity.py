@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadentia.llm.common import in_fold, text_slices, written
+from cadentia.llm.common import in_fold, small_or_plain, text_slices, written
 from cadentia.llm.words import NOT_ALNUM, prefix_hashes
 
 #: Rows and characters of a part of the training rows, about, and rounds after which parts are averaged if there are several.
@@ -301,7 +301,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, folds: int, held_out: int)
     """doc_id, toxic, text and lang of every labelled id outside the held-out fold that has a text, and whether it is held back: one text of an id, however often it is repeated."""
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"), folds, held_out))
     usable = usable.groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").alias("toxic")).where(F.col("toxic").isin(0, 1))
-    texts = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull()).join(usable, F.col("doc_id") == F.col("label_id"))
+    # Texts without a label need not move.
+    texts = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull()).join(small_or_plain(usable, usable.count()), F.col("doc_id") == F.col("label_id"))
     one = F.min(F.struct(F.xxhash64("text"), "text", "lang")).alias("one")
     back = (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(5)) == 0).alias("back")
     return texts.groupBy("doc_id", "toxic").agg(one).select("doc_id", F.col("toxic").cast("int").alias("toxic"), "one.text", "one.lang", back)
