@@ -21,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadentia.llm.common import in_fold, small_or_plain, text_slices, written
+from cadentia.llm.common import in_fold, small_or_plain, text_slices, written_by
 from cadentia.llm.words import NOT_ALNUM, prefix_hashes
 
 #: Rows and characters of a part of the training rows, about, and rounds after which parts are averaged if there are several.
 PART_ROWS, PART_CHARS, ROUNDS = 3_000, 24_000_000, 3
+#: Parts share a bucket of the table beyond so many.
+MOST_BUCKETS = 10_000
 #: Slots of the word table, buckets and length of embeddings, widths of filters and filters of each width.
 SLOTS, BUCKETS, LENGTH, WIDTHS, FILTERS = 1 << 20, 1 << 15, 12, (1, 2, 3), 6
 #: Bytes of the beginnings of a word that have vectors of their own.
@@ -297,22 +299,47 @@ def _set_parameters(model: ToxicityModel, values: np.ndarray) -> None:
     model.offset = float(values[ends[-1]])
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, folds: int, held_out: int) -> DataFrame:
-    """doc_id, toxic, text and lang of every labelled id outside the held-out fold that has a text, and whether it is held back: one text of an id, however often it is repeated."""
+def _labelled_texts(docs: DataFrame, labels: DataFrame, folds: int, held_out: int) -> DataFrame:
+    """doc_id, toxic, text and lang of all rows with a text whose id has a label outside the held-out fold, and whether the id is held back."""
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"), folds, held_out))
-    usable = usable.groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").alias("toxic")).where(F.col("toxic").isin(0, 1))
+    usable = usable.groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1))
+    back = (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(5)) == 0).alias("back")
     # Texts without a label need not move.
-    texts = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull()).join(small_or_plain(usable, usable.count()), F.col("doc_id") == F.col("label_id"))
+    texts = docs.select("doc_id", "text", "lang", back).where(F.col("text").isNotNull())
+    return texts.join(small_or_plain(usable, usable.count()), F.col("doc_id") == F.col("label_id")).drop("label_id")
+
+
+def _one_of_an_id(texts: DataFrame) -> DataFrame:
+    """One text of an id, however often it is repeated."""
     one = F.min(F.struct(F.xxhash64("text"), "text", "lang")).alias("one")
-    back = (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(5)) == 0).alias("back")
-    return texts.groupBy("doc_id", "toxic").agg(one).select("doc_id", F.col("toxic").cast("int").alias("toxic"), "one.text", "one.lang", back)
+    return texts.groupBy("doc_id", "toxic", "back").agg(one).select("doc_id", "toxic", "one.text", "one.lang", "back")
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, folds: int, held_out: int) -> DataFrame:
+    """doc_id, toxic, text and lang of every labelled id outside the held-out fold that has a text, and whether it is held back: one text of an id."""
+    return _one_of_an_id(_labelled_texts(docs, labels, folds, held_out))
+
+
+def _parts(texts: DataFrame) -> int:
+    """How many parts of about ``PART_ROWS`` and ``PART_CHARS`` the rows that are not held back make; hashes stand for the texts, so that none moves for this."""
+    one = F.min(F.struct(F.xxhash64("text"), F.length("text").alias("chars"))).alias("one")
+    n, chars = texts.where("not back").groupBy("doc_id").agg(one).agg(F.count("*"), F.coalesce(F.sum("one.chars"), F.lit(0))).first()
+    return max(1, -(-n // PART_ROWS), -(-chars // PART_CHARS))
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -> ToxicityModel:
     """Learn from all labelled ids outside the held-out fold, and one whole text of each. What the driver gets grows with the words that a share of the texts have, not with the texts."""
     spark = docs.sparkSession
-    rows = written(spark, training_rows(docs, labels, folds, held_out), "toxicity-texts")
-    totals = rows.groupBy("lang", "toxic", "back").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).toPandas()
+    texts = _labelled_texts(docs, labels, folds, held_out)
+    parts = _parts(texts)
+    part = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(parts)).alias("part")
+    with written_by(spark, _one_of_an_id(texts).select("*", part), "toxicity_texts", "part", min(parts, MOST_BUCKETS)) as rows:
+        return _learned(spark, rows, parts)
+
+
+def _learned(spark: SparkSession, rows: DataFrame, parts: int) -> ToxicityModel:
+    """A model of training rows, which lie in buckets by part."""
+    totals = rows.groupBy("lang", "toxic", "back").agg(F.count("*").alias("n")).toPandas()
     if totals["toxic"].nunique() < 2:
         return _one_label(int(totals["toxic"].iloc[0]) if len(totals) else None)
     names = sorted({x for x in totals["lang"] if x})
@@ -355,7 +382,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0)
     seen[:, found["bucket"]] = found[["n0", "n1"]].to_numpy().T
     _prepare(model, seen, toxic, other)
     if toxic and other:
-        _fit_in_parts(spark, model, rows.where("not back"), toxic, toxic + other, int(fitted["chars"].sum()))
+        _fit_in_parts(spark, model, rows.where("not back"), toxic, toxic + other, parts)
     model.thresholds = np.zeros(len(names) + 1)
     final = spark.sparkContext.broadcast(model)
 
@@ -369,13 +396,15 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0)
     return model
 
 
-def _fit_in_parts(spark: SparkSession, model: ToxicityModel, rows: DataFrame, toxic: int, n: int, chars: int) -> None:
-    """Train ``model`` on all rows: parts of them, drawn by id, each go on from the same parameters, whose mean over the parts that changed them begins the next round."""
-    parts = max(1, -(-n // PART_ROWS), -(-chars // PART_CHARS))
+def _fit_in_parts(spark: SparkSession, model: ToxicityModel, rows: DataFrame, toxic: int, n: int, parts: int) -> None:
+    """Train ``model`` on all rows: parts of them, drawn by id, each go on from the same parameters, whose mean over the parts that changed them begins the next round.
+
+    Rows lie in buckets by part, so no text moves in any round.
+    """
     rounds = 1 if parts == 1 else ROUNDS
     passes = max(1, -(-STEPS // (rounds * parts * max(1, n // parts // BATCH))))
     columns = [f"e{i}" for i in range(LENGTH)]
-    dealt = rows.select("doc_id", "text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(parts)).alias("part"))
+    dealt = rows.select("doc_id", "text", "toxic", "part")
     for r in range(rounds):
         shared = spark.sparkContext.broadcast(model)
 

@@ -97,6 +97,27 @@ def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
     assert toxicity.training_rows(docs, labels, 5, 0).count() == len(rows) - len(held)
 
 
+def test_toxicity_parts_move_once(spark, monkeypatch):
+    """In the rounds parts are read as they lie, and no table stays in the catalog."""
+    rows = labelled(400, 6)
+    docs = spark.createDataFrame([(r[0], r[1], r[2]) for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    found, fit = [], toxicity._fit_in_parts
+
+    def watched(spark, model, rows, toxic, n, parts):
+        grouped = rows.groupBy("part").applyInPandas(lambda f: f[["part"]].head(1), "part long")
+        found.append((parts, sorted(r.part for r in grouped.collect()), grouped._jdf.queryExecution().executedPlan().toString()))
+        fit(spark, model, rows, toxic, n, parts)
+
+    monkeypatch.setattr(toxicity, "PART_ROWS", 100)
+    monkeypatch.setattr(toxicity, "_fit_in_parts", watched)
+    before = {t.name for t in spark.catalog.listTables()}
+    toxicity.train(docs, labels)
+    [(parts, seen, plan)] = found
+    assert parts == 3 and seen == [0, 1, 2] and "Exchange" not in plan
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_toxicity_odd(spark, odd_docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     some = spark.createDataFrame([(None, 1, 1), (1, None, None), (2, 1, 0), (3, 1, 1), (3, 1, 0), (4, 1, 0), (5, 1, 1), (9, 0, 1), (7, 0, 0)], "doc_id long, quality int, toxic int")
