@@ -1,47 +1,27 @@
-"""Rectangles anywhere in JSON documents: a search level by level, as deep as the documents are."""
+"""Rectangles anywhere in JSON documents: each text is read once and searched where it lies, as deep as it goes."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadentia.functions.boxes import BOX, inner_nodes, judged_box, node_columns, rounded_fields
-from cadentia.sources.stream import written
+from cadentia.functions.boxes import BOX, first_box
 
 
-def _judged(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, path, box and inner: the box of each row's node, and what there is to search where the node is none and has no keys of one."""
-    rows = rows.select(*keys, "path", "node", *[c.alias(k) for k, c in node_columns(F.col("node")).items()])
-    rows = rows.select(*keys, "path", "node", "present", *[c.alias(k) for k, c in rounded_fields().items()])
-    rows = rows.select(*keys, "path", "node", *[c.alias(k) for k, c in judged_box().items()])
-    return rows.select(*keys, "path", "box", F.when(F.col("box").isNull() & ~F.col("direct"), inner_nodes(F.col("node"))).alias("inner"))
+def _boxes(texts: pa.Array) -> pa.Array:
+    found = [first_box(t) for t in texts.to_pylist()]
+    none = pa.array([b is None for b in found], pa.bool_())
+    return pa.StructArray.from_arrays([pa.array([b and b[k] for b in found], pa.int32()) for k in range(4)], names=list("xywh"), mask=none)
 
 
 def find_boxes(rows: DataFrame, json: Column, keys: list[str]) -> DataFrame:
-    """keys and box (x, y, w, h; null where there is none) of each row's JSON text in any of the usual encodings; keys name a row.
+    """keys and box (x, y, w, h; null where there is none) of each row's JSON text in any of the usual encodings.
 
     Lists of four are x, y, width and height first, and corners if that is no valid box. An object with the keys of an encoding is
     judged by these alone, others by their polygons, then by the usual nested names, then by all their values as they are
     written, each of which is searched whole before the next. Boxes are at least one unit wide and high. Null, empty and malformed texts have none.
 
-    Every level is one table of the objects and lists that are left to look at, so the plan does not grow with the depth of the documents, and
-    rows whose text is a rectangle itself take part in the first level only.
+    Rows stay where they are: nothing is shuffled or written, whatever the depth of the documents.
     """
-    spark = rows.sparkSession
-    top = written(spark, _judged(rows.select(*keys, F.lit("").alias("path"), json.alias("node")), keys), "boxes")
-    found, level = None, top
-    while True:
-        level = level.where(F.size("inner") > 0).select(*keys, "path", F.explode("inner").alias("c"))
-        level = level.select(*keys, F.concat("path", F.format_string("%08d", "c.place")).alias("path"), F.col("c.node").alias("node"))
-        level = written(spark, _judged(level, keys), "boxes")
-        if level.isEmpty():
-            break
-        boxes = level.where("box is not null").select(*keys, "path", "box")
-        found = boxes if found is None else found.unionByName(boxes)
-    settled = top.where("inner is null or size(inner) = 0").select(*keys, F.col("box").cast(BOX).alias("box"))
-    if found is None:
-        return settled
-    # Of the boxes inside a text the first in the order of the search: paths of one length a level sort as the search goes.
-    first = found.groupBy(*keys).agg(F.min_by("box", "path").alias("box"))
-    searched = top.where("size(inner) > 0").select(*keys)
-    return settled.unionByName(searched.join(first, keys, "left"))
+    return rows.select(*keys, F.arrow_udf(_boxes, BOX)(json).alias("box"))

@@ -27,6 +27,19 @@ def test_boxes_at_any_depth(spark):
     assert got == {k: box for k, (_, box) in enumerate(BOXES)}
 
 
+def test_boxes_are_found_where_the_texts_lie(spark):
+    """No table is written and no row moves, however deep the texts are; odd texts end no job."""
+    odd = [
+        ('{"left":-2000000000,"top":0,"right":2000000000,"bottom":5}', None), ("\n[1,2,3,4]\t", (1, 2, 3, 4)), ("[1,2,3,4] x", None), ("{'x':1,'y':2,'w':3,'h':4}", None), ('{"x":2147483647.5,"y":1,"w":3,"h":4}', None),
+        ('{"x":true,"y":" 2.5 ","w":"3e0","h":4}', (1, 2, 3, 4)), ('{"x":"1_0","y":1,"w":3,"h":4}', None), ('{"x":' + "1" * 5000 + ',"y":1,"w":3,"h":4}', None), ('{"a":' * 900 + "[1,2,3,4]" + "}" * 900, (1, 2, 3, 4)), ('{"a":' * 200_000, None),
+    ]
+    rows = spark.createDataFrame([(k, text) for k, (text, _) in enumerate(odd)], "k long, j string")
+    found = rectangles.find_boxes(rows, F.col("j"), ["k"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and "FileScan" not in plan
+    assert {r.k: r.box and tuple(r.box) for r in found.collect()} == {k: box for k, (_, box) in enumerate(odd)}
+
+
 def test_near_table_looks_sideways_only(spark):
     rows = spark.createDataFrame([(0, 10), (640, 10), (-60, 10), (660, 10), (-261, 10), (1, 1)], "x int, w int")
     assert [r.n for r in rows.select(boxes.near_table(F.col("x"), F.col("w"), F.lit(100), F.lit(300)).alias("n")).collect()] == [True, True, True, False, False, True]
