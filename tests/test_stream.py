@@ -1,12 +1,14 @@
 """Streams of tables of one and of many files, and their order."""
 
 import random
+from pathlib import Path
 
+import duckdb
 import pandas as pd
 import pyspark.sql
 from cadentia.operators import score
 from cadentia.operators.segments import Rules
-from cadentia.plans.queries import queries
+from cadentia.plans.queries import STREAM_PARTS, oracle_sql, queries
 from cadentia.sources import stream
 from cadentia.streaming import ordered, replay
 
@@ -84,3 +86,41 @@ def test_parts_of_many_files_are_one_batch_each(spark):
     want = sorted(map(str, score.timeline(spark.createDataFrame(rows, schema), 3).collect()))
     got = [r for r in found if not r[3] and r[0] >= 0]
     assert sorted(str(pyspark.sql.Row(**dict(zip(_TIMELINE, (*r[:3], *r[4:]), strict=True)))) for r in got) == want
+
+
+def test_batches_and_partitions_of_the_state_follow_the_stream(spark):
+    """Micro-batches and partitions of the state cost time even when they are empty: a part has one batch, the last one two, and a small stream few partitions. Rows are those of the SQL."""
+    duckdb.sql(f"create or replace view events as select * from '{ROOT}/events.parquet'")
+    setting = "spark.sql.shuffle.partitions"
+    shared, before = Path(stream.shared_dir(spark).removeprefix("file://")), spark.conf.get(setting)
+    numbered = lambda at: [p for p in at.iterdir() if p.name.isdigit()]
+    spark.conf.set(setting, "9")
+    try:
+        for name, folder, parts in (("stream_silent_segments", "ordered-segments", STREAM_PARTS + 1), ("stream_ordered_score", "ordered-score", STREAM_PARTS + 2)):
+            others = set(shared.glob(f"{folder}-*"))
+            found = queries()[name](spark, ROOT)
+            (at,) = set(shared.glob(f"{folder}-*")) - others
+            assert len(numbered(at / "state" / "offsets")) == parts + 1
+            assert len(numbered(at / "state" / "state" / "0")) == spark.sparkContext.defaultParallelism == 4
+            want = duckdb.sql(f"select {', '.join(found.columns)} from ({oracle_sql()[name]})").fetchall()
+            assert want and sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
+            assert spark.conf.get(setting) == "9" and spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled") == "true"
+    finally:
+        spark.conf.set(setting, before)
+
+
+def test_rows_that_go_out_with_the_next_part_are_the_same(spark):
+    """Late rows at, just before and just after the watermark, and segments that only silence closes."""
+    rules = Rules(high=0.5, low=0.2, max_gap=2.0, min_dur=0.5)
+    parts = [
+        [(1, 2, 1.0, 0.3), (1, 1, 0.0, 0.9), (2, 3, 99.0, 0.9), (2, 4, 100.0, 0.9)],
+        [(1, 5, 90.0, 0.9), (1, 6, 89.999, 0.9), (1, 7, 90.001, 0.9), (1, 8, 91.0, 0.9), (3, 9, 150.0, 0.1)],
+        [(1, 10, 91.5, 0.9), (3, 11, 141.0, 0.9), (3, 12, 142.0, 0.9), (3, 13, 160.0, 0.1)],
+        [(-1, -1, 1e6, None)],
+    ]
+    frames = [spark.createDataFrame(p, "clip long, seq long, t double, x double").repartition(2) for p in parts]
+    with ordered.keyed_state(spark, 3):
+        found = [sorted(map(str, map(tuple, stream.drained_in_turn(spark, frames, lambda rows: ordered.ordered_segments(rows, rules, "10 seconds", 3), "test-settled", settled).collect()))) for settled in (True, False)]
+    late = [(1, 5, 90.0, True, None, None), (1, 6, 89.999, True, None, None), (1, 10, 91.5, True, None, None)]
+    kept = [(1, None, None, False, 0.0, 1.0), (2, None, None, False, 99.0, 100.0), (1, None, None, False, 90.001, 91.0), (3, None, None, False, 141.0, 142.0)]
+    assert found[0] == found[1] == sorted(map(str, late + kept))
